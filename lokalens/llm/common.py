@@ -12,6 +12,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Stands for a null id wherever ids are compared: larger than any other.
 NULL_ID = (1 << 63) - 1
 
@@ -36,7 +38,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

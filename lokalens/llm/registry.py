@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import language, line_dedup, packing, token_counts, toxicity
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_packing": packing.op7_packing,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 SQL = {
     "op5_line_dedup": line_dedup.SQL,
