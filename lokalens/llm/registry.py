@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import language, line_dedup, packing, token_counts, toxicity
+from . import ann, decontam, html_extract, language, line_dedup, packing, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_decontamination": decontam.op3_decontamination,
+    "op4_html_extract": html_extract.op4_html_extract,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_ann": ann.op6_ann,
     "op7_packing": packing.op7_packing,
     "op10_token_counts": token_counts.op10_token_counts,
 }

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from .common import ids_of, map_arrow, mix, slices, table, texts_of
 
 #: The fit takes about so many documents of each label, chosen by a hash of doc_id.
-TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
-#: FTRL: rate, smoothing, L1, L2, epochs. A feature of fewer than MIN_DOCS training documents cannot pass L1 and is left out.
-ALPHA, BETA, L1, L2, EPOCHS, MIN_DOCS = 0.15, 1.0, 1.5, 1.0, 3, 3
+TRAIN_TOXIC, TRAIN_CLEAN = 5000, 8000
+#: FTRL: rate, smoothing, L1 of words and of pairs, L2, epochs, weight of a toxic document. A feature of fewer than MIN_DOCS training documents cannot pass L1 and is left out.
+ALPHA, BETA, L1_WORD, L1_PAIR, L2, EPOCHS, TOXIC_WEIGHT, MIN_DOCS = 2.0, 1.0, 2.0, 25.0, 1.0, 8, 2.0, 2
 _PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…–—"
 
 
 class Features:
-    """32-bit hashes of the words, the pairs of neighbours, and the pairs with one or two words between."""
+    """32-bit hashes of the words, the pairs of neighbours, and the pairs with one or two words between; the last two bits are the kind, in this order."""
 
     def __init__(self, limit: int = 300_000):
         self.memo: dict[bytes, int] = {}
@@ -37,9 +37,8 @@ class Features:
         w = np.fromiter((get(c) or word(c) for c in chunks), np.uint64, len(chunks))
         found = [mix(w)]
         for gap in (1, 2, 3):
-            if len(w) > gap:
-                found.append(mix(w[:-gap] * np.uint64(0x9E3779B97F4A7C15) + w[gap:] + np.uint64(gap)))
-        return (np.concatenate(found) >> np.uint64(32)).astype(np.uint32)
+            found.append(mix(w[:-gap] * np.uint64(0x9E3779B97F4A7C15) + w[gap:] + np.uint64(gap)))
+        return np.concatenate([(h >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFC) | np.uint32(kind) for kind, h in enumerate(found)])
 
 
 class ToxicityModel:
@@ -59,11 +58,10 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def ftrl(labels: np.ndarray, weight: np.ndarray, docs: list[np.ndarray], dims: int) -> np.ndarray:
-    """Weights after EPOCHS passes in the given order; docs hold feature numbers under dims, the last number is the bias's."""
-    z, n = np.zeros(dims + 1), np.zeros(dims + 1)
-    l1 = np.full(dims + 1, L1)
-    l1[dims] = 0.0
+def ftrl(labels: np.ndarray, weight: np.ndarray, docs: list[np.ndarray], l1: np.ndarray) -> np.ndarray:
+    """Weights after EPOCHS passes in the given order; docs hold places in l1, the L1 by feature; the bias comes last and has none."""
+    dims = len(l1)
+    z, n, l1 = np.zeros(dims + 1), np.zeros(dims + 1), np.append(l1, 0.0)
 
     def weights(i):
         return np.where(np.abs(z[i]) <= l1[i], 0.0, -(z[i] - np.sign(z[i]) * l1[i]) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
@@ -108,8 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, trai
         at = [np.minimum(np.searchsorted(every, x), max(0, len(every) - 1)) for x in each]
         numbered = [i[every[i] == x] for i, x in zip(at, each, strict=True)] if len(every) else [np.empty(0, np.int64)] * len(each)
         y = np.array([float(r[1]) for r in held])
-        s = np.where(y > 0, 1.0, min(4.0, share[True] / share[False]))
-        w = ftrl(y, s, numbered, len(every))
+        s = np.where(y > 0, TOXIC_WEIGHT, max(1.0, share[True] / share[False]))
+        w = ftrl(y, s, numbered, np.where(every & 3, L1_PAIR, L1_WORD))
         keep = np.flatnonzero(w[:-1])
         yield pa.RecordBatch.from_arrays([pa.array([float(w[-1])]), pa.array([every[keep].tobytes()], pa.binary()), pa.array([w[:-1][keep].astype("<f8").tobytes()], pa.binary())], ["bias", "features", "weights"])
 
