@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, html_extract, jaccard, language, line_dedup, packing, token_counts, toxicity
+from . import ann, decontam, html_extract, jaccard, language, line_dedup, packing, substring, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_ann": ann.op6_ann,
     "op7_packing": packing.op7_packing,
     "op8_jaccard": jaccard.op8_jaccard,
+    "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 SQL = {
