@@ -156,44 +156,72 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_
     without a rare seed cannot be searched for and match nothing; a null id stays null. Repeated rows
     give repeated results. Items are sent to the executors in passes of bytes_per_pass.
     """
-    rows, out = [], None
-    passes: list[list] = []
-    size = 0
-    for r in items.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
-        if not passes or size + len(r["text"]) > bytes_per_pass:
-            passes.append(rows := [])
-            size = 0
-        size += len(r["text"].encode())
-        rows.append((r["item_id"], r["text"].encode()))
-        if len(passes) > 1:  # a finished pass is planned before the next is read
-            part = _pass(docs, passes.pop(0), min_score, seed_words, max_chance)
-            out = part if out is None else out.unionByName(part)
-    for held in passes or [[]]:
-        part = _pass(docs, held, min_score, seed_words, max_chance)
+    out = None
+    for rows in item_passes(items, bytes_per_pass):
+        part = _pass(docs, _held(docs, rows, seed_words, max_chance), min_score)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _pass(docs: DataFrame, rows: list[tuple[int | None, bytes]], min_score: float, seed_words: int, max_chance: float) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_words: int = SEED_WORDS, max_chance: float = MAX_CHANCE, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
+    """The rows of docs, all columns, that hold no copy of an item: those for which leaks() gives nothing. Rows are judged where they are, without a join."""
+    rows_of = docs
+    for rows in item_passes(items, bytes_per_pass):
+        rows_of = _clean(rows_of, _held(docs, rows, seed_words, max_chance), min_score)
+    return rows_of
+
+
+def _clean(docs: DataFrame, held, min_score: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, items = Words(), held.value
+        for b in slices(batches):
+            yield b.filter(pa.array([not _matches(items, words.of(t.split()), min_score) for t in texts_of(b)], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
+def item_passes(items: DataFrame, bytes_per_pass: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The items with text, (id, text), in lists of about bytes_per_pass; one empty list if there are none."""
+    rows: list[tuple[int | None, bytes]] = []
+    size = 0
+    for r in items.where("text IS NOT NULL").select("item_id", "text").toLocalIterator():
+        text = r["text"].encode()
+        if rows and size + len(text) > bytes_per_pass:
+            yield rows
+            rows, size = [], 0
+        rows.append((r["item_id"], text))
+        size += len(text)
+    yield rows
+
+
+def _held(docs: DataFrame, rows: list[tuple[int | None, bytes]], seed_words: int, max_chance: float):
+    """A pass's items as a broadcast."""
     words = Words()
     hashed = [words.of(t.split()) for _, t in rows]
     known = np.unique(np.concatenate(hashed)) if hashed else np.empty(0, np.uint64)
     rate, rest = _rates(docs, known)
-    held = docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], rate, rest, seed_words, max_chance))
+    return docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], rate, rest, seed_words, max_chance))
+
+
+def _matches(items: Items, w: np.ndarray, min_score: float) -> dict[int, tuple[float, int, int]]:
+    """The best alignment of each item of which the document holds a copy, by the item's place."""
+    best: dict[int, tuple[float, int, int]] = {}
+    for k, lo, hi in items.candidates(w):
+        s, begin, end = align(items.words[k], w[lo:hi])
+        s /= MATCH * len(items.words[k])
+        if s >= min_score and (k not in best or s > best[k][0]):
+            best[k] = (s, lo + begin, lo + end)
+    return best
+
 
+def _pass(docs: DataFrame, held, min_score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, items = Words(), held.value
         for b in slices(batches):
             found = []
             for doc, t in zip(ids_of(b), texts_of(b), strict=True):
                 w = words.of(t.split())
-                best: dict[int, tuple] = {}
-                for k, lo, hi in items.candidates(w):
-                    s, begin, end = align(items.words[k], w[lo:hi])
-                    s /= MATCH * len(items.words[k])
-                    if s >= min_score and (k not in best or s > best[k][0]):
-                        best[k] = (s, lo + begin, lo + end)
-                found += [(doc, items.ids[k], *v) for k, v in sorted(best.items())]
+                found += [(doc, items.ids[k], *v) for k, v in sorted(_matches(items, w, min_score).items())]
             if found:
                 columns = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[i], pa.float64() if i == 2 else pa.int64()) for i in range(5)], ["doc_id", "item_id", "score", "start", "end"])

@@ -7,7 +7,6 @@ Keys are 128-bit hashes: one half chooses shard and slot, the other is the finge
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import NULL_ID, ids_of, map_arrow, materialize, mix, slices, table, texts_of
 
@@ -155,10 +155,12 @@ class Probe:
         return out
 
 
-def _known(docs: DataFrame, probe, min_chars: int, extra: str | None) -> DataFrame:
+def _known(docs: DataFrame, probe, min_chars: int, extra: str | None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents with their lines judged. extra None: a pass that returns (doc_id, keys) of what is to go; else final rows with the text kept, where the column `extra` (if named) lists more keys to go."""
     schema = "doc_id long, keys array<binary>" if extra is None else "doc_id long, n_lines long, n_dropped long, kept string"
-    columns = ["doc_id", "text"] + ([extra] if extra else [])
+    columns = ["doc_id", "text", *carry] + ([extra] if extra else [])
+    if carry:
+        schema = StructType([*(docs.schema[c] for c in carry), *StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = probe.value if probe is not None else Probe(1, {})
@@ -191,17 +193,18 @@ def _known(docs: DataFrame, probe, min_chars: int, extra: str | None) -> DataFra
             if extra is None:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.binary()))], ["doc_id", "keys"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carry), pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [*carry, "doc_id", "n_lines", "n_dropped", "kept"])
 
     return map_arrow(docs.select(*columns), run, schema)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10, keys_per_shard: int = KEYS_PER_SHARD, shards_per_pass: int = SHARDS_PER_PASS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 10, keys_per_shard: int = KEYS_PER_SHARD, shards_per_pass: int = SHARDS_PER_PASS, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept): each document without the lines that a document of smaller id has too.
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased; keys under min_chars code
     points are always kept. Null or empty text is one empty line. Rows that repeat a doc_id count as the
-    same document, a null doc_id as one document larger than all. Other columns are ignored. No rows in,
+    same document, a null doc_id as one document larger than all. Other columns are ignored but for those
+    named in carry, which go before the others; they must not bear a result's name. No rows in,
     none out. The index travels in passes of shards_per_pass shards, so what a task holds is bounded.
     """
     spark = docs.sparkSession
@@ -214,14 +217,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, keys_per_shard: int = KEYS_
         return spark.sparkContext.broadcast(Probe(shards, {r["shard"]: bytes(r["blob"]) for r in index.where(F.col("shard").isin(block)).collect()}))
 
     if len(blocks) <= 1:
-        return _known(docs, held(blocks[0]) if blocks else None, min_chars, "")
+        return _known(docs, held(blocks[0]) if blocks else None, min_chars, "", carry)
     gone = None
     for block in blocks:
         part = _known(docs, held(block), min_chars, None).where(F.size("keys") > 0)
         gone = part if gone is None else gone.unionByName(part)
     gone = gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("gone_keys")).withColumnRenamed("doc_id", "gone_id")
-    joined = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
-    return _known(joined, None, min_chars, "gone_keys")
+    joined = docs.select("doc_id", "text", *carry).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").drop("gone_id")
+    return _known(joined, None, min_chars, "gone_keys", carry)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
