@@ -77,7 +77,6 @@ def _each(df: DataFrame, found: Column) -> DataFrame:
     return df.select("key", F.explode(found).alias("msg"))
 
 
-_SRC, _TGT, _LANG = F.col("src"), F.col("tgt"), F.col("lang")
 _PH = T.PLACEHOLDER.replace("(?U)", "").replace("'", "''")
 _MORE = "list_sort(list_filter(list_distinct({a}), lambda x: len(list_filter({a}, lambda y: y = x)) > len(list_filter({b}, lambda y: y = x))))"
 
@@ -141,7 +140,7 @@ def catalog_languages(spark, sf_dir):
 SELECT key, unnest(list_distinct(list_filter(s, lambda x: NOT list_contains(t, x)))) AS msg FROM a""")
 def lost_placeholders(spark, sf_dir):
     both = O.with_icu(pairs(spark, sf_dir, "part_pairs"))
-    return _each(both, D.lost_placeholders(D.placeholder_names(_SRC, F.col("src_icu")), D.placeholder_names(_TGT, F.col("tgt_icu"))))
+    return _each(both, D.lost_placeholders(D.placeholder_names(F.col("src"), F.col("src_icu")), D.placeholder_names(F.col("tgt"), F.col("tgt_icu"))))
 
 
 @query(f"""WITH p AS ({_pairs_sql('part_pairs')}), a AS (SELECT key, regexp_extract_all(src, '{_PH}') AS s, regexp_extract_all(tgt, '{_PH}') AS t FROM p),
@@ -151,7 +150,7 @@ SELECT key, CASE WHEN nt > ns AND ns = 0 THEN 'invented placeholder ' || x || '
 def placeholder_counts(spark, sf_dir):
     both = O.with_icu(pairs(spark, sf_dir, "part_pairs"))
     a, b = F.col("src_icu"), F.col("tgt_icu")
-    return _each(both, D.placeholder_counts(D.placeholder_names(_SRC, a), D.placeholder_names(_TGT, b), a, b))
+    return _each(both, D.placeholder_counts(D.placeholder_names(F.col("src"), a), D.placeholder_names(F.col("tgt"), b), a, b))
 
 
 _SET = r"list_sort(list_distinct(list_concat(regexp_extract_all({x}, '\{{[^{{}}]*\}}'), regexp_extract_all(regexp_replace({x}, '\{{[^{{}}]*\}}', ' ', 'g'), '%\d+\$[@a-zA-Z]|%@|%[sdifxocegpnXOCEGP%]'))))"
@@ -171,7 +170,7 @@ def _nums(x: str) -> str:
 SELECT key, 'number ' || unnest({_MORE.format(a='t', b='s')}) || ' appears in the translation but not the source' AS msg FROM a
 UNION ALL SELECT key, 'number ' || unnest({_MORE.format(a='s', b='t')}) || ' from the source is missing or changed in the translation' FROM a WHERE len(t) > 0""")
 def number_drift(spark, sf_dir):
-    return _each(pairs(spark, sf_dir, "part_pairs"), D.number_drift(_SRC, _TGT, _LANG))
+    return _each(pairs(spark, sf_dir, "part_pairs"), D.number_drift(F.col("src"), F.col("tgt"), F.col("lang")))
 
 
 _CUR = r"list_sort(list_distinct(list_filter([CASE WHEN regexp_matches({x}, '(^|[^A-Za-z0-9])\$ ?[0-9]') OR regexp_matches({x}, '[0-9] ?USD($|[^A-Za-z])') THEN 'USD' END, CASE WHEN regexp_matches({x}, '€ ?[0-9]') THEN 'EUR' END, CASE WHEN regexp_matches({x}, 'R\$ ?[0-9]') THEN 'BRL' END], lambda c: c IS NOT NULL)))"
@@ -182,7 +181,7 @@ SELECT key, CASE WHEN len(t) = 0 THEN 'currency dropped — the source priced th
  WHEN len(s) = 0 THEN 'currency invented — the translation quotes ' || array_to_string(t, ', ') || ', the source quoted none'
  ELSE 'currency changed: ' || array_to_string(s, ', ') || ' → ' || array_to_string(t, ', ') || ' — this is a different price, not a translation' END AS msg FROM a WHERE s <> t""")
 def currency_change(spark, sf_dir):
-    return _each(pairs(spark, sf_dir, "price_pairs"), D.currency_change(_SRC, _TGT))
+    return _each(pairs(spark, sf_dir, "price_pairs"), D.currency_change(F.col("src"), F.col("tgt")))
 
 
 _ENT = "regexp_extract_all({x}, '&amp;(?:amp|lt|gt|quot|apos|nbsp|#[0-9]{{1,7}}|#x[0-9a-fA-F]{{1,6}});')"
@@ -191,7 +190,7 @@ _ENT = "regexp_extract_all({x}, '&amp;(?:amp|lt|gt|quot|apos|nbsp|#[0-9]{{1,7}}|
 @query(f"""WITH p AS ({_pairs_sql('page_pairs')}), a AS (SELECT key, {_ENT.format(x='src')} AS s, {_ENT.format(x='tgt')} AS t FROM p)
 SELECT key, 'double-encoded entity ' || unnest({_MORE.format(a='t', b='s')}) || ' — the & was re-escaped (renders literally)' AS msg FROM a""")
 def entity_faults(spark, sf_dir):
-    return _each(pairs(spark, sf_dir, "page_pairs"), D.entity_faults(_SRC, _TGT))
+    return _each(pairs(spark, sf_dir, "page_pairs"), D.entity_faults(F.col("src"), F.col("tgt")))
 
 
 _TAGS = r"""SELECT key, CASE WHEN starts_with(x, '</') THEN '</' || n || '>' WHEN ends_with(x, '/>') THEN '<' || n || '/>' ELSE '<' || n || '>' END AS msg
@@ -201,25 +200,25 @@ FROM (SELECT key, x, regexp_extract(x, '</?\s*([a-zA-Z0-9][\w:-]*)', 1) AS n FRO
 @query(f"""WITH p AS ({_pairs_sql('page_pairs')}), s AS (SELECT key, msg, count(*) AS n FROM ({_TAGS.format(x='src')}) GROUP BY ALL), t AS (SELECT key, msg, count(*) AS n FROM ({_TAGS.format(x='tgt')}) GROUP BY ALL)
 SELECT key, msg, CAST(s.n - coalesce(t.n, 0) AS BIGINT) AS times FROM s LEFT JOIN t USING (key, msg) WHERE s.n > coalesce(t.n, 0)""")
 def lost_tags(spark, sf_dir):
-    return _each(pairs(spark, sf_dir, "page_pairs"), D.lost_tags(_SRC, _TGT)).groupBy("key", "msg").agg(F.count("*").alias("times"))
+    return _each(pairs(spark, sf_dir, "page_pairs"), D.lost_tags(F.col("src"), F.col("tgt"))).groupBy("key", "msg").agg(F.count("*").alias("times"))
 
 
 @query(f"""WITH p AS ({_pairs_sql('brand_pairs')}), g AS (SELECT key, src, tgt, unnest(['Brand', 'STEEL', 'Copper']) AS msg FROM p)
 SELECT key, msg FROM g WHERE contains(lower(src), lower(msg)) AND NOT contains(lower(tgt), lower(msg))""")
 def glossary_dropped(spark, sf_dir):
-    return _each(pairs(spark, sf_dir, "brand_pairs"), D.lost_terms(_SRC, _TGT, GLOSSARY))
+    return _each(pairs(spark, sf_dir, "brand_pairs"), D.lost_terms(F.col("src"), F.col("tgt"), GLOSSARY))
 
 
 @query(f"""WITH p AS ({_pairs_sql('brand_pairs')}) SELECT key, 'translation collapsed to the glossary term "Brand" — the sentence is gone' AS msg FROM p
 WHERE len(regexp_extract_all(src, '\\p{{L}}{{2,}}')) >= 3 AND contains(lower(tgt), 'brand') AND NOT regexp_matches(regexp_replace(tgt, '(?i)brand|steel|copper', ' ', 'g'), '\\p{{L}}')""")
 def glossary_collapse(spark, sf_dir):
-    return _each(pairs(spark, sf_dir, "brand_pairs"), D.collapsed_to_term(_SRC, _TGT, GLOSSARY))
+    return _each(pairs(spark, sf_dir, "brand_pairs"), D.collapsed_to_term(F.col("src"), F.col("tgt"), GLOSSARY))
 
 
 @query(f"""WITH p AS ({_pairs_sql('brand_pairs')}) SELECT key, 'Brand appears as "' || regexp_extract(tgt, '(?i)brand') || '" — a kept term keeps its exact case' AS msg FROM p
 WHERE contains(lower(tgt), 'brand') AND NOT contains(tgt, 'Brand') AND NOT contains(tgt, 'brand')""")
 def glossary_case(spark, sf_dir):
-    return _each(pairs(spark, sf_dir, "brand_pairs"), D.recased_terms(_SRC, _TGT, ["Brand"]))
+    return _each(pairs(spark, sf_dir, "brand_pairs"), D.recased_terms(F.col("src"), F.col("tgt"), ["Brand"]))
 
 
 _TURNS = """t AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS tgt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant')"""
@@ -229,7 +228,7 @@ _TURNS = """t AS (SELECT a.conv_id, a.turn, a.text AS src, b.text AS tgt FROM co
 def answered_not_translated(spark, sf_dir):
     a = _table(spark, sf_dir, "conversations")
     b = a.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
-    return a.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("src")).join(b, ["conv_id", "turn"]).where(D.answered(_SRC, _TGT)).select("conv_id", "turn")
+    return a.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("src")).join(b, ["conv_id", "turn"]).where(D.answered(F.col("src"), F.col("tgt"))).select("conv_id", "turn")
 
 
 _LEFT = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(tgt, '{_PH}', ' ', 'g'), '</?[a-zA-Z0-9][\\w:-]*(?:\\s[^<>]*?)?/?>', ' ', 'g'), 'https?://\\S+|www\\.\\S+', ' ', 'g'), '[0-9]+', ' ', 'g')"
@@ -240,7 +239,7 @@ w AS (SELECT *, list_filter(regexp_split_to_array(s, '[^\\p{{L}}\\p{{N}}\\p{{M}}
 r AS (SELECT key, same, absent, len(regexp_extract_all(s, '\\p{{L}}{{2,}}')) AS n, len(list_filter(words, lambda x: regexp_full_match(x, '[a-zß-öø-ÿ][A-Za-zÀ-ÿ]{{3,}}'))) > 0 OR absent AND len(regexp_extract_all(s, '\\p{{L}}+')) >= 3 AND len(list_filter(regexp_extract_all(s, '\\p{{L}}+'), lambda x: regexp_matches(x, '^\\p{{Ll}}'))) > 0 AS reads FROM w)
 SELECT key, CASE WHEN absent THEN 'may be untranslated — no target-language script, still reads as source text' ELSE 'may be untranslated — identical to the source text' END AS msg FROM r WHERE reads AND (absent OR same AND n >= 3)""")
 def untranslated(spark, sf_dir):
-    return _each(pairs(spark, sf_dir, "doc_pairs").where("tgt IS NOT NULL"), D.untranslated(_SRC, _TGT, _LANG))
+    return _each(pairs(spark, sf_dir, "doc_pairs").where("tgt IS NOT NULL"), D.untranslated(F.col("src"), F.col("tgt"), F.col("lang")))
 
 
 _ICU_SRC = "'{n, plural, =0 {no {name}} one {# part {name}} other {# parts {name}}} ' || p_name"
@@ -257,11 +256,11 @@ def icu_faults(spark, sf_dir):
     p = _table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS STRING) AS key", f"{_ICU_SRC} AS src", f"{_ICU_TGT} AS tgt", "'ru-RU' AS lang")
     both = O.with_icu(p)
     a, b = F.col("src_icu"), F.col("tgt_icu")
-    na, nb = D.placeholder_names(_SRC, a), D.placeholder_names(_TGT, b)
+    na, nb = D.placeholder_names(F.col("src"), a), D.placeholder_names(F.col("tgt"), b)
     arms = F.filter(D.placeholder_counts(na, nb, a, b), lambda m: m.contains("arms"))
     short = F.transform(arms, lambda m: F.regexp_replace(m, r" \(.*$", ""))
     lost = F.transform(D.lost_placeholders(na, nb), lambda x: F.concat(F.lit("lost placeholder "), x))
-    return _each(both, F.concat(D.icu_faults(a, b, _LANG), short, lost))
+    return _each(both, F.concat(D.icu_faults(a, b, F.col("lang")), short, lost))
 
 
 # --- whole locales --------------------------------------------------------------------------------
