@@ -16,6 +16,8 @@ from .common import ids_of, map_arrow, mix, slices, table, texts_of
 TRAIN_TOXIC, TRAIN_CLEAN = 5000, 8000
 #: FTRL: rate, smoothing, L1 of words and of pairs, L2, epochs, weight of a toxic document. A feature of fewer than MIN_DOCS training documents cannot pass L1 and is left out.
 ALPHA, BETA, L1_WORD, L1_PAIR, L2, EPOCHS, TOXIC_WEIGHT, MIN_DOCS = 2.0, 1.0, 2.0, 25.0, 1.0, 8, 2.0, 2
+#: A clean document of the sample stands for those left out, but for no more than so many.
+MOST_WEIGHT = 3.0
 _PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…–—"
 
 
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_toxic: int = TRAIN_TOXIC, trai
         at = [np.minimum(np.searchsorted(every, x), max(0, len(every) - 1)) for x in each]
         numbered = [i[every[i] == x] for i, x in zip(at, each, strict=True)] if len(every) else [np.empty(0, np.int64)] * len(each)
         y = np.array([float(r[1]) for r in held])
-        s = np.where(y > 0, TOXIC_WEIGHT, max(1.0, share[True] / share[False]))
+        s = np.where(y > 0, TOXIC_WEIGHT, min(MOST_WEIGHT, max(1.0, share[True] / share[False])))
         w = ftrl(y, s, numbered, np.where(every & 3, L1_PAIR, L1_WORD))
         keep = np.flatnonzero(w[:-1])
         yield pa.RecordBatch.from_arrays([pa.array([float(w[-1])]), pa.array([every[keep].tobytes()], pa.binary()), pa.array([w[:-1][keep].astype("<f8").tobytes()], pa.binary())], ["bias", "features", "weights"])
