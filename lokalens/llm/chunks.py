@@ -8,6 +8,7 @@ whose pre-tokenizer drops white space, and only for those: other files must go t
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -19,46 +20,116 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&*#$)\]}\"|-]*)\Z")
+_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+
+
+def encoder_of(path: str, offsets: bool = False) -> ChunkEncoder:
+    """The worker's own encoder: what one task has learned serves the next."""
+    if (path, offsets) not in _encoders:
+        _encoders[path, offsets] = ChunkEncoder(path, offsets=offsets)
+    return _encoders[path, offsets]
+
+
 class ChunkEncoder:
-    """Remembers the ids of chunks; forgets all of them when there are more than `limit`, so its size is bounded."""
+    """Remembers the ids of chunks; forgets all of them when there are more than `limit`, so its size is bounded.
+
+    A chunk of Latin letters and some ASCII marks after them is two pre-tokens: the letters, whose ids
+    are learned once whatever follows them, and the marks. Letters are encoded many at a time with
+    spaces between; each run's last id is one that ends a word. Any other chunk is encoded by itself.
+    """
 
-    def __init__(self, path: str, limit: int = 300_000, offsets: bool = False):
+    def __init__(self, path: str, limit: int = 700_000, offsets: bool = False):
         self.tokenizer, self.limit, self.offsets = load(path), limit, offsets
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.letters: dict[str, int] = {}
         self.n = self.used = 0
         self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.spans = np.zeros((4096, 2), np.int32)
 
-    def learn(self, chunks: set[bytes]) -> None:
-        if len(self.index) > self.limit:
-            self._reset()
-        new = [c for c in chunks if c not in self.index]
-        if not new:
-            return
-        strings = [c.decode("utf-8") for c in new]
-        encode = self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast
-        found = encode(strings, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
-        n, used = self.n + len(new), self.used + len(flat)
+    def _add(self, flat: np.ndarray, sizes: np.ndarray, spans: np.ndarray | None) -> int:
+        """Room for entries with these ids, one after the other; the number of the first."""
+        n, used = self.n + len(sizes), self.used + len(flat)
         if n > len(self.start):
             self.start, self.size = (np.resize(x, max(n, 2 * len(x))) for x in (self.start, self.size))
         if used > len(self.flat):
             self.flat = np.resize(self.flat, max(used, 2 * len(self.flat)))
             if self.offsets:
                 self.spans = np.resize(self.spans, (len(self.flat), 2))
-        self.size[self.n : n] = sizes
-        self.start[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        first = self.n
+        self.size[first:n] = sizes
+        self.start[first:n] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : used] = flat
         if self.offsets and len(flat):
-            self.spans[self.used : used] = [o for e in found for o in e.offsets]
-        self.index.update(zip(new, range(self.n, n), strict=True))
+            self.spans[self.used : used] = spans
         self.n, self.used = n, used
+        return first
+
+    def _learn_letters(self, new: list[str]) -> None:
+        for k in range(0, len(new), 2000):
+            part = new[k : k + 2000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(got.ids, np.uint32)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(part):
+                raise ValueError("the tokenizer does not end each word with one id")
+            sizes = np.diff(stop, prepend=0)
+            spans = None
+            if self.offsets:
+                length = np.fromiter(map(len, part), np.int64, len(part)) + 1
+                spans = np.array(got.offsets, np.int64).reshape(-1, 2) - np.repeat(np.cumsum(length) - length, sizes)[:, None]
+            first = self._add(ids, sizes, spans)
+            self.letters.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def _learn_others(self, new: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch([c.decode("utf-8") for c in new], add_special_tokens=False)
+        ids = [e.ids for e in found]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        spans = np.array([o for e in found for o in e.offsets], np.int64).reshape(-1, 2) if self.offsets else None
+        first = self._add(np.array([i for x in ids for i in x], np.uint32), sizes, spans)
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def learn(self, chunks: set[bytes]) -> None:
+        if len(self.index) > self.limit:
+            self._reset()
+        plain, tailed, other, ends = [], [], [], self.ends.any()
+        for c in chunks:
+            if c in self.index:
+                continue
+            t = c.decode("utf-8")
+            m = _TAIL.match(t) if ends else None
+            if m is None:
+                other.append(c)
+            elif m[2]:
+                tailed.append((c, m[1], m[2].encode()))
+            else:
+                plain.append((c, t))
+        stems = {t for _, t in plain} | {t for _, t, _ in tailed}
+        self._learn_letters([t for t in stems if t not in self.letters])
+        self.index.update((c, self.letters[t]) for c, t in plain)
+        marks = {m for _, _, m in tailed}
+        if rest := other + [m for m in marks if m not in self.index]:
+            self._learn_others(rest)
+        if tailed:
+            a = np.array([self.letters[t] for _, t, _ in tailed])
+            b = np.array([self.index[m] for _, _, m in tailed])
+            pair = np.column_stack([a, b]).ravel()
+            size = self.size[pair]
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[pair], size)
+            spans = None
+            if self.offsets:
+                after = np.zeros(len(pair), np.int64)
+                after[1::2] = [len(t) for _, t, _ in tailed]
+                spans = self.spans[at] + np.repeat(after, size)[:, None]
+            first = self._add(self.flat[at], self.size[a] + self.size[b], spans)
+            self.index.update(zip((c for c, _, _ in tailed), range(first, first + len(tailed)), strict=True))
 
     def places(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For the tokens of learned chunks, in order: their place in `flat` and the chunk each belongs to."""

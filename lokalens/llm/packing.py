@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ChunkEncoder
+from .chunks import encoder_of
 from .common import ids_of, map_arrow, slices, table, texts_of
 
 #: Bits of a sequence_id below its bucket (log2 of the length), and below the number of the task that made it.
@@ -38,7 +38,7 @@ def pack(docs: DataFrame, max_tokens: int = 4096, end_id: int = 2, tokenizer: st
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = ChunkEncoder(path), TaskContext.get().partitionId()
+        encoder, task = encoder_of(path), TaskContext.get().partitionId()
         made = [0] * max_tokens.bit_length()
         for b in slices(batches, 256):
             split = [t.split() for t in texts_of(b)]

@@ -13,7 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ChunkEncoder, load
+from .chunks import encoder_of, load
 from .common import ids_of, map_arrow, slices, table, texts_of
 
 
@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, sections: Callable[[str], list[tuple[int, int]
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, whole = (ChunkEncoder(path, offsets=True), None) if drops_white_space else (None, load(path))
+        encoder, whole = (encoder_of(path, offsets=True), None) if drops_white_space else (None, load(path))
         for b in slices(batches, 256):
             raws = texts_of(b)
             split = [r.split() for r in raws] if encoder else []
