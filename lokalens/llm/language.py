@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ids_of, map_arrow, slices, table, texts_of
+from .common import map_arrow, materialize, slices, table, texts_of
 
 #: Bounds of the fit: labelled documents of a language (chosen by a hash of doc_id), and entries kept by count.
 TRAIN_DOCS, KEEP_WORDS, KEEP_GRAMS = 3000, 40_000, 20_000
@@ -54,21 +54,31 @@ class LanguageModel:
     def __init__(self, rows: list[tuple[int, str, dict[str, int]]], totals: dict[int, dict[str, int]]):
         self.langs = sorted(totals.get(0, {}))
         size = Counter(n for n, _, _ in rows)
-        self.table: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for n, gram, c in rows:
-            self.table[n][gram] = np.array([math.log((c.get(x, 0) + 0.5) / (totals[n].get(x, 0) + 0.5 * size[n])) for x in self.langs])
-
-    def of_word(self, word: str) -> np.ndarray:
-        if (v := self.table[0].get(word)) is not None:
-            return v
-        found, framed = [], f"\x02{word}\x03"
+        self.place: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        self.logs = np.zeros((len(rows) + 1, len(self.langs)))  # the last row, of zeros, is for a word of which nothing is known
+        for i, (n, gram, c) in enumerate(rows):
+            self.place[n][gram] = i
+            self.logs[i] = [math.log((c.get(x, 0) + 0.5) / (totals[n].get(x, 0) + 0.5 * size[n])) for x in self.langs]
+
+    def places(self, word: str) -> list[int]:
+        """The word's own row if it is known, else at each position that of the longest known n-gram."""
+        if (i := self.place[0].get(word)) is not None:
+            return [i]
+        found, framed, place = [], f"\x02{word}\x03", self.place
         for i in range(len(framed) - 1):
             for n in range(min(LONGEST, len(framed) - i), 0, -1):
-                v = self.table[n].get(framed[i : i + n])
-                if v is not None:
-                    found.append(v)
+                k = place[n].get(framed[i : i + n])
+                if k is not None:
+                    found.append(k)
                     break
-        return np.mean(found, 0) if found else np.zeros(len(self.langs))
+        return found or [len(self.logs) - 1]
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean of its places' rows."""
+        each = [self.places(w) for w in words]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.fromiter((i for x in each for i in x), np.int64, int(sizes.sum()))
+        return np.add.reduceat(self.logs[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
 
 
 class Scorer:
@@ -90,10 +100,16 @@ class Scorer:
         n = len(self.index)
         if n + len(new) > len(self.rows):
             self.rows = np.resize(self.rows, (max(n + len(new), 2 * len(self.rows)), self.width))
-        for i, c in enumerate(new, n):
-            words = _LETTERS.findall(c.decode("utf-8").lower())
-            self.rows[i, -1] = len(words)
-            self.rows[i, :-1] = sum(map(self.model.of_word, words)) if words else 0.0
+        each = [_LETTERS.findall(c.decode("utf-8").lower()) for c in new]
+        words = list({w for x in each for w in x})
+        self.rows[n : n + len(new)] = 0.0
+        if words:
+            place = dict(zip(words, range(len(words)), strict=True))
+            value = np.column_stack([self.model.of_words(words), np.ones(len(words))])
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            flat = np.fromiter((place[w] for x in each for w in x), np.int64, int(sizes.sum()))
+            some = np.flatnonzero(sizes)
+            self.rows[n + some] = np.add.reduceat(value[flat], (np.cumsum(sizes) - sizes)[some])
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
 
     def score(self, chunks: list[bytes]) -> tuple[str, float]:
@@ -114,7 +130,7 @@ def fit(train: DataFrame, train_docs: int = TRAIN_DOCS, keep_words: int = KEEP_W
         return LanguageModel([], {})
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     pick = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    counts = _counts(known.where(part < pick[F.col("lang")]))
+    counts = materialize(_counts(known.where(part < pick[F.col("lang")])), "language-counts")
     by_gram = counts.groupBy("n", "gram").agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     totals: dict[int, dict[str, int]] = {}
     for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect():
