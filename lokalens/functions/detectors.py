@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from . import tables as T
 
-from .text import all_matches, base_language, matches, messages, more_in, multiset_minus, no_text, one_if, quoted, strip, times
+from .text import all_matches, base_language, let, matches, messages, more_in, multiset_minus, no_text, one_if, quoted, strip, times
 
 
 # --- placeholders ---------------------------------------------------------------------------------
@@ -33,6 +33,10 @@ def _count(names: Column, icu_counts: Column, name: Column) -> Column:
 
 def placeholder_counts(src: Column, tgt: Column, src_icu: Column, tgt_icu: Column) -> Column:
     """Messages on invented, doubled and partly dropped placeholders; src and tgt are placeholder_names."""
+    return let(_placeholder_counts, src=src, tgt=tgt, src_icu=src_icu, tgt_icu=tgt_icu)
+
+
+def _placeholder_counts(src: Column, tgt: Column, src_icu: Column, tgt_icu: Column) -> Column:
     every = F.array_sort(F.array_distinct(F.concat(src, tgt)))
 
     def say(p: Column) -> Column:
@@ -124,46 +128,53 @@ def spelled_numbers(text: Column) -> Column:
 
 
 def number_drift(src: Column, tgt: Column, lang: Column) -> Column:
-    a, b = numbers(src), numbers(tgt)
-    ka, kb = F.transform(a, lambda x: x["key"]), F.transform(b, lambda x: x["key"])
-    shown = lambda found, key: F.filter(found, lambda x: x["key"] == key)[0]["run"]
     article = base_language(lang).isin(T.COUNTER_LANGUAGES) & matches(src, T.ARTICLE)
     spelled = F.concat(spelled_numbers(src), F.when(article, F.array(F.lit("1"))).otherwise(no_text()))
-    invented = messages(F.array_except(more_in(kb, ka), spelled), lambda k: F.concat(F.lit("number "), shown(b, k), F.lit(" appears in the translation but not the source")))
-    missing = messages(more_in(ka, kb), lambda k: F.concat(F.lit("number "), shown(a, k), F.lit(" from the source is missing or changed in the translation")))
-    out = F.concat(invented, F.when(F.size(kb) > 0, missing).otherwise(no_text()))
-    return F.when(matches(src, f"[{T.DIGITS}]") | matches(tgt, f"[{T.DIGITS}]"), out).otherwise(no_text())
+
+    def drift(a: Column, b: Column) -> Column:
+        keys = lambda x: F.transform(x, lambda y: y["key"])
+        return let(lambda ka, kb: said(a, b, ka, kb), ka=keys(a), kb=keys(b))
+
+    def said(a: Column, b: Column, ka: Column, kb: Column) -> Column:
+        shown = lambda found, key: F.filter(found, lambda x: x["key"] == key)[0]["run"]
+        invented = messages(F.array_except(more_in(kb, ka), spelled), lambda k: F.concat(F.lit("number "), shown(b, k), F.lit(" appears in the translation but not the source")))
+        missing = messages(more_in(ka, kb), lambda k: F.concat(F.lit("number "), shown(a, k), F.lit(" from the source is missing or changed in the translation")))
+        return F.when(ka == kb, no_text()).otherwise(F.concat(invented, F.when(F.size(kb) > 0, missing).otherwise(no_text())))
+
+    return F.when(matches(src, f"[{T.DIGITS}]") | matches(tgt, f"[{T.DIGITS}]"), let(drift, a=numbers(src), b=numbers(tgt))).otherwise(no_text())
 
 
-_CURRENCY_PATTERNS: dict[str, str] = {}
-for _token, _currency in T.CURRENCY:
-    _t, _gap = re.escape(_token).replace("\\ ", " "), "[   ]"
-    _near = rf"(?:(?<=\d)|(?<=\d{_gap})){_t}(?![A-Za-z])|(?<![A-Za-z0-9]){_t}{_gap}?(?=\d)"
-    _CURRENCY_PATTERNS[_currency] = f"{_CURRENCY_PATTERNS[_currency]}|{_near}" if _currency in _CURRENCY_PATTERNS else f"(?U){_near}"
+_GAP = "[ \u00a0\u202f]"
+_TOKENS = "(?:" + "|".join(re.escape(t).replace("\\ ", " ") for t, _ in sorted(T.CURRENCY, key=lambda x: -len(x[0]))) + ")"
+_PRICE = rf"(?U)(?:(?<=\d)|(?<=\d{_GAP})){_TOKENS}(?![A-Za-z])|(?<![A-Za-z0-9]){_TOKENS}{_GAP}?(?=\d)"
 
 
 def currencies(text: Column) -> Column:
-    """Sorted currencies that the text quotes next to a number."""
-    found = F.filter(F.array(*[F.when(matches(text, p), F.lit(c)) for c, p in sorted(_CURRENCY_PATTERNS.items())]), lambda x: x.isNotNull())
-    return F.when(matches(text, r"(?U)\d"), found).otherwise(no_text())
+    """Sorted currencies that the text quotes next to a number, longer tokens before those they hold."""
+    meant = T.literal_map(dict(T.CURRENCY))
+    found = F.transform(all_matches(text, _PRICE), lambda t: F.element_at(meant, F.regexp_replace(t, f"{_GAP}$", "")))
+    return F.when(matches(text, r"(?U)\d"), F.array_sort(F.array_distinct(found))).otherwise(no_text())
 
 
 def currency_change(src: Column, tgt: Column) -> Column:
-    a, b = currencies(src), currencies(tgt)
     show = lambda x: F.array_join(x, ", ")
-    return (
-        F.when(a == b, no_text())
-        .when(F.size(b) == 0, F.array(F.concat(F.lit("currency dropped — the source priced this in "), show(a), F.lit(", the translation has no currency"))))
-        .when(F.size(a) == 0, F.array(F.concat(F.lit("currency invented — the translation quotes "), show(b), F.lit(", the source quoted none"))))
-        .otherwise(F.array(F.concat(F.lit("currency changed: "), show(a), F.lit(" → "), show(b), F.lit(" — this is a different price, not a translation"))))
-    )
+
+    def said(a: Column, b: Column) -> Column:
+        return (
+            F.when(a == b, no_text())
+            .when(F.size(b) == 0, F.array(F.concat(F.lit("currency dropped — the source priced this in "), show(a), F.lit(", the translation has no currency"))))
+            .when(F.size(a) == 0, F.array(F.concat(F.lit("currency invented — the translation quotes "), show(b), F.lit(", the source quoted none"))))
+            .otherwise(F.array(F.concat(F.lit("currency changed: "), show(a), F.lit(" → "), show(b), F.lit(" — this is a different price, not a translation"))))
+        )
+
+    return let(said, a=currencies(src), b=currencies(tgt))
 
 
 # --- markup ---------------------------------------------------------------------------------------
 
 
 def entity_faults(src: Column, tgt: Column) -> Column:
-    new = more_in(all_matches(tgt, T.DOUBLE_ENCODED), all_matches(src, T.DOUBLE_ENCODED))
+    new = F.when(tgt.contains("&amp;"), let(more_in, a=all_matches(tgt, T.DOUBLE_ENCODED), b=all_matches(src, T.DOUBLE_ENCODED))).otherwise(no_text())
     said = messages(new, lambda e: F.concat(F.lit("double-encoded entity "), e, F.lit(" — the & was re-escaped (renders literally)")))
     broken = matches(tgt, T.BROKEN_ESCAPE) & ~matches(src, T.BROKEN_ESCAPE)
     return F.concat(said, one_if(broken, F.lit("broken \\u escape — a unicode escape was mangled to non-hex")))
@@ -176,7 +187,7 @@ def tags(text: Column) -> Column:
 
 
 def lost_tags(src: Column, tgt: Column) -> Column:
-    return F.when(src.contains("<"), multiset_minus(tags(src), tags(tgt))).otherwise(no_text())
+    return F.when(src.contains("<"), let(multiset_minus, a=tags(src), b=tags(tgt))).otherwise(no_text())
 
 
 # --- ICU ------------------------------------------------------------------------------------------
@@ -184,8 +195,10 @@ def lost_tags(src: Column, tgt: Column) -> Column:
 
 def icu_faults(src_icu: Column, tgt_icu: Column, lang: Column) -> Column:
     empty = F.array().cast("array<struct<type:string,keywords:array<string>,exacts:array<string>>>")
-    a, b = F.coalesce(src_icu["blocks"], empty), F.coalesce(tgt_icu["blocks"], empty)
-    base = base_language(lang)
+    return let(_icu_faults, a=F.coalesce(src_icu["blocks"], empty), b=F.coalesce(tgt_icu["blocks"], empty), base=base_language(lang))
+
+
+def _icu_faults(a: Column, b: Column, base: Column) -> Column:
     required = F.coalesce(T.literal_map(T.CLDR_REQUIRED)[base], no_text())
     fewer = one_if(F.size(a) > F.size(b), F.concat(F.lit("ICU plural/select construct dropped or broken ("), F.size(a).cast("string"), F.lit(" in source, "), F.size(b).cast("string"), F.lit(" in translation)")))
 
@@ -231,13 +244,16 @@ def collapsed_to_term(src: Column, tgt: Column, glossary: list[str] | None) -> C
 def recased_terms(src: Column, tgt: Column, glossary: list[str] | None) -> Column:
     said = []
     for t in _terms(glossary):
-        forms, seen = F.array_sort(F.array_distinct(all_matches(src, quoted(t)))), all_matches(tgt, quoted(t))
-        first = lambda f, change: F.concat(change(F.substring(f, 1, 1)), F.substring(f, 2, 1 << 30))
-        fits = F.exists(forms, lambda f: F.contains(tgt, f) | F.contains(tgt, first(f, F.upper)) | F.contains(tgt, first(f, F.lower)))
-        said.append(F.when((F.size(forms) > 0) & (F.size(seen) > 0) & ~fits, F.concat(forms[0], F.lit(' appears as "'), seen[0], F.lit('" — a kept term keeps its exact case'))))
+        said.append(let(lambda forms, seen: _recased(tgt, forms, seen), forms=F.array_sort(F.array_distinct(all_matches(src, quoted(t)))), seen=all_matches(tgt, quoted(t))))
     return F.array_sort(F.array_distinct(F.filter(F.array(*said), lambda x: x.isNotNull()))) if said else no_text()
 
 
+def _recased(tgt: Column, forms: Column, seen: Column) -> Column:
+    first = lambda f, change: F.concat(change(F.substring(f, 1, 1)), F.substring(f, 2, 1 << 30))
+    fits = F.exists(forms, lambda f: F.contains(tgt, f) | F.contains(tgt, first(f, F.upper)) | F.contains(tgt, first(f, F.lower)))
+    return F.when((F.size(forms) > 0) & (F.size(seen) > 0) & ~fits, F.concat(forms[0], F.lit(' appears as "'), seen[0], F.lit('" — a kept term keeps its exact case')))
+
+
 # --- leftovers ------------------------------------------------------------------------------------
 
 
@@ -263,12 +279,14 @@ def untranslated(src: Column, tgt: Column, lang: Column, glossary: list[str] | N
         if t:
             s = F.regexp_replace(s, quoted(t), " ")
     absent = scripted & ~written
-    words = all_matches(s, T.LETTERS + "+")
-    sentence = (F.size(words) >= 3) & F.exists(words, lambda w: w.rlike(r"(?U)^\p{Lower}"))
-    reads = matches(s, T.LOWERCASE_WORD) | (absent & sentence)
-    asked = (base != "en") & (same | absent) & reads
-    return (
-        F.when(asked & absent, F.array(F.lit("may be untranslated — no target-language script, still reads as source text")))
-        .when(asked & same & (F.size(all_matches(s, T.LETTERS + "{2,}")) >= 3), F.array(F.lit("may be untranslated — identical to the source text")))
-        .otherwise(no_text())
-    )
+
+    def said(s: Column) -> Column:
+        sentence = let(lambda words: (F.size(words) >= 3) & F.exists(words, lambda w: w.rlike(r"(?U)^\p{Lower}")), words=all_matches(s, T.LETTERS + "+"))
+        reads = matches(s, T.LOWERCASE_WORD) | (absent & sentence)
+        return (
+            F.when(absent & reads, F.array(F.lit("may be untranslated — no target-language script, still reads as source text")))
+            .when(same & reads & (F.size(all_matches(s, T.LETTERS + "{2,}")) >= 3), F.array(F.lit("may be untranslated — identical to the source text")))
+            .otherwise(no_text())
+        )
+
+    return F.when((base != "en") & (same | absent), let(said, s=s)).otherwise(no_text())

@@ -38,6 +38,13 @@ def quoted(term: str) -> str:
     return "(?iu)" + "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def let(body: Callable[..., Column], **values: Column) -> Column:
+    """body(**values) with each value computed once a row: a lambda's outer expressions would be computed for each element."""
+    names = list(values)
+    bound = F.array(F.struct(*[v.alias(n) for n, v in values.items()]))
+    return F.transform(bound, lambda v: body(**{n: v[n] for n in names}))[0]
+
+
 def times(a: Column, x: Column) -> Column:
     return F.size(F.filter(a, lambda y: y == x))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import detectors as D
 from ..functions import tables as T
 from ..functions.icu import parse_column
-from ..functions.text import base_language, normalized, no_text, one_if, strip
+from ..functions.text import base_language, let, normalized, one_if, strip
 from ..shipping import ship
 
 ERROR, WARN = "error", "warn"
@@ -27,11 +27,12 @@ def with_icu(pairs: DataFrame) -> DataFrame:
 def string_checks(glossary: list[str] | None = None) -> Column:
     """All string checks of a pair (src, tgt, lang, src_icu, tgt_icu) in their fixed order, as one array."""
     src, tgt, lang, a, b = (F.col(c) for c in ("src", "tgt", "lang", "src_icu", "tgt_icu"))
-    names_a, names_b = D.placeholder_names(src, a), D.placeholder_names(tgt, b)
+    placeholders = lambda names_a, names_b: F.concat(
+        _tagged(0, ERROR, "lost_placeholder", F.transform(D.lost_placeholders(names_a, names_b), lambda x: F.concat(F.lit("lost placeholder "), x))),
+        _tagged(1, ERROR, "placeholder_count", D.placeholder_counts(names_a, names_b, a, b)),
+    )
     prefixed = lambda text, found: F.transform(found, lambda x: F.concat(F.lit(text), x))
     checks = [
-        (ERROR, "lost_placeholder", prefixed("lost placeholder ", D.lost_placeholders(names_a, names_b))),
-        (ERROR, "placeholder_count", D.placeholder_counts(names_a, names_b, a, b)),
         (ERROR, "number", D.number_drift(src, tgt, lang)),
         (ERROR, "entity", D.entity_faults(src, tgt)),
         (ERROR, "currency", D.currency_change(src, tgt)),
@@ -48,7 +49,7 @@ def string_checks(glossary: list[str] | None = None) -> Column:
         (ERROR, "answered", one_if(D.answered(src, tgt), F.lit("not a translation — the model answered the string instead of translating it"))),
         (WARN, "untranslated", D.untranslated(src, tgt, lang, glossary)),
     ]
-    return F.concat(*[_tagged(i, *c) for i, c in enumerate(checks)])
+    return F.concat(let(placeholders, names_a=D.placeholder_names(src, a), names_b=D.placeholder_names(tgt, b)), *[_tagged(i, *c) for i, c in enumerate(checks, 2)])
 
 
 def string_findings(pairs: DataFrame, glossary: list[str] | None = None) -> DataFrame:
