@@ -314,7 +314,25 @@ def check_findings(spark, sf_dir):
     return _check(spark, sf_dir)[0]
 
 
-@query()
+_TERMS = "(?i)brand|steel|copper"
+
+
+@query(f"""WITH p AS ({_pairs_sql('brand_pairs')} UNION ALL {_pairs_sql('part_pairs')}),
+a AS (SELECT *, regexp_extract_all(src, '{_PH}') AS s, regexp_extract_all(tgt, '{_PH}') AS t, {_nums('src')} AS ns, {_nums('tgt')} AS nt, regexp_replace({_LEFT}, '{_TERMS}', ' ', 'g') AS rest FROM p),
+c AS (SELECT lang, key, ord, x, len(list_filter(s, lambda y: y = x)) AS ns, len(list_filter(t, lambda y: y = x)) AS nt FROM (SELECT *, unnest(list_distinct(list_concat(s, t))) AS x FROM a)),
+g AS (SELECT *, unnest(['Brand', 'STEEL', 'Copper']) AS term FROM p),
+f AS (SELECT lang, key, ord, term, list_sort(list_distinct(regexp_extract_all(src, '(?i)' || term))) AS forms, regexp_extract_all(tgt, '(?i)' || term) AS seen, tgt FROM g)
+SELECT lang, key, ord, 0 AS seq, 'error' AS severity, 'lost_placeholder' AS detector, 'lost placeholder ' || x AS msg FROM c WHERE nt = 0
+UNION ALL SELECT lang, key, ord, 1, 'error', 'placeholder_count', CASE WHEN ns = 0 THEN 'invented placeholder ' || x || ' (not in source)' WHEN nt > ns THEN 'placeholder ' || x || ' appears ' || nt || '× vs ' || ns || '× in source (duplicated)' ELSE 'placeholder ' || x || ' appears ' || ns || '× in source but ' || nt || '× in translation' END FROM c WHERE x <> '%%' AND (nt > ns OR ns > nt AND nt > 0)
+UNION ALL SELECT lang, key, ord, 2, 'error', 'number', 'number ' || unnest({_MORE.format(a='nt', b='ns')}) || ' appears in the translation but not the source' FROM a
+UNION ALL SELECT lang, key, ord, 2, 'error', 'number', 'number ' || unnest({_MORE.format(a='ns', b='nt')}) || ' from the source is missing or changed in the translation' FROM a WHERE len(nt) > 0
+UNION ALL SELECT lang, key, ord, 7, 'error', 'glossary_dropped', 'glossary term dropped: ' || term FROM g WHERE contains(lower(src), lower(term)) AND NOT contains(lower(tgt), lower(term))
+UNION ALL SELECT lang, key, ord, 8, 'error', 'glossary_collapse', 'translation collapsed to the glossary term "' || list_filter(['Brand', 'STEEL', 'Copper'], lambda x: contains(lower(tgt), lower(x)))[1] || '" — the sentence is gone' FROM a
+ WHERE len(regexp_extract_all(src, '\\p{{L}}{{2,}}')) >= 3 AND NOT regexp_matches(regexp_replace(regexp_replace(tgt, '{_TERMS}', ' ', 'g'), '{_PH}', ' ', 'g'), '\\p{{L}}') AND regexp_matches(tgt, '{_TERMS}')
+UNION ALL SELECT lang, key, ord, 9, 'warn', 'glossary_case', 'glossary case: ' || forms[1] || ' appears as "' || seen[1] || '" — a kept term keeps its exact case' FROM f
+ WHERE len(forms) > 0 AND len(seen) > 0 AND len(list_filter(forms, lambda x: contains(tgt, x) OR contains(tgt, upper(x[1]) || x[2:]) OR contains(tgt, lower(x[1]) || x[2:]))) = 0
+UNION ALL SELECT lang, key, ord, 11, 'warn', 'untranslated', 'may be untranslated — identical to the source text' FROM a WHERE src = tgt AND len(regexp_extract_all(rest, '\\p{{L}}{{2,}}')) >= 3
+ AND len(list_filter(regexp_split_to_array(rest, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: regexp_full_match(x, '[a-zß-öø-ÿ][A-Za-zÀ-ÿ]{{3,}}'))) > 0""")
 def string_findings(spark, sf_dir):
     return O.string_findings(pairs(spark, sf_dir, "brand_pairs").unionByName(pairs(spark, sf_dir, "part_pairs")), GLOSSARY)
 
