@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, html_extract, jaccard, language, line_dedup, packing, substring, token_counts, toxicity
+from . import ann, decontam, html_extract, jaccard, language, line_dedup, packing, sql, substring, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -18,4 +18,6 @@ QUERIES = {
 }
 SQL = {
     "op5_line_dedup": line_dedup.SQL,
+    "op8_jaccard": sql.JACCARD,
+    "op9_substring_dedup": sql.SUBSTRING,
 }
