@@ -253,11 +253,25 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page: blocks in page order joined by two newlines; empty if there is none."""
+    """The article of a page: blocks in page order joined by two newlines; empty if there is none. Where names alone rule out all text, they are not heeded."""
     if not page:
         return ""
+    root = parse(page)
+    text = _text_of(root)
+    if not text:
+        stack, named = [root], False
+        while stack:
+            node = stack.pop()
+            named |= node.bad
+            node.bad, node.score, node.length, node.linked = False, 0.0, 0, 0
+            stack.extend(c for c in node.children if isinstance(c, Node))
+        text = _text_of(root) if named else ""
+    return text
+
+
+def _text_of(root: Node) -> str:
     out: list[list[str]] = [[]]
-    for node in best_containers(parse(page)):
+    for node in best_containers(root):
         out.append([])
         _blocks(node, out)
     return "\n\n".join(t for parts in out if parts and (t := _clean("".join(parts))))

@@ -147,6 +147,7 @@ PARA = "This is a sentence of the article, with commas, and it is long enough to
     (f"<nav>menu</nav><div class='sidebar'><p>{PARA}</p></div><div id=main><p>{PARA}</p><div class=ad>buy, buy</div><ul><li>one</li><li>two</li></ul></div><div class=comments><p>{PARA} {PARA} {PARA}</p></div>", f"{PARA}\n\none\n\ntwo"),
     (f"<body><div><p>{PARA}</p><p>{PARA}<br>  next\n line</p></div><form><p>{PARA}</p></form><!-- <p>c</p> --></body>", f"{PARA}\n\n{PARA} next line"),
     (f"<article><p><b>bold {PARA}<br><p>next</article>", f"bold {PARA}\n\nnext"),
+    (f"<div class='page-with-sidebar'><p>{PARA}</p></div>", PARA),
     ("<p>" * 3000 + "deep", "deep"), ("<div>" * 3000 + PARA, PARA),
 ])
 def test_main_text(page, text):
