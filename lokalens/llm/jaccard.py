@@ -133,8 +133,8 @@ def _index(docs: DataFrame, n: int, shards: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "shard int, entries binary, counts binary, sigs binary")
 
 
-def _shared(packed: DataFrame) -> DataFrame:
-    """(node, role, need, filled, met): for each entry its signatures of a shard that occur again, each with its number."""
+def _shared(packed: DataFrame, parts: int) -> DataFrame:
+    """Packed by part (of the entries): entries of a shard and their signatures that occur again, each with its number."""
 
     def run(t: pa.Table) -> pa.Table:
         columns = {c: t.column(c).to_pylist() for c in ("entries", "counts", "sigs")}
@@ -155,27 +155,57 @@ def _shared(packed: DataFrame) -> DataFrame:
         size = np.diff(np.append(begin, len(s)))
         often = np.repeat(size, size)
         rows = np.flatnonzero(often > 1)
-        who, what, freq = of[order[rows]], s[rows].astype(np.int64), often[rows].astype(np.int32)
-        back = np.argsort(who, kind="stable")
+        who, what, freq = of[order[rows]], s[rows], np.minimum(often[rows], 0xFFFFFFFF).astype("<u4")
+        part = (mix(meta[:, 0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        back = np.lexsort((who, part[who]))
         who, what, freq = who[back], what[back], freq[back]
-        own, first = np.unique(who, return_index=True)
-        shard = t.column("shard")[0].as_py() if t.num_rows else 0
-        pairs = pa.StructArray.from_arrays([pa.array(freq), pa.array(what | np.int64(shard) << 32)], ["f", "s"])
-        met = pa.ListArray.from_arrays(pa.array(np.append(first, len(who)), pa.int32()), pairs)
-        m = meta[own]
-        return pa.table({"node": pa.array(m[:, 0]), "role": pa.array(m[:, 1].astype(np.int32)), "need": pa.array(m[:, 2].astype(np.int32)), "filled": pa.array(m[:, 3].astype(np.int32)), "met": met})
+        cut = np.searchsorted(part[who], np.arange(parts + 1))
+        shard = t.column("shard")[0].as_py()
+        out = []
+        for k in range(parts):
+            lo, hi = cut[k], cut[k + 1]
+            if hi > lo:
+                own, number = np.unique(who[lo:hi], return_counts=True)
+                out.append((k, shard, meta[own].tobytes(), number.astype("<u4").tobytes(), freq[lo:hi].tobytes(), what[lo:hi].tobytes()))
+        names = ["part", "shard", "entries", "counts", "freqs", "sigs"]
+        return pa.table({n: pa.array([r[i] for r in out], pa.int32() if i < 2 else pa.binary()) for i, n in enumerate(names)})
 
     ship(packed.sparkSession)
-    return packed.groupBy("shard").applyInArrow(run, "node long, role int, need int, filled int, met array<struct<f:int,s:long>>")
+    return packed.groupBy("shard").applyInArrow(run, "part int, shard int, entries binary, counts binary, freqs binary, sigs binary")
+
+
+def _spent(shared: DataFrame) -> DataFrame:
+    """(node, sig): what each entry's budget buys, its rarest repeated signatures; none if fewer repeat than a partner must share."""
+
+    def run(t: pa.Table) -> pa.Table:
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
+        metas, sigs = read("entries", np.int64), read("sigs", "<u4")
+        meta = np.concatenate(metas).reshape(-1, 4)
+        count = np.concatenate(read("counts", "<u4")).astype(np.int64)
+        freq = np.concatenate(read("freqs", "<u4"))
+        sig = np.concatenate([x.astype(np.int64) | np.int64(k) << 32 for x, k in zip(sigs, t.column("shard").to_pylist(), strict=True)])
+        order = np.lexsort((meta[:, 1], meta[:, 0]))
+        new = np.concatenate([[True], (meta[order[1:], :2] != meta[order[:-1], :2]).any(1)])
+        group = np.empty(len(meta), np.int64)
+        group[order] = np.cumsum(new) - 1
+        entry = meta[order[new]]
+        of = np.repeat(group, count)
+        met = np.bincount(of, minlength=len(entry))
+        left = entry[:, 2] - (entry[:, 3] - met)
+        order = np.lexsort((sig, freq, of))
+        of, sig = of[order], sig[order]
+        rank = np.arange(len(of)) - np.repeat(np.cumsum(met) - met, met)
+        keep = rank < left[of]
+        return pa.table({"node": pa.array(entry[of[keep], 0]), "sig": pa.array(sig[keep])})
+
+    ship(shared.sparkSession)
+    return shared.groupBy("part").applyInArrow(run, "node long, sig long")
 
 
 def candidates(docs: DataFrame, n: int, total: int) -> DataFrame:
     """(a, b): edges whose components hold every pair of different sets that may link. total: shingles of all sets, which sets the number of shards."""
-    shared = _shared(_index(docs, n, max(1, -(-total // SHARD_SIGNATURES))))
-    by_entry = shared.groupBy("node", "role").agg(F.first("need").alias("need"), F.first("filled").alias("filled"), F.flatten(F.collect_list("met")).alias("met"))
-    left = F.col("need") - (F.col("filled") - F.size("met"))
-    spent = by_entry.where(left > 0).select("node", F.explode(F.slice(F.array_sort("met"), F.lit(1), left)).alias("x")).select("node", F.col("x.s").alias("sig"))
-    spent = materialize(spent, "signatures")
+    shards = max(1, -(-total // SHARD_SIGNATURES))
+    spent = materialize(_spent(_shared(_index(docs, n, shards), shards)), "signatures")
     hubs = spent.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").drop("top")
     return spent.join(hubs, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
