@@ -39,7 +39,7 @@ class ChunkEncoder:
     spaces between; each run's last id is one that ends a word. Any other chunk is encoded by itself.
     """
 
-    def __init__(self, path: str, limit: int = 700_000, offsets: bool = False):
+    def __init__(self, path: str, limit: int = 400_000, offsets: bool = False):
         self.tokenizer, self.limit, self.offsets = load(path), limit, offsets
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)

@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, ids_of, map_arrow, materialize, mix, ngram_hashes, slices, table, texts_of
+from .common import WordHash, ids_of, map_arrow, materialize, mix, ngram_hashes, release, slices, table, texts_of
 from .components import components
 from ..shipping import ship
 
 SHINGLE = 5
 #: Signatures of a shard of the index, shingles of a block of sets that are verified together, bits of the filter of candidates.
-SHARD_SIGNATURES, BLOCK_SHINGLES, FILTER_BITS = 4_000_000, 2_000_000, 1 << 25
+SHARD_SIGNATURES, BLOCK_SHINGLES, FILTER_BITS = 1_500_000, 2_000_000, 1 << 25
 _ALL = 1 << 30
 
 
@@ -118,13 +118,13 @@ def _index(docs: DataFrame, n: int, shards: int) -> DataFrame:
             for s in sets_of(b, memo, n):
                 if not len(s) or (key := set_key(s)) in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 200_000:
                     seen.add(key)
                 for role, need, filled, sig in signatures(s):
                     entries.append((key, role, need, filled))
                     sigs.append(sig)
                     held += len(sig)
-            if held > 1_000_000:
+            if held > 500_000:
                 yield from out()
                 held = 0
         if sigs:
@@ -161,6 +161,7 @@ def _shared(packed: DataFrame, parts: int) -> DataFrame:
         who, what, freq = who[back], what[back], freq[back]
         cut = np.searchsorted(part[who], np.arange(parts + 1))
         shard = t.column("shard")[0].as_py()
+        release()
         out = []
         for k in range(parts):
             lo, hi = cut[k], cut[k + 1]
@@ -262,7 +263,7 @@ def links(docs: DataFrame, grouped: DataFrame, n: int) -> DataFrame:
                     key = set_key(s)
                     at = key % bits
                     if words[at >> 6] >> (at & 63) & 1 and key not in seen:
-                        if len(seen) < 500_000:
+                        if len(seen) < 200_000:
                             seen.add(key)
                         nodes.append(key)
                         blobs.append(s.tobytes())

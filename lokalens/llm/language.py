@@ -84,7 +84,7 @@ class LanguageModel:
 class Scorer:
     """Remembers what white-space-free chunks add; forgets all of it beyond `limit` chunks."""
 
-    def __init__(self, model: LanguageModel, limit: int = 300_000):
+    def __init__(self, model: LanguageModel, limit: int = 120_000):
         self.model, self.limit = model, limit
         self.width = len(model.langs) + 1
         self._reset()

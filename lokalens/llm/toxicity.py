@@ -24,7 +24,7 @@ _PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿
 class Features:
     """32-bit hashes of the words, the pairs of neighbours, and the pairs with one or two words between; the last two bits are the kind, in this order."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         self.memo: dict[bytes, int] = {}
         self.limit = limit
 
