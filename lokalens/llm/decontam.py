@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds lead from documents to test items, Smith-Waterman alignment scores what they share.
+"""Benchmark decontamination: n-gram seeds lead from documents to test items, Smith-Waterman alignment scores what they share.
 
-Rarity is not a count of documents, since a leaked passage may stand in a third of them: an n-gram is
-rare if its words, taken one by one, are expected to meet by chance in few documents.
+Every n-gram of an item is a seed, however frequent, so that no item is beyond search. What meets by
+chance is dropped before it is aligned, by an upper bound of its score: the longest common subsequence.
 """
 
 from __future__ import annotations
@@ -11,16 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import WordHash, ids_of, map_arrow, mix, slices, table, texts_of
 
-#: Words of a seed, and the most chance meetings expected of a seed in a thousand million words.
-SEED_WORDS, MAX_CHANCE = 3, 100.0
+#: Words of a seed; an item of fewer words is searched for as a whole.
+SEED_WORDS = 3
 #: Alignment: a match, a mismatch, a gap; a test item counts as leaked from this share of the score it has with itself.
 MATCH, MISMATCH, GAP, MIN_SCORE = 2, -1, -1, 0.5
 #: Bytes of item texts sent to the executors at once; more items are searched in several passes.
 BYTES_PER_PASS = 16_000_000
+#: Items of more words are aligned without the bound, whose bit sets grow with the square of an item.
+BOUND_WORDS = 1024
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -68,106 +69,117 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def shared_words(item: list[int], text: list[int]) -> int:
+    """The length of the longest common subsequence (bit-parallel): no alignment has more matches."""
+    at: dict[int, int] = {}
+    for i, w in enumerate(item):
+        at[w] = at.get(w, 0) | 1 << i
+    full = (1 << len(item)) - 1
+    open_ = full
+    for w in text:
+        if w in at:
+            met = open_ & at[w]
+            open_ = (open_ + met | open_ - met) & full
+    return len(item) - open_.bit_count()
+
+
 class Items:
     """The seeds of some test items, by sorted hash, and the items' words."""
 
-    def __init__(self, ids: list[int | None], texts: list[bytes], rate: dict[int, float], rest: float, seed_words: int, max_chance: float):
+    def __init__(self, ids: list[int | None], texts: list[bytes], seed_words: int):
         words = Words()
+        blank = words[b""]
         self.ids, self.words, self.n = ids, [words.of(t.split()) for t in texts], seed_words
-        every = [w for w in self.words if len(w)]
-        self.known = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
-        seeds, item, offset = [], [], []
+        seeds, item, low, high, sizes = [], [], [], [], set()
         for k, w in enumerate(self.words):
+            if (w == blank).all():  # nothing but punctuation is no text
+                continue
             n = min(self.n, len(w))
-            p = np.array([rate.get(int(x), rest) for x in w])
-            for i in range(len(w) - n + 1 if n else 0):
-                if n == self.n and 1e9 * np.prod(p[i : i + n]) <= max_chance:
-                    seeds.append(self.hashes(w[i : i + n])[0])
-                    item.append(k)
-                    offset.append(i)
-        order = np.argsort(np.array(seeds, np.uint64), kind="stable")
-        self.seeds, self.item, self.offset = np.array(seeds, np.uint64)[order], np.array(item, np.int64)[order], np.array(offset, np.int64)[order]
+            sizes.add(n)
+            own, first, back = np.unique(self.hashes(w, n), return_index=True, return_inverse=True)
+            last = np.zeros(len(own), np.int64)
+            np.maximum.at(last, back, np.arange(len(back)))
+            seeds.append(own)
+            item.append(np.full(len(own), k))
+            low.append(first)
+            high.append(last)
+        whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+        every = whole(seeds, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.seeds, self.sizes = every[order], sorted(sizes)
+        #: where in its item a seed stands first and last
+        self.item, self.low, self.high = (whole(x, np.int64)[order] for x in (item, low, high))
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.seeds & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def hashes(self, w: np.ndarray) -> np.ndarray:
-        k = max(0, len(w) - self.n + 1)
-        out = np.zeros(k, np.uint64)
-        for i in range(self.n):
+    def hashes(self, w: np.ndarray, n: int) -> np.ndarray:
+        k = max(0, len(w) - n + 1)
+        out = np.full(k, n, np.uint64)
+        for i in range(n):
             out = out * np.uint64(0x9E3779B97F4A7C15) + w[i : i + k]
         return mix(out)
 
     def candidates(self, w: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, from, to): the windows of a document to align, one for each cluster of an item's seeds on near diagonals."""
-        h = self.hashes(w)
-        at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.seeds, h[at]), np.searchsorted(self.seeds, h[at], side="right")
-        some = hi > lo
-        at, lo, hi = at[some], lo[some], hi[some]
-        begin: dict[int, list[int]] = {}
-        for p, a, b in zip(at, lo, hi, strict=True):
-            for s in range(a, b):
-                begin.setdefault(int(self.item[s]), []).append(int(p - self.offset[s]))
-        out = []
-        for k, starts in begin.items():
-            size = len(self.words[k])
+        found = []
+        for n in self.sizes:
+            h = self.hashes(w, n)
+            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            if not len(at):
+                continue
+            # a seed that stands again and again is one run: its starts lie on near diagonals
+            new = np.concatenate([[True], (h[at[1:]] != h[at[:-1]]) | (at[1:] != at[:-1] + 1)])
+            run, until = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+            lo, hi = np.searchsorted(self.seeds, h[run]), np.searchsorted(self.seeds, h[run], side="right")
+            size = hi - lo
+            s = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            found.append((self.item[s], np.repeat(run, size) - self.high[s], np.repeat(until, size) - self.low[s]))
+        if not found:
+            return []
+        item, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((begin, item))
+        out, now, first, last = [], -1, 0, 0
+
+        def close() -> None:
+            size = len(self.words[now])
             slack = size // 2 + 2
-            starts = sorted(set(starts))
-            first = last = starts[0]
-            for x in starts[1:] + [None]:
-                if x is not None and x - last <= size:
-                    last = x
-                    continue
-                out.append((k, max(0, first - slack), min(len(w), last + size + slack)))
-                first = last = x
+            out.append((now, max(0, first - slack), min(len(w), last + size + slack)))
+
+        for k, b, e in zip(item[order].tolist(), begin[order].tolist(), end[order].tolist(), strict=True):
+            if k == now and b - last <= len(self.words[k]):
+                last = max(last, e)
+                continue
+            if now >= 0:
+                close()
+            now, first, last = k, b, e
+        if now >= 0:
+            close()
         return out
 
 
-def _rates(docs: DataFrame, known: np.ndarray) -> tuple[dict[int, float], float]:
-    """Share of the corpus's words that each of the items' words has, and the share given to one never seen. The counts cover all documents; only words of items are counted one by one, so the result is no larger than the items."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = Words(), held.value
-        counts, total = np.zeros(len(own) + 1, np.int64), 0
-        for b in slices(batches):
-            for t in texts_of(b):
-                w = words.of(t.split())
-                total += len(w)
-                at = np.searchsorted(own, w)
-                at = np.where(own[np.minimum(at, len(own) - 1)] == w, at, len(own)) if len(own) else np.zeros(len(w), np.int64)
-                counts += np.bincount(at, minlength=len(own) + 1)
-        some = np.flatnonzero(counts[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(own[some].view(np.int64), 0)), pa.array(np.append(counts[:-1][some], total)), pa.array([False] * len(some) + [True])], ["h", "c", "all"])
-
-    rows = map_arrow(docs.select("text"), run, "h long, c long, all boolean").groupBy("h", "all").agg(F.sum("c").alias("c")).collect()
-    total = max(1, sum(r["c"] for r in rows if r["all"]))
-    return {r["h"] & 0xFFFFFFFFFFFFFFFF: r["c"] / total for r in rows if not r["all"]}, 1 / total
-
-
-def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_words: int = SEED_WORDS, max_chance: float = MAX_CHANCE, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_words: int = SEED_WORDS, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
     """(doc_id, item_id, score, start, end): the test items of which a document holds a copy, edited or not.
 
     Words are the text's ASCII-white-space-free chunks in lower case without ASCII punctuation at the
     ends. score is the best local alignment with the item over the item's own (1: a whole copy); start
     and end are the half-open span of words it covers. A document and an item meet once, with the best
-    of their windows. Null and empty texts and items match nothing; items under seed_words words or
-    without a rare seed cannot be searched for and match nothing; a null id stays null. Repeated rows
-    give repeated results. Items are sent to the executors in passes of bytes_per_pass.
+    of their windows. They meet where they share seed_words words in a row, whatever words, and a whole
+    item of fewer. Null and empty texts and items match nothing, nor do items without a word but
+    punctuation; a null id stays null. Repeated rows give repeated results. Items are sent to the
+    executors in passes of bytes_per_pass.
     """
     out = None
     for rows in item_passes(items, bytes_per_pass):
-        part = _pass(docs, _held(docs, rows, seed_words, max_chance), min_score)
+        part = _pass(docs, _held(docs, rows, seed_words), min_score)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_words: int = SEED_WORDS, max_chance: float = MAX_CHANCE, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_words: int = SEED_WORDS, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
     """The rows of docs, all columns, that hold no copy of an item: those for which leaks() gives nothing. Rows are judged where they are, without a join."""
     rows_of = docs
     for rows in item_passes(items, bytes_per_pass):
-        rows_of = _clean(rows_of, _held(docs, rows, seed_words, max_chance), min_score)
+        rows_of = _clean(rows_of, _held(docs, rows, seed_words), min_score)
     return rows_of
 
 
@@ -194,21 +206,20 @@ def item_passes(items: DataFrame, bytes_per_pass: int) -> Iterator[list[tuple[in
     yield rows
 
 
-def _held(docs: DataFrame, rows: list[tuple[int | None, bytes]], seed_words: int, max_chance: float):
+def _held(docs: DataFrame, rows: list[tuple[int | None, bytes]], seed_words: int):
     """A pass's items as a broadcast."""
-    words = Words()
-    hashed = [words.of(t.split()) for _, t in rows]
-    known = np.unique(np.concatenate(hashed)) if hashed else np.empty(0, np.uint64)
-    rate, rest = _rates(docs, known)
-    return docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], rate, rest, seed_words, max_chance))
+    return docs.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], seed_words))
 
 
 def _matches(items: Items, w: np.ndarray, min_score: float) -> dict[int, tuple[float, int, int]]:
     """The best alignment of each item of which the document holds a copy, by the item's place."""
     best: dict[int, tuple[float, int, int]] = {}
     for k, lo, hi in items.candidates(w):
+        size = len(items.words[k])
+        if size <= BOUND_WORDS and MATCH * shared_words(items.words[k].tolist(), w[lo:hi].tolist()) / (MATCH * size) < min_score:
+            continue
         s, begin, end = align(items.words[k], w[lo:hi])
-        s /= MATCH * len(items.words[k])
+        s /= MATCH * size
         if s >= min_score and (k not in best or s > best[k][0]):
             best[k] = (s, lo + begin, lo + end)
     return best

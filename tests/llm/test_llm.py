@@ -136,6 +136,33 @@ def test_leaks(spark, odd):
     assert decontam.without_leaks(odd, bench).columns == odd.columns and decontam.without_leaks(odd, bench).count() == len(ODD)
 
 
+def test_leaks_of_frequent_words(spark):
+    """Copies are found whatever share of the table's words they are, and items too short for a seed."""
+    rnd = random.Random(9)
+    noise = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    items = [(0, noise(36)), (1, noise(18)), (2, "one two"), (3, "single"), (4, "!!! ..."), (5, "of the of the of the of the"), (6, noise(1200))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda rows: sorted((r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(rows, DOCS), bench).collect())
+    rows = [(i, items[i % 2][1] if i % 3 == 0 else noise(20)) for i in range(90)]
+    assert found(rows) == [(i, i % 2) for i in range(0, 90, 3)]
+    for k in (0, 1, 2, 3, 5, 6):
+        assert found([(7, items[k][1])]) == [(7, k)]
+    assert found([(1, "two one - !!! ... of the"), (2, f"{noise(3)} One, two. {noise(2)}"), (3, "of the " * 5000)]) == [(2, 2), (3, 5)]
+
+
+def test_bound_is_longest_common_subsequence():
+    rnd = random.Random(10)
+    for _ in range(200):
+        a, b = ([rnd.randint(0, 5) for _ in range(rnd.randint(0, 30))] for _ in range(2))
+        rows = [[0] * (len(b) + 1)]
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(rows[-1][j] + 1 if x == y else max(rows[-1][j + 1], row[j]))
+            rows.append(row)
+        assert decontam.shared_words(a, b) == rows[-1][-1]
+
+
 # --- 4: pages -------------------------------------------------------------------------------------
 
 PARA = "This is a sentence of the article, with commas, and it is long enough to be read by people."
