@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for their length and commas to their parent and, halved, to their grandparent;
-a container's points are discounted by its link density. The best container is kept with those of its
-siblings that score well or read like text; blocks that markup or names call boilerplate are left out first.
+a container's points are discounted by its link density. The best container is kept with all beside it
+that holds text; only what markup, names or links call boilerplate is left out.
 """
 
 from __future__ import annotations
@@ -46,17 +46,18 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-SIBLING_SHARE, SIBLING_LENGTH, SIBLING_LINKS, LINKY = 0.2, 80, 0.25, 0.5
+#: Beside the best container a block with more than this share of linked text is boilerplate. A menu has at least so much of it, and shorter links than so many characters in the mean.
+LINKY, MENU_SHARE, MENU_LINK = 0.5, 0.8, 25
 
 
 class Node:
-    __slots__ = ("tag", "bad", "name_score", "parent", "children", "score", "length", "linked")
+    __slots__ = ("tag", "bad", "name_score", "parent", "children", "score", "length", "linked", "links", "paragraphs")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False, name_score: int = 0):
         self.tag, self.parent, self.bad, self.name_score = tag, parent, bad, name_score
         self.children: list[Node | str] = []
         self.score = 0.0
-        self.length = self.linked = 0
+        self.length = self.linked = self.links = self.paragraphs = 0
 
 
 def _names(raw: str) -> tuple[bool, int]:
@@ -150,7 +151,7 @@ def _dropped(node: Node) -> bool:
 
 
 def _walk(root: Node) -> tuple[list[Node], list[Node]]:
-    """Kept nodes in page order and, among them, those with text of their own kind: paragraphs, and containers with text right in them. Sets length and linked of all."""
+    """Kept nodes in page order and, among them, those with text of their own kind: paragraphs, and containers with text right in them. Sets length, linked, links and paragraphs of all."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -163,9 +164,12 @@ def _walk(root: Node) -> tuple[list[Node], list[Node]]:
             if isinstance(c, Node) and not _dropped(c):
                 own += c.length
                 node.linked += c.linked
+                node.links += c.links
+                node.paragraphs += c.paragraphs
         node.length = own
+        node.paragraphs += node.tag in ("p", "pre", "blockquote") and own > 0
         if node.tag == "a":
-            node.linked = own
+            node.linked, node.links = own, int(own > 0)
     for node in order:
         if node.tag in PARAGRAPHS or node.tag in CONTAINERS and any(isinstance(c, str) and not c.isspace() for c in node.children):
             texts.append(node)
@@ -176,6 +180,30 @@ def _density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
+def _menu(node: Node) -> bool:
+    return node.linked >= MENU_SHARE * node.length and node.linked < MENU_LINK * node.links
+
+
+def _beside(parent: Node, inner: set[int]) -> list[Node | str]:
+    """The children of parent that are kept, in order: those in inner (by id), and what holds text and isn't boilerplate. Text right in parent is judged with the inline tags around it."""
+    out: list[Node | str] = []
+    run: list[Node | str] = []
+    for c in [*parent.children, None]:
+        if c is not None and (isinstance(c, str) or c.tag not in BLOCK and id(c) not in inner):
+            if isinstance(c, str) or not _dropped(c):
+                run.append(c)
+            continue
+        length = sum(len(_SPACE.sub(" ", x).strip()) if isinstance(x, str) else x.length for x in run)
+        if length and sum(x.linked for x in run if isinstance(x, Node)) <= LINKY * length:
+            out.extend(run)
+        run = []
+        if c is None or id(c) in inner:
+            out.extend([c] if c is not None else [])
+        elif not _dropped(c) and c.length and (c.tag in PARAGRAPHS and c.tag[0] == "h" or _density(c) <= LINKY or c.tag in ("ul", "ol", "dl") and not _menu(c)):
+            out.append(c)
+    return out
+
+
 def _plain(node: Node) -> str:
     out, stack = [], [node]
     while stack:
@@ -187,8 +215,8 @@ def _plain(node: Node) -> str:
     return "".join(out)
 
 
-def best_containers(root: Node) -> list[Node]:
-    """The best container and the siblings kept with it, in page order; empty if the page has no text."""
+def best_containers(root: Node) -> list[Node | str]:
+    """The best container and all kept with it, in page order; empty if the page has no text. What lies further out is kept from there on where it has paragraphs beside the container, as sections have."""
     order, texts = _walk(root)
     scored: list[Node] = []
     for node in texts:
@@ -220,16 +248,25 @@ def best_containers(root: Node) -> list[Node]:
             best = node
         node = node.parent
     if best.parent is None or best.tag in ("article", "main", "body"):
-        peers = [c for c in best.parent.children if isinstance(c, Node) and c.tag == best.tag] if best.parent is not None and best.tag == "article" else [best]
-    else:
-        peers = [c for c in best.parent.children if isinstance(c, Node)]
-    least, out = max(10.0, final(best) * SIBLING_SHARE), []
-    for c in peers:
-        if c is best:
-            out.append(c)
-        elif not _dropped(c) and c.length and (c.tag in CONTAINERS and final(c) >= least or c.tag in PARAGRAPHS and (c.tag[0] == "h" or c.length >= SIBLING_LENGTH and _density(c) < SIBLING_LINKS)):
-            out.append(c)
-    return out
+        if best.parent is None or best.tag != "article":
+            return [best]
+        return [c for c in _beside(best.parent, {id(best)}) if isinstance(c, Node) and c.tag == "article"]
+    inner, levels, node = {id(best)}, [best.parent], best.parent
+    while node.parent is not None and not _dropped(node):
+        path = id(node)
+        node = node.parent
+        if any(isinstance(c, Node) and id(c) != path and c.paragraphs for c in _beside(node, {path})):
+            while levels[-1] is not node:
+                inner.add(id(levels[-1]))
+                levels.append(levels[-1].parent)
+
+    before, after = [], []
+    for parent in levels:  # from the inside out
+        kept = _beside(parent, inner)
+        at = next(i for i, c in enumerate(kept) if id(c) in inner)
+        before.append(kept[:at])
+        after += kept[at + 1 :]
+    return [c for part in reversed(before) for c in part] + [best] + after
 
 
 def _blocks(node: Node, out: list[list[str]]) -> None:
@@ -245,7 +282,7 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             out[-1].append(" ")
         elif not _dropped(x):
             if x.tag in BLOCK:
-                if x.tag in ("ul", "ol", "dl", "table", "div", "section") and x is not node and x.length and _density(x) > LINKY:
+                if x.tag in ("ul", "ol", "dl", "table", "div", "section") and x is not node and x.length and _menu(x):
                     continue
                 out.append([])
                 stack.append((x, True))
@@ -263,7 +300,7 @@ def main_text(page: str | None) -> str:
         while stack:
             node = stack.pop()
             named |= node.bad
-            node.bad, node.score, node.length, node.linked = False, 0.0, 0, 0
+            node.bad, node.score, node.length, node.linked, node.links, node.paragraphs = False, 0.0, 0, 0, 0, 0
             stack.extend(c for c in node.children if isinstance(c, Node))
         text = _text_of(root) if named else ""
     return text
@@ -272,8 +309,10 @@ def main_text(page: str | None) -> str:
 def _text_of(root: Node) -> str:
     out: list[list[str]] = [[]]
     for node in best_containers(root):
-        out.append([])
+        inline = isinstance(node, str) or node.tag not in BLOCK and not node.paragraphs
+        out.extend([] if inline else [[]])
         _blocks(node, out)
+        out.extend([] if inline else [[]])
     return "\n\n".join(t for parts in out if parts and (t := _clean("".join(parts))))
 
 

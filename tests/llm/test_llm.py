@@ -181,6 +181,25 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = " ".join([PARA] * 10)
+SOURCES = [f"Source {i}: a study of the matter in the journal of studies" for i in range(3)]
+LINKS = "".join(f"<li><a href='{i}'>{x}</a></li>" for i, x in enumerate(SOURCES))
+MENU = "<ul><li><a>Home</a></li><li><a>News</a></li><li><a>About us</a></li></ul>"
+
+
+@pytest.mark.parametrize("page, texts", [
+    (f"<div id=wrap><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div><p>{PARA}</p></div></div>", [LONG, LONG, LONG, PARA]),
+    (f"<div id=wrap><div><p>{LONG}</p><p>{LONG}</p></div><p>Short end.</p><div class=share>share it</div>{MENU}</div>", [LONG, LONG, "Short end."]),
+    (f"<div id=wrap><section><h2>One</h2><div><p>{LONG}</p><p>{LONG}</p></div></section><section><h2>Two</h2><div><p>{PARA}</p></div></section></div><footer>f</footer>", ["One", LONG, LONG, "Two", PARA]),
+    (f"<div>Before <b>it</b> all.<div><p>{LONG}</p><p>{LONG}</p></div><div><a>A linked headline of another page, quite long</a></div></div>", ["Before it all.", LONG, LONG]),
+    (f"<article><p>{LONG}</p>{MENU}<h2>Sources</h2><ol>{LINKS}</ol></article>", [LONG, "Sources", *SOURCES]),
+    (f"<div><div><p>{LONG}</p><p>{LONG}</p></div><h2>Sources</h2><ol>{LINKS}</ol></div>", [LONG, LONG, "Sources", *SOURCES]),
+    ("<p>First, of all.</p>" + "<div>" * 3000 + f"<p>{LONG}</p>", ["First, of all.", LONG]),
+])
+def test_sections_and_sources_stay(page, texts):
+    assert html_extract.main_text(page) == "\n\n".join(texts)
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article><p>{PARA}</p></article>", 5), (1, "u", f"<article><p>{PARA}</p></article>", 5), (None, None, None, None)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
