@@ -13,6 +13,8 @@ from lokalens.llm.common import materialize, table
 
 #: A document goes if it has no letter or if no learned language reaches this share of certainty.
 MIN_LANGUAGE_SCORE = 0.3
+#: Column of a row's number while near copies are told apart.
+ROW = "row_of_stage"
 
 
 def keep_determined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of smallest id, of each group of near copies."""
-    gone = jaccard.jaccard_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row, of smallest id and of null only if all are, of each group of near copies. Rows are told apart by a number of their own, as ids may be null or repeat."""
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    linked = materialize(jaccard.jaccard_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).where("doc_id <> component_id"), "groups")
+    members = linked.select(F.col("doc_id").alias(ROW), "component_id").unionByName(linked.select(F.col("component_id").alias(ROW), "component_id").distinct())
+    named = members.join(rows.select(ROW, "doc_id"), ROW)
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("least"))
+    gone = members.select(ROW).join(least.select(f"least.{ROW}"), ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,15 @@ def test_junk_goes_and_empty_tables_stand(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Ids that are null or repeat neither save copies nor take other rows along."""
+    schema = table(spark, DATA, "documents").schema
+    copy, other, third = ("the same text in " + " ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(None, copy), (None, copy), (5, copy), (3, copy), (3, copy), (5, other), (7, other), (None, third), (None, third), (5, "alone"), (8, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], schema)
+    kept = corpus_pipeline.keep_one_of_group(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    want = [(3, copy), (5, other), (None, third), (5, "alone"), (8, None), (8, ""), (None, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
