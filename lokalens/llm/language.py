@@ -86,7 +86,7 @@ class Scorer:
 
     def __init__(self, model: LanguageModel, limit: int = 120_000):
         self.model, self.limit = model, limit
-        self.width = len(model.langs) + 1
+        self.width = len(model.langs) + 2  # beside the languages, the words and those known as words
         self._reset()
 
     def _reset(self) -> None:
@@ -105,7 +105,7 @@ class Scorer:
         self.rows[n : n + len(new)] = 0.0
         if words:
             place = dict(zip(words, range(len(words)), strict=True))
-            value = np.column_stack([self.model.of_words(words), np.ones(len(words))])
+            value = np.column_stack([self.model.of_words(words), np.ones(len(words)), [w in self.model.place[0] for w in words]])
             sizes = np.fromiter(map(len, each), np.int64, len(each))
             flat = np.fromiter((place[w] for x in each for w in x), np.int64, int(sizes.sum()))
             some = np.flatnonzero(sizes)
@@ -113,13 +113,18 @@ class Scorer:
         self.index.update(zip(new, range(n, n + len(new)), strict=True))
 
     def score(self, chunks: list[bytes]) -> tuple[str, float]:
+        return self.judge(chunks)[:2]
+
+    def judge(self, chunks: list[bytes]) -> tuple[str, float, int, int]:
+        """The best language and its score, the number of words and of those known as words."""
         k = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
         total = self.rows[k].sum(0)
-        if not total[-1] or self.width == 1:
-            return "und", 0.0
-        p = np.exp(total[:-1] - total[:-1].max())
+        words, known = int(total[-2]), int(total[-1])
+        if not words or self.width == 2:
+            return "und", 0.0, words, known
+        p = np.exp(total[:-2] - total[:-2].max())
         best = int(p.argmax())
-        return self.model.langs[best], float(p[best] / p.sum())
+        return self.model.langs[best], float(p[best] / p.sum()), words, known
 
 
 def fit(train: DataFrame, train_docs: int = TRAIN_DOCS, keep_words: int = KEEP_WORDS, keep_grams: int = KEEP_GRAMS) -> LanguageModel:
@@ -172,6 +177,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def reject_undetermined(docs: DataFrame, model: LanguageModel, min_score: float) -> DataFrame:
-    """The rows of docs whose language is determined with at least min_score; the columns stay as they are."""
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+def reject_undetermined(docs: DataFrame, model: LanguageModel, min_score: float, min_known: float = 0.0, few_words: int = 0) -> DataFrame:
+    """The rows of docs whose language is determined with at least min_score and of whose words, where there are few_words or more, at least the share min_known is known; the columns stay as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for b in slices(batches, 512):
+            split = [t.split() for t in texts_of(b)]
+            scorer.learn({c for chunks in split for c in chunks})
+            got = [scorer.judge(chunks) for chunks in split]
+            yield b.filter(pa.array([lang != "und" and p >= min_score and (words < few_words or known >= min_known * words) for lang, p, words, known in got], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

@@ -57,3 +57,14 @@ def test_one_row_of_a_group_stays(spark):
     assert kept.columns == docs.columns
     want = [(3, copy), (5, other), (None, third), (5, "alone"), (8, None), (8, ""), (None, None)]
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+def test_long_foreign_text_goes(spark):
+    docs = table(spark, DATA, "documents")
+    known = next(w for w in docs.where("lang = 'en'").first()["text"].split() if w.isalpha())
+    foreign = " ".join(["съешь ещё этих мягких французских булок да выпей чаю"] * 10)
+    latin = " ".join(["zażółć gęślą jaźń chrząszcz brzmi w trzcinie szczebrzeszyn słynie"] * 10)
+    rows = [(-1, f"{foreign} {known}"), (-2, f"{latin} {known}"), (-3, f"{known} жжж")]
+    more = docs.unionByName(spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in rows], docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_determined(spark, more, DATA).collect()}
+    assert not {-1, -2} & kept and -3 in kept
