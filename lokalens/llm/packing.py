@@ -41,11 +41,10 @@ def pack(docs: DataFrame, max_tokens: int = 4096, end_id: int = 2, tokenizer: st
         encoder, task = encoder_of(path), TaskContext.get().partitionId()
         made = [0] * max_tokens.bit_length()
         for b in slices(batches, 256):
-            split = [t.split() for t in texts_of(b)]
-            encoder.learn({c for chunks in split for c in chunks})
+            flat, begin = encoder.encode([t.split() for t in texts_of(b)])
             rows, pieces = [], []
-            for doc, chunks in zip(ids_of(b), split, strict=True):
-                ids = np.append(encoder.ids(chunks), np.uint32(end_id)).astype("<u4")
+            for doc, lo, hi in zip(ids_of(b), begin[:-1], begin[1:], strict=True):
+                ids = np.append(flat[lo:hi], np.uint32(end_id)).astype("<u4")
                 at = 0
                 for length in piece_lengths(len(ids), max_tokens):
                     k = length.bit_length() - 1

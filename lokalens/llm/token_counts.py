@@ -46,7 +46,7 @@ def line_sections(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _chunk_starts(raw: bytes, text: str, chunks: list[bytes]) -> np.ndarray:
+def _chunk_starts(raw: bytes, text: str) -> np.ndarray:
     """Where the chunks of raw.split() start, in characters."""
     b = np.frombuffer(raw, np.uint8)
     white = (b == 32) | ((b >= 9) & (b <= 13))
@@ -70,17 +70,12 @@ def token_counts(docs: DataFrame, sections: Callable[[str], list[tuple[int, int]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, whole = (encoder_of(path, offsets=True), None) if drops_white_space else (None, load(path))
         for b in slices(batches, 256):
-            raws = texts_of(b)
-            split = [r.split() for r in raws] if encoder else []
-            if encoder:
-                encoder.learn({c for chunks in split for c in chunks})
             columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             lost: list[tuple] = []
-            for k, (doc, raw) in enumerate(zip(ids_of(b), raws, strict=True)):
+            for doc, raw in zip(ids_of(b), texts_of(b), strict=True):
                 text = raw.decode("utf-8")
                 if encoder:
-                    at, of = encoder.places(split[k])
-                    spans = encoder.spans[at] + _chunk_starts(raw, text, split[k])[of][:, None]
+                    spans = encoder.offsets_of(raw.split(), _chunk_starts(raw, text))
                 else:
                     spans = np.array(whole.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
                 cut = np.array(sections(text), np.int64).reshape(-1, 2)
