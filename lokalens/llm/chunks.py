@@ -23,14 +23,14 @@ def load(path: str):
 
 #: A line in lower case: Latin letters with ASCII marks after them, or anything else.
 _LINE = re.compile(r"^(?:([a-zß-öø-ÿ]+)([.,;:!?%&*#$)\]}\"|-]*)|.*)$", re.M)
-_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
+_encoders: dict[tuple[str, int, bool], ChunkEncoder] = {}
 
 
-def encoder_of(path: str, offsets: bool = False) -> ChunkEncoder:
+def encoder_of(path: str, limit: int, offsets: bool = False) -> ChunkEncoder:
     """The worker's own encoder: what one task has learned serves the next."""
-    if (path, offsets) not in _encoders:
-        _encoders[path, offsets] = ChunkEncoder(path, offsets=offsets)
-    return _encoders[path, offsets]
+    if (path, limit, offsets) not in _encoders:
+        _encoders[path, limit, offsets] = ChunkEncoder(path, limit, offsets)
+    return _encoders[path, limit, offsets]
 
 
 class ChunkEncoder:
@@ -43,7 +43,7 @@ class ChunkEncoder:
     second; entry 0 is empty.
     """
 
-    def __init__(self, path: str, limit: int = 600_000, offsets: bool = False):
+    def __init__(self, path: str, limit: int, offsets: bool = False):
         self.tokenizer, self.half, self.offsets = load(path), max(1, limit // 2), offsets
         vocabulary = self.tokenizer.get_vocab()
         ends = [i for token, i in vocabulary.items() if token.endswith("</w>")]
@@ -80,6 +80,14 @@ class ChunkEncoder:
         return first
 
     def _learn_letters(self, new: list[str]) -> None:
+        if not self.offsets:  # ASCII letters are read as they are, so the model alone gives their ids
+            model = self.tokenizer.model
+            plain = [t for t in new if t.isascii()]
+            ids = [[x.id for x in model.tokenize(t)] for t in plain]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            first = self._add(np.fromiter(chain.from_iterable(ids), np.uint32, sizes.sum()), sizes, np.zeros(len(ids), np.int64), None)
+            self.letters.update(zip(plain, range(first, first + len(plain)), strict=True))
+            new = [t for t in new if not t.isascii()]
         for k in range(0, len(new), 2000):
             part = new[k : k + 2000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .chunks import encoder_of
 from .common import ids_of, map_arrow, slices, table, texts_of
 
+#: Chunks that a Python worker remembers, at about 230 bytes each; it keeps them as long as it lives.
+MEMO = 1_200_000
 #: Bits of a sequence_id below its bucket (log2 of the length), and below the number of the task that made it.
 BUCKET_BITS, TASK_BITS = 59, 33
 
@@ -23,14 +25,15 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if n % longest >> k & 1]
 
 
-def pack(docs: DataFrame, max_tokens: int = 4096, end_id: int = 2, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, max_tokens: int = 4096, end_id: int = 2, tokenizer: str | None = None, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket[, ids]): one row per piece.
 
     max_tokens must be a power of two. A document's tokens are its whole text's ids and end_id; null or
     empty text is end_id alone. A piece of 2^k tokens is a whole sequence of bucket k, so offset is 0 and
     no token is padding. A row's pieces are its own even where rows repeat a doc_id; a null doc_id stays
     null. sequence_id is the bucket, the task and a count within the task: a task that runs again on the
-    same split gives the same ids. Other columns are ignored. The tokenizer must drop white space.
+    same split gives the same ids. Other columns are ignored, whatever their names; no rows in, none
+    out. Long texts are encoded and cut whole, as others are. The tokenizer must drop white space.
     """
     if max_tokens < 1 or max_tokens & (max_tokens - 1):
         raise ValueError("max_tokens must be a power of two")
@@ -38,7 +41,7 @@ def pack(docs: DataFrame, max_tokens: int = 4096, end_id: int = 2, tokenizer: st
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = encoder_of(path), TaskContext.get().partitionId()
+        encoder, task = encoder_of(path, memo), TaskContext.get().partitionId()
         made = [0] * max_tokens.bit_length()
         for b in slices(batches, 256):
             flat, begin = encoder.encode([t.split() for t in texts_of(b)])

@@ -17,6 +17,10 @@ from .chunks import encoder_of, load
 from .common import ids_of, map_arrow, slices, table, texts_of
 
 
+#: Chunks that a Python worker remembers.
+MEMO = 500_000
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray) -> np.ndarray:
     """The section of each token by the rule above. sections: (n, 2) sorted disjoint spans; token spans are half open."""
     out = np.full(len(starts), -1, np.int64)
@@ -68,7 +72,7 @@ def token_counts(docs: DataFrame, sections: Callable[[str], list[tuple[int, int]
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, whole = (encoder_of(path, offsets=True), None) if drops_white_space else (None, load(path))
+        encoder, whole = (encoder_of(path, MEMO, offsets=True), None) if drops_white_space else (None, load(path))
         for b in slices(batches, 256):
             columns: list[list[np.ndarray]] = [[] for _ in range(5)]
             lost: list[tuple] = []
