@@ -4,7 +4,9 @@ Shingles are hashed into segments, as many as suit a band of set sizes. Two sets
 differ in at most a seventh of their sizes' sum, so most segments hold equal subsets, and the pigeonhole
 says how many must agree. A set's budget goes to its cheapest subsets: those that no other set has
 cost nothing, then the rarest; frequent and empty ones get none. Sets too crowded for that budget also
-index the neighbours of their subsets with one element left out. What meets is verified exactly.
+index the neighbours of their subsets with one element left out. What meets is verified exactly: a large
+group is dealt to blocks, each with a few pivots of the group, and only what the pivots don't connect
+meets the other blocks.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, ids_of, map_arrow, materialize, mix, ngram_hashes, release, slices, table, texts_of
@@ -22,8 +24,10 @@ from .components import components
 from ..shipping import ship
 
 SHINGLE = 5
-#: Signatures of a shard of the index, shingles of a block of sets that are verified together, bits of the filter of candidates.
-SHARD_SIGNATURES, BLOCK_SHINGLES, FILTER_BITS = 1_500_000, 2_000_000, 1 << 25
+#: Signatures of a shard of the index, shingles of a block of sets that are verified together, sets of a large group that every one of its blocks gets.
+SHARD_SIGNATURES, BLOCK_SHINGLES, PIVOTS = 1_500_000, 2_000_000, 8
+#: Most bits of the filter of candidates (32 MB), and bits of one of its pages.
+FILTER_BITS, PAGE_BITS = 1 << 28, 1 << 16
 _ALL = 1 << 30
 
 
@@ -90,27 +94,27 @@ def digest(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _index(docs: DataFrame, n: int, shards: int) -> DataFrame:
-    """Signatures dealt to shards, packed: for a run of documents and a shard the entries (a set in a band) and, entry by entry, their signatures."""
+    """Signatures dealt to shards, packed: for a run of documents and a shard the low halves of the signatures with the entries (a set in a band) they are of, twelve bytes each; and what is to be known of the entries whose home the shard is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen = WordHash(), set()
-        entries: list[tuple[int, int, int, int]] = []
+        entries: list[tuple[int, int, int]] = []
         sigs: list[np.ndarray] = []
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            flat = np.concatenate(sigs)
-            of = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
-            shard = ((flat >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            meta = np.array(entries, np.int64)
+            flat, meta = np.concatenate(sigs), np.array(entries, np.int64)
+            ids = mix(meta[:, 0].view(np.uint64) + (meta[:, 1].view(np.uint64) & np.uint64(3)))
+            owner = np.repeat(ids, [len(x) for x in sigs])
+            shard, home = ((x >> np.uint64(32)) % np.uint64(shards) for x in (flat, ids))
+            order, at_home = np.argsort(shard, kind="stable"), np.argsort(home, kind="stable")
+            cut, home_cut = (np.searchsorted(x[o], np.arange(shards + 1, dtype=np.uint64)) for x, o in ((shard, order), (home, at_home)))
+            low = flat.astype("<u4")
             for k in range(shards):
-                rows = order[cut[k] : cut[k + 1]]
-                if len(rows):
-                    own, count = np.unique(of[rows], return_counts=True)
-                    blobs = [meta[own].tobytes(), count.astype("<u4").tobytes(), (flat[rows] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "entries", "counts", "sigs"])
+                rows, own = order[cut[k] : cut[k + 1]], at_home[home_cut[k] : home_cut[k + 1]]
+                if len(rows) or len(own):
+                    blobs = [meta[own].tobytes(), ids[own].tobytes(), owner[rows].tobytes(), low[rows].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], ["shard", "homes", "home_ids", "entries", "sigs"])
             entries.clear()
             sigs.clear()
 
@@ -121,7 +125,7 @@ def _index(docs: DataFrame, n: int, shards: int) -> DataFrame:
                 if len(seen) < 200_000:
                     seen.add(key)
                 for role, need, filled, sig in signatures(s):
-                    entries.append((key, role, need, filled))
+                    entries.append((key, role | need << 2, filled))
                     sigs.append(sig)
                     held += len(sig)
             if held > 500_000:
@@ -130,69 +134,58 @@ def _index(docs: DataFrame, n: int, shards: int) -> DataFrame:
         if sigs:
             yield from out()
 
-    return map_arrow(docs.select("doc_id", "text"), run, "shard int, entries binary, counts binary, sigs binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "shard int, homes binary, home_ids binary, entries binary, sigs binary")
+
+
+def _read(t: pa.Table, column: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in t.column(column).to_pylist()]
 
 
 def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """Packed by part (of the entries): entries of a shard and their signatures that occur again, each with its number."""
+    """Packed by part (of the entries): a shard's signatures that occur again, each with its number and its entry; and what is known of the part's entries."""
 
     def run(t: pa.Table) -> pa.Table:
-        columns = {c: t.column(c).to_pylist() for c in ("entries", "counts", "sigs")}
-        meta = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 4) for x in columns["entries"]])
-        count = np.concatenate([np.frombuffer(x, "<u4") for x in columns["counts"]]).astype(np.int64)
-        sig = np.concatenate([np.frombuffer(x, "<u4") for x in columns["sigs"]])
-        del columns
-        of = np.repeat(np.arange(len(meta)), count)
-        # a set that several tasks have seen has entries from each, all alike: one of them stays
-        order = np.lexsort((meta[:, 1], meta[:, 0]))
-        again = np.zeros(len(meta), bool)
-        again[order[1:]] = (meta[order[1:], :2] == meta[order[:-1], :2]).all(1)
-        keep = ~again[of]
-        sig, of = sig[keep], of[keep]
-        order = np.argsort(sig, kind="stable")
-        s = sig[order]
-        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
-        size = np.diff(np.append(begin, len(s)))
+        shard = t.column("shard")[0].as_py()
+        own, first = np.unique(np.concatenate(_read(t, "home_ids", np.uint64)), return_index=True)
+        homes = np.concatenate(_read(t, "homes", np.int64)).reshape(-1, 3)[first]
+        sig, entry = np.concatenate(_read(t, "sigs", "<u4")), np.concatenate(_read(t, "entries", np.uint64))
+        order = np.lexsort((entry, sig))
+        sig, entry = sig[order], entry[order]
+        if len(sig):  # a set that several tasks have seen comes from each: once is enough
+            new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (entry[1:] != entry[:-1])])
+            sig, entry = sig[new], entry[new]
+        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, np.int64)
+        size = np.diff(np.append(begin, len(sig)))
         often = np.repeat(size, size)
         rows = np.flatnonzero(often > 1)
-        who, what, freq = of[order[rows]], s[rows], np.minimum(often[rows], 0xFFFFFFFF).astype("<u4")
-        part = (mix(meta[:, 0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        back = np.lexsort((who, part[who]))
-        who, what, freq = who[back], what[back], freq[back]
-        cut = np.searchsorted(part[who], np.arange(parts + 1))
-        shard = t.column("shard")[0].as_py()
+        what, who, freq = sig[rows], entry[rows], np.minimum(often[rows], 0xFFFFFFFF).astype("<u4")
+        part = ((who >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
         release()
-        out = []
+        out = [(shard, shard, homes.tobytes(), own.tobytes(), b"", b"", b"")]
         for k in range(parts):
-            lo, hi = cut[k], cut[k + 1]
-            if hi > lo:
-                own, number = np.unique(who[lo:hi], return_counts=True)
-                out.append((k, shard, meta[own].tobytes(), number.astype("<u4").tobytes(), freq[lo:hi].tobytes(), what[lo:hi].tobytes()))
-        names = ["part", "shard", "entries", "counts", "freqs", "sigs"]
+            r = order[cut[k] : cut[k + 1]]
+            if len(r):
+                out.append((k, shard, b"", b"", who[r].tobytes(), freq[r].tobytes(), what[r].tobytes()))
+        names = ["part", "shard", "homes", "home_ids", "entries", "freqs", "sigs"]
         return pa.table({n: pa.array([r[i] for r in out], pa.int32() if i < 2 else pa.binary()) for i, n in enumerate(names)})
 
     ship(packed.sparkSession)
-    return packed.groupBy("shard").applyInArrow(run, "part int, shard int, entries binary, counts binary, freqs binary, sigs binary")
+    return packed.groupBy("shard").applyInArrow(run, "part int, shard int, homes binary, home_ids binary, entries binary, freqs binary, sigs binary")
 
 
 def _spent(shared: DataFrame) -> DataFrame:
     """(node, sig): what each entry's budget buys, its rarest repeated signatures; none if fewer repeat than a partner must share."""
 
     def run(t: pa.Table) -> pa.Table:
-        read = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
-        metas, sigs = read("entries", np.int64), read("sigs", "<u4")
-        meta = np.concatenate(metas).reshape(-1, 4)
-        count = np.concatenate(read("counts", "<u4")).astype(np.int64)
-        freq = np.concatenate(read("freqs", "<u4"))
-        sig = np.concatenate([x.astype(np.int64) | np.int64(k) << 32 for x, k in zip(sigs, t.column("shard").to_pylist(), strict=True)])
-        order = np.lexsort((meta[:, 1], meta[:, 0]))
-        new = np.concatenate([[True], (meta[order[1:], :2] != meta[order[:-1], :2]).any(1)])
-        group = np.empty(len(meta), np.int64)
-        group[order] = np.cumsum(new) - 1
-        entry = meta[order[new]]
-        of = np.repeat(group, count)
+        ids, home = np.unique(np.concatenate(_read(t, "home_ids", np.uint64)), return_index=True)
+        entry = np.concatenate(_read(t, "homes", np.int64)).reshape(-1, 3)[home]
+        of = np.searchsorted(ids, np.concatenate(_read(t, "entries", np.uint64)))
+        freq = np.concatenate(_read(t, "freqs", "<u4"))
+        sig = np.concatenate([x.astype(np.int64) | np.int64(k) << 32 for x, k in zip(_read(t, "sigs", "<u4"), t.column("shard").to_pylist(), strict=True)])
         met = np.bincount(of, minlength=len(entry))
-        left = entry[:, 2] - (entry[:, 3] - met)
+        left = (entry[:, 1] >> 2) - (entry[:, 2] - met)
         order = np.lexsort((sig, freq, of))
         of, sig = of[order], sig[order]
         rank = np.arange(len(of)) - np.repeat(np.cumsum(met) - met, met)
@@ -208,22 +201,31 @@ def candidates(docs: DataFrame, n: int, total: int) -> DataFrame:
     shards = max(1, -(-total // SHARD_SIGNATURES))
     spent = materialize(_spent(_shared(_index(docs, n, shards), shards)), "signatures")
     hubs = spent.groupBy("sig").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").drop("top")
+    hubs = materialize(hubs, "hubs")  # so that a frequent signature's rows can be split in the join
     return spent.join(hubs, "sig").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _filter(nodes: DataFrame, count: int) -> tuple[np.ndarray, int]:
     """A Bloom filter with one bit a key, of bounded size: with more nodes than suit it more sets pass, none is lost."""
     bits = min(FILTER_BITS, 1 << max(10, (16 * count).bit_length()))
+    page = min(bits, PAGE_BITS)
+
+    def mark(t: pa.Table) -> pa.Table:
+        on = np.zeros(page, np.uint8)
+        on[t.column("off").to_numpy()] = 1
+        return pa.table({"page": pa.array([t.column("page")[0].as_py()], pa.int32()), "on": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
+
+    ship(nodes.sparkSession)
     at = F.pmod(F.col("node"), F.lit(bits))
-    rows = nodes.select(F.floor(at / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(node, {bits}L), 64L) as int))").alias("x")).groupBy("w").agg(F.bit_or("x").alias("x")).collect()
+    placed = nodes.select(F.floor(at / page).cast("int").alias("page"), F.pmod(at, F.lit(page)).cast("int").alias("off")).distinct()
     out = np.zeros(bits // 64, np.int64)
-    for r in rows:
-        out[r["w"]] = r["x"]
+    for r in placed.groupBy("page").applyInArrow(mark, "page int, on binary").collect():
+        out[r["page"] * page // 64 : (r["page"] + 1) * page // 64] = np.frombuffer(bytes(r["on"]), np.int64)
     return out, bits
 
 
-def verify(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect whatever all the links among the sets connect; none between sets that are connected already."""
+def verify(nodes: list[int], sets: list[np.ndarray], known: list[int] | None = None, only: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Links that connect whatever all the links among the sets connect; none between sets that are connected already. known: the component each set is known to be in; only: a pair counts if one of the two is marked."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), nodes[i]))
     size = np.array([len(sets[i]) for i in order])
     bits = max(256, 1 << int(size.max() - 1).bit_length())
@@ -231,13 +233,18 @@ def verify(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     for r, i in enumerate(order):
         odd = np.flatnonzero(np.bincount((sets[i] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1)
         np.bitwise_or.at(parity[r], odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
-    label, out = np.arange(len(order)), []
+    label = np.arange(len(order)) if known is None else np.unique(np.array(known)[order], return_inverse=True)[1]
+    marked, out = None if only is None else np.array(only)[order], []
     for r in range(1, len(order)):
         lo = int(np.searchsorted(size[:r], (3 * size[r] + 3) // 4))
+        open_ = label[lo:r] != label[r]
+        if marked is not None and not marked[r]:
+            open_ &= marked[lo:r]
+        at = lo + np.flatnonzero(open_)
         # sets differ at least where the parities of their buckets do
-        differ = np.bitwise_count(parity[lo:r] ^ parity[r]).sum(1, dtype=np.int64)
-        maybe = lo + np.flatnonzero(7 * differ <= size[lo:r] + size[r])
-        for p in maybe[np.argsort(differ[maybe - lo], kind="stable")]:
+        differ = np.bitwise_count(parity[at] ^ parity[r]).sum(1, dtype=np.int64)
+        maybe = np.flatnonzero(7 * differ <= size[at] + size[r])
+        for p in at[maybe[np.argsort(differ[maybe], kind="stable")]]:
             if label[p] == label[r]:
                 continue
             common = len(np.intersect1d(sets[order[r]], sets[order[p]], assume_unique=True))
@@ -247,12 +254,22 @@ def verify(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def links(docs: DataFrame, grouped: DataFrame, n: int) -> DataFrame:
-    """(a, b): verified links of the candidate groups (node, label). A group of many shingles is dealt to blocks, and every two blocks meet."""
-    count = grouped.count()
-    if not count:
-        return grouped.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    held = docs.sparkSession.sparkContext.broadcast(_filter(grouped, count))
+def _met(dealt: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b): what verify() finds among the sets of each group. The rows are dealt by the group, however they lay before."""
+
+    def meet(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        known, only = (t.column(c).to_pylist() if c in t.column_names else None for c in ("known", "only"))
+        got = verify(t.column("node").to_pylist(), sets, known, only)
+        return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
+
+    ship(dealt.sparkSession)
+    return dealt.repartition(*by).groupBy(*by).applyInArrow(meet, "a long, b long")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, count: int, n: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes and, by chance of the filter, a few more."""
+    held = docs.sparkSession.sparkContext.broadcast(_filter(wanted, count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (words, bits), memo, seen = held.value, WordHash(), set()
@@ -270,20 +287,47 @@ def links(docs: DataFrame, grouped: DataFrame, n: int) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
-    sets = map_arrow(docs.select("doc_id", "text"), run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets.join(grouped, "node"), "sets")
-    blocks = sets.groupBy("label").agg(F.ceil(F.sum(F.length("shingles")) / (8.0 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = sets.join(blocks, "label").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.where("blocks = 1 OR own <> other OR blocks > 1 AND own = other").select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    return map_arrow(docs.select("doc_id", "text"), run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
-    def meet(t: pa.Table) -> pa.Table:
-        nodes = t.column("node").to_pylist()
-        got = verify(nodes, [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()])
-        return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
 
-    ship(docs.sparkSession)
-    return dealt.groupBy("label", "i", "j").applyInArrow(meet, "a long, b long")
+def linked_nodes(docs: DataFrame, grouped: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """(node, label): the components of the verified links in the candidate groups (node, label). sizes: (node, n_shingles) of all nodes.
+
+    A group of at most BLOCK_SHINGLES is verified in one task. A larger one is dealt to blocks by node,
+    each with the group's pivots, and verified block by block; after that only the sets outside its largest
+    component meet the blocks again, in as many parts as their shingles need. So no group is ever gathered
+    in one task, and a group of near copies costs about its size: only sets that neither pivots nor block
+    mates connect cost the product of their number and the group's.
+    """
+    count = grouped.count()
+    if not count:
+        return grouped
+    blocks_of = lambda c: F.ceil(c / BLOCK_SHINGLES).cast("int")
+    sized = materialize(grouped.join(sizes, "node"), "sized")
+    large = materialize(sized.groupBy("label").agg(blocks_of(F.sum("n_shingles")).alias("blocks")).where("blocks > 1"), "large")
+    some = bool(large.limit(1).count())
+    first = Window.partitionBy("label").orderBy(F.xxhash64("node"), "node")
+    pivots = sized.join(large, "label").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PIVOTS).select("node", F.lit(True).alias("pivot"))
+    placed = sized.join(large, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = (placed.join(pivots, "node", "left") if some else placed.withColumn("pivot", F.lit(None).cast("boolean"))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sets = materialize(_sets(docs, grouped, count, n).join(placed, "node"), "sets")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = sets.withColumn("block", F.explode(F.when(F.col("pivot"), every).otherwise(F.array("own"))))
+    found = materialize(_met(dealt.select("label", "block", "node", "shingles"), ["label", "block"]), "links")
+    known = components(found)
+    if not some:
+        return known
+    known = materialize(known.withColumnRenamed("label", "known"), "known")
+    parts = materialize(sets.where("blocks > 1").drop("shingles").join(known, "node", "left").withColumn("known", F.coalesce("known", "node")), "parts")
+    sums = parts.groupBy("label", "known").agg(F.sum("n_shingles").alias("s")).groupBy("label").agg(F.max(F.struct("s", "known")).alias("most"), F.sum("s").alias("s"))
+    sums = materialize(sums.select("label", F.col("most.known").alias("main"), blocks_of(F.col("s") - F.col("most.s")).alias("rests")).where("rests > 0"), "rests")
+    open_ = parts.join(sums, "label").withColumn("own_rest", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))
+    base = open_.select("label", "node", "known", "own", "own_rest", "blocks", "rests", (F.col("known") != F.col("main")).alias("only"))
+    members = base.select("label", "node", "known", F.lit(False).alias("only"), F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"))
+    rest = base.where("only").select("label", "node", "known", "only", F.explode(every).alias("block"), F.col("own_rest").alias("rest"))
+    # a set of the rest that is also a member of the block is there once, marked
+    again = members.unionByName(rest).groupBy("label", "block", "rest", "node", "known").agg(F.max("only").alias("only")).join(sets.select("node", "shingles"), "node")
+    return components(found.unionByName(_met(again, ["label", "block", "rest"])))
 
 
 def jaccard_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -292,15 +336,16 @@ def jaccard_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     Words are the text's ASCII-white-space-free chunks, A-Z lower-cased. Fewer than n words are one
     shingle; null, empty and blank texts have none and link with nothing. Equal sets are one node, so
     copies cost one set. component_id is the smallest doc_id of the component; rows that repeat a doc_id
-    repeat, a null doc_id is never chosen while there is another. Other columns are ignored.
-    Shingles and sets are told apart by 64-bit hashes.
+    repeat, a null doc_id is never chosen while there is another. Other columns are ignored, whatever their
+    names; no rows in, none out. Texts are read whole, however long. Shingles and sets are told apart by 64-bit hashes.
     """
     rows = materialize(digest(docs, n), "digests")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    grouped = components(candidates(docs, n, total))
-    linked_nodes = components(materialize(links(docs, materialize(grouped, "candidates"), n), "links"))
+    grouped = materialize(components(candidates(docs, n, total)), "candidates")
+    sizes = rows.where("node IS NOT NULL").select("node", "n_shingles").distinct()
+    labels = linked_nodes(docs, grouped, sizes, n)
     least = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(linked_nodes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = least.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     by_label = named.groupBy("label").agg(F.min("least").alias("component_id"))
     final = named.select("node", "label").join(by_label, "label").select("node", "component_id")
     out = rows.join(final, "node", "left")

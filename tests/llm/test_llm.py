@@ -383,6 +383,39 @@ def test_near_copies(spark, seed, monkeypatch):
     assert got == slow_groups(rows)
 
 
+def test_large_groups_are_dealt_out(spark, monkeypatch):
+    """A group of near copies and a chain whose ends don't link, in blocks of a few sets, without broadcasts."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        words[rnd.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"c{j}" for j in range(2 * i, 2 * i + 40))) for i in range(60)]
+    rnd.shuffle(rows)
+    tasks = []
+    met = jaccard._met
+
+    def seen(dealt, by):
+        tasks.append(dealt.repartition(*by).select(F.spark_partition_id().alias("p")).distinct().count())
+        return met(dealt, by)
+
+    monkeypatch.setattr(jaccard, "_met", seen)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == slow_groups(rows) and {c for _, c in got.values()} == {0, 1000}
+    assert min(tasks) == 4  # all partitions have blocks of the group
+
+
 def test_every_linked_pair_shares_a_signature():
     """The pigeonhole without the corpus: pairs at the threshold meet, whatever their sizes."""
     rng = np.random.RandomState(7)
