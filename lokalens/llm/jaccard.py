@@ -24,8 +24,8 @@ from .components import components
 from ..shipping import ship
 
 SHINGLE = 5
-#: Signatures of a shard of the index, shingles of a block of sets that are verified together, sets of a large group that every one of its blocks gets.
-SHARD_SIGNATURES, BLOCK_SHINGLES, PIVOTS = 1_500_000, 2_000_000, 8
+#: Signatures of a shard of the index; shingles of a block of a group and sets of the group that each of its blocks gets; shingles of a part of what these leave open.
+SHARD_SIGNATURES, BLOCK_SHINGLES, PIVOTS, PART_SHINGLES = 1_500_000, 20_000, 8, 2_000_000
 #: Most bits of the filter of candidates (32 MB), and bits of one of its pages.
 FILTER_BITS, PAGE_BITS = 1 << 28, 1 << 16
 _ALL = 1 << 30
@@ -295,16 +295,16 @@ def linked_nodes(docs: DataFrame, grouped: DataFrame, sizes: DataFrame, n: int)
 
     A group of at most BLOCK_SHINGLES is verified in one task. A larger one is dealt to blocks by node,
     each with the group's pivots, and verified block by block; after that only the sets outside its largest
-    component meet the blocks again, in as many parts as their shingles need. So no group is ever gathered
-    in one task, and a group of near copies costs about its size: only sets that neither pivots nor block
-    mates connect cost the product of their number and the group's.
+    component meet the group again, in parts of PART_SHINGLES. So no group is ever gathered in one task, and
+    a group of near copies costs about its size: only sets that neither pivots nor block mates connect cost
+    the product of their number and the group's.
     """
     count = grouped.count()
     if not count:
         return grouped
-    blocks_of = lambda c: F.ceil(c / BLOCK_SHINGLES).cast("int")
+    parts_of = lambda c, size: F.ceil(c / size).cast("int")
     sized = materialize(grouped.join(sizes, "node"), "sized")
-    large = materialize(sized.groupBy("label").agg(blocks_of(F.sum("n_shingles")).alias("blocks")).where("blocks > 1"), "large")
+    large = materialize(sized.groupBy("label").agg(parts_of(F.sum("n_shingles"), BLOCK_SHINGLES).alias("blocks")).where("blocks > 1"), "large")
     some = bool(large.limit(1).count())
     first = Window.partitionBy("label").orderBy(F.xxhash64("node"), "node")
     pivots = sized.join(large, "label").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= PIVOTS).select("node", F.lit(True).alias("pivot"))
@@ -320,14 +320,15 @@ def linked_nodes(docs: DataFrame, grouped: DataFrame, sizes: DataFrame, n: int)
     known = materialize(known.withColumnRenamed("label", "known"), "known")
     parts = materialize(sets.where("blocks > 1").drop("shingles").join(known, "node", "left").withColumn("known", F.coalesce("known", "node")), "parts")
     sums = parts.groupBy("label", "known").agg(F.sum("n_shingles").alias("s")).groupBy("label").agg(F.max(F.struct("s", "known")).alias("most"), F.sum("s").alias("s"))
-    sums = materialize(sums.select("label", F.col("most.known").alias("main"), blocks_of(F.col("s") - F.col("most.s")).alias("rests")).where("rests > 0"), "rests")
-    open_ = parts.join(sums, "label").withColumn("own_rest", F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))
-    base = open_.select("label", "node", "known", "own", "own_rest", "blocks", "rests", (F.col("known") != F.col("main")).alias("only"))
-    members = base.select("label", "node", "known", F.lit(False).alias("only"), F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"))
-    rest = base.where("only").select("label", "node", "known", "only", F.explode(every).alias("block"), F.col("own_rest").alias("rest"))
-    # a set of the rest that is also a member of the block is there once, marked
-    again = members.unionByName(rest).groupBy("label", "block", "rest", "node", "known").agg(F.max("only").alias("only")).join(sets.select("node", "shingles"), "node")
-    return components(found.unionByName(_met(again, ["label", "block", "rest"])))
+    sums = materialize(sums.select("label", F.col("most.known").alias("main"), parts_of(F.col("s"), PART_SHINGLES).alias("parts"), parts_of(F.col("s") - F.col("most.s"), PART_SHINGLES).alias("rests")).where("rests > 0"), "rests")
+    own_of = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    base = parts.join(sums, "label").withColumn("only", F.col("known") != F.col("main"))
+    members = base.select("label", "node", "known", F.lit(False).alias("only"), own_of("parts", 1).alias("part"), all_of("rests").alias("rest"))
+    rest = base.where("only").select("label", "node", "known", "only", all_of("parts").alias("part"), own_of("rests", 2).alias("rest"))
+    # a set of the rest that is also a member of the part is there once, marked
+    again = members.unionByName(rest).groupBy("label", "part", "rest", "node", "known").agg(F.max("only").alias("only")).join(sets.select("node", "shingles"), "node")
+    return components(found.unionByName(_met(again, ["label", "part", "rest"])))
 
 
 def jaccard_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
