@@ -281,12 +281,34 @@ def test_neighbours_of_odd_vectors(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string")
     got = ann.nearest(df, F.col("vec_id") % 10 == 0, k=3).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (10, 1, 3), (10, 2, 0), (10, 3, 1)]
+    two = ann.nearest(df.unionByName(df.where("vec_id = 8").withColumn("vec_id", F.lit(11).cast("long"))), F.col("vec_id") == 8).collect()
+    assert [(r["query_id"], r["vec_id"]) for r in two] == [(8, 11)]  # another length is searched among its own
+    huge = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1e200]), (2, [0.0, 1e-200])], "vec_id long, embedding array<double>")
+    assert [round(r["score"], 6) for r in ann.nearest(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [round(0.5**0.5, 6), 0.0]
     assert ann.nearest(df, F.col("vec_id") == 0, k=50).count() == 4
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in ann.nearest(same, F.col("vec_id") == 3).orderBy("rank").collect()] == [0, 1, 2, 4, 5]
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Parts so small that buckets are split; every bucket is visited, so nothing is missed."""
+    monkeypatch.setattr(ann, "PART_ENTRIES", 200)
+    rng = np.random.RandomState(5)
+    x = np.concatenate([rng.randn(1, 8) + 0.01 * rng.randn(150, 8), rng.randn(150, 8)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 10 == 0, aim=1.0).toPandas()
+    hits = [len(set(exact(np.arange(300), x, q)) & set(got[got.query_id == q].vec_id)) for q in range(0, 300, 10)]
+    assert np.mean(hits) / 5 > 0.98
+
+
+def test_probes_come_in_order_of_cost():
+    sets = ann.perturbations(4, 81)
+    assert len(sets) == 81 and not (sets[:, :4] & sets[:, :3:-1]).any() and len({tuple(s) for s in sets.tolist()}) == 81
+    tables, x = ann.Tables(16, 5), ann.unit(np.random.RandomState(1).randn(20, 16))
+    assert (tables.probes(x, 3)[:, 0] == tables.keys(x)[:, 3]).all()
+
+
 # --- 7 and 10: tokens -----------------------------------------------------------------------------
 
 
