@@ -240,18 +240,29 @@ def test_perfect_hash_is_minimal():
         assert len(ph.slots(keys + np.uint64(1))) == len(keys)
 
 
-@pytest.mark.parametrize("shards_per_pass", [64, 1])
-def test_lines(spark, shards_per_pass):
+@pytest.mark.parametrize("frequent, lines", [(65_536, 1_000_000), (1, 1_000_000), (8, 1)])
+def test_lines(spark, frequent, lines, monkeypatch):
+    """All lines in the index that tasks hold, all in shards, and some in each with a thousand shards or so."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
     rnd = random.Random(3)
     pool = [f"a line of text number {i}" for i in range(30)] + ["short", "", "  ", "ÀÉ same line öö", "àé same line öö"]
     rows = [(rnd.randint(0, 60), "\n".join(rnd.choice([str.upper, str, lambda x: f" \t{x}\r"])(rnd.choice(pool)) for _ in range(rnd.randint(0, 8)))) for _ in range(60)] + ODD
-    got = line_dedup.line_dedup(spark.createDataFrame(rows, DOCS), keys_per_shard=8, shards_per_pass=shards_per_pass).collect()
+    rows += [(500 + i, "\n".join(f"line {i} of {k % 700} in many" for k in range(i, i + 100))) for i in range(0, 9)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, DOCS), keys_per_shard=8, lines_per_shard=lines).collect()
     assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in got), key=str) == slow_lines(rows)
 
 
 def test_lines_of_empty_and_wide_tables(spark, odd):
     assert line_dedup.line_dedup(spark.createDataFrame([], DOCS)).count() == 0
     assert line_dedup.line_dedup(odd).columns == ["doc_id", "n_lines", "n_dropped", "kept"]
+    wide = odd.selectExpr("*", "1L AS h1", "'k' AS k1", "2 AS d", "3 AS gone", "7L AS n_chars", "1 AS shard", "array('x') AS lines")
+    got = line_dedup.without_repeated_lines(wide)
+    assert got.columns == wide.columns and sorted(len(r["text"]) == r["n_chars"] and r["kept"] == "y" and r["k1"] == "k" for r in got.collect()) == [True] * len(ODD)
+
+
+def test_rare_line_keys_by_count(spark):
+    rows = spark.createDataFrame([(i, "a line of three rows\n" + ("a line of two rows" if i < 2 else "own")) for i in range(3)], DOCS)
+    assert [r["n_dropped"] for r in line_dedup.line_dedup(rows, min_rows=3).orderBy("doc_id").collect()] == [0, 1, 1]
 
 
 # --- 6: neighbours --------------------------------------------------------------------------------
