@@ -26,9 +26,7 @@ def keep_determined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that one of smaller id has; n_chars is counted anew."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = line_dedup.line_dedup(docs, carry=rest).withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return out.select(*docs.columns)
+    return line_dedup.without_repeated_lines(docs)
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
