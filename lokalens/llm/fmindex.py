@@ -1,4 +1,4 @@
-"""An FM-index of word sequences: wavelet matrix of packed bits over the Burrows-Wheeler transform, searched backwards for many patterns at once."""
+"""A compressed FM-index of word sequences: a wavelet matrix of packed bits over the Burrows-Wheeler transform, against which streams of words are searched backwards, many at once."""
 
 from __future__ import annotations
 
@@ -50,63 +50,72 @@ class Wavelet:
 
 
 class FMIndex:
-    """Of sequences with weights: how often, by weight, a pattern occurs in them."""
+    """Of sequences with weights: how often, by weight, a pattern occurs in them. The sequences themselves are not kept."""
 
     def __init__(self, words: np.ndarray, sizes: np.ndarray, weights: np.ndarray):
         at = np.cumsum(sizes + 1) - 1  # each sequence's separator
         ends = np.zeros(len(words) + len(sizes), bool)
         ends[at] = True
-        alphabet, code = np.unique(words, return_inverse=True)
-        self.text = np.zeros(len(ends), np.int64)
-        self.text[~ends] = code + 1
-        self.begin = at - sizes
-        order = suffix_array(self.text, ends)
-        bwt = self.text[order - 1]
-        self.tree = Wavelet(bwt, max(1, int(len(alphabet)).bit_length()))
-        every = np.arange(len(alphabet) + 1)
+        self.alphabet, code = np.unique(words, return_inverse=True)
+        text = np.zeros(len(ends), np.int64)
+        text[~ends] = code + 1
+        order = suffix_array(text, ends)
+        self.n = len(text)
+        self.tree = Wavelet(text[order - 1], max(1, len(self.alphabet).bit_length()))
+        every = np.arange(len(self.alphabet) + 1)
         self.origin = self.tree.walk(every, np.zeros(len(every), np.int64))
-        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(self.text, minlength=len(every)))[:-1]])
+        self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(every)))[:-1]])
         of = np.repeat(np.arange(len(sizes)), sizes + 1)
-        self.weight = np.concatenate([[0], np.cumsum(weights[of[order]])])
+        total = np.concatenate([[0], np.cumsum(weights[of[order]])])
+        self.weight = total.astype(np.uint32) if total[-1] < 1 << 32 else total
 
-    def failures(self, begin: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
-        """Backward search of the stretches text[begin:end]: the place at which a stretch, read from its end, occurs less than `least` times; begin - 1 if it never does."""
-        out = begin - 1
+    def codes(self, words: np.ndarray) -> np.ndarray:
+        """The words of a stream as the index has them; 0, which matches nothing, for others."""
+        at = np.minimum(np.searchsorted(self.alphabet, words), max(0, len(self.alphabet) - 1))
+        return np.where(self.alphabet[at] == words, at + 1, 0) if len(self.alphabet) else np.zeros(len(words), np.int64)
+
+    def matching(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int) -> np.ndarray:
+        """Matching statistics of a coded stream by backward search: how many words before each end, and not before its begin, occur together at least `least` times."""
+        out = end - begin
         live = np.arange(len(begin))
-        lo, hi, at = np.zeros(len(begin), np.int64), np.full(len(begin), len(self.text)), end - 1
+        lo, hi, at = np.zeros(len(begin), np.int64), np.full(len(begin), self.n), end - 1
         while len(live):
-            c = self.text[at]
+            c = text[at]
             both = self.tree.walk(np.concatenate([c, c]), np.concatenate([lo, hi])).reshape(2, -1) - self.origin[c] + self.smaller[c]
             lo, hi = both
-            ok = self.weight[hi] - self.weight[lo] >= least
-            out[live[~ok]] = at[~ok]
+            ok = (c > 0) & (self.weight[hi].astype(np.int64) - self.weight[lo].astype(np.int64) >= least)
+            out[live[~ok]] = end[live[~ok]] - 1 - at[~ok]
             ok &= at > begin[live]
             live, lo, hi, at = live[ok], lo[ok], hi[ok], at[ok] - 1
         return out
 
-    def repeated_windows(self, width: int, least: int = 2) -> np.ndarray:
-        """For each sequence the windows that occur at least `least` times, as bits from the first (at most 62 windows)."""
-        size = np.diff(np.append(self.begin, len(self.text) + 0)) - 1
-        last = size - width
-        masks = np.zeros(len(size), np.int64)
+    def repeated_windows(self, words: np.ndarray, sizes: np.ndarray, width: int, least: int = 2) -> np.ndarray:
+        """Streams some sequences against the index: for each the windows that occur at least `least` times, as bits from the first (at most 62 windows).
+
+        Where the matching statistic of a window's end falls short of the width, no window that covers the
+        word it stops at is repeated, so the search goes on behind that word.
+        """
+        text, start = self.codes(words), np.cumsum(sizes) - sizes
+        last = sizes - width
+        masks = np.zeros(len(sizes), np.int64)
         ones = lambda n: (np.int64(1) << n) - 1
         live = np.flatnonzero(last >= 0)
-        whole = self.failures(self.begin[live], self.begin[live] + size[live], least) < self.begin[live]
+        whole = self.matching(text, start[live], start[live] + sizes[live], least) == sizes[live]
         masks[live[whole]] = ones(last[live[whole]] + 1)
         live, s, tried = live[~whole], np.zeros((~whole).sum(), np.int64), np.zeros((~whole).sum(), bool)
         while len(live):
-            b = self.begin[live] + s
-            fail = self.failures(b, b + width, least)
-            hit = fail < b
+            b = start[live] + s
+            length = self.matching(text, b, b + width, least)
+            hit = length == width
             masks[live[hit]] |= np.int64(1) << s[hit]
             first = np.flatnonzero(hit & ~tried)  # the first of a run: does the rest of the sequence repeat as a whole?
             if len(first):
-                rest = self.failures(b[first], self.begin[live[first]] + size[live[first]], least) < b[first]
-                done = first[rest]
+                end = start[live[first]] + sizes[live[first]]
+                done = first[self.matching(text, b[first], end, least) == end - b[first]]
                 masks[live[done]] |= ones(last[live[done]] + 1) & ~ones(s[done])
                 s[done] = last[live[done]]
             tried = hit
-            s = np.where(hit, s + 1, fail - self.begin[live] + 1)
+            s = np.where(hit, s + 1, s + width - length)
             stay = s <= last[live]
             live, s, tried = live[stay], s[stay], tried[stay]
         return masks

@@ -2,8 +2,9 @@
 
 Equal windows choose the same anchor (the smallest hash among their runs of a few words), so what can
 repeat meets by anchor: stretches around anchors that occur once are never sent anywhere. The other
-stretches go to the shard of their anchor, each distinct one once with its count; the shard's index
-is searched with every one of them, and the windows it reports are carried back to the documents.
+stretches go to the shard of their anchor, each distinct one once with its count. They are indexed there
+and streamed against the index; what its matching statistics report is carried back to the documents.
+An anchor with many different stretches is split by the words next to it.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from .jaccard import _filter
 WIDTH, ANCHOR = 35, 8
 #: Anchor hashes of a shard of the count, words of a shard of the index (before equal stretches are put together).
 SHARD_ANCHORS, SHARD_WORDS = 2_000_000, 1_000_000
+#: An anchor of more different stretches is split, if it also has more than one in MOST_SPLIT of all: there are fewer of them than that.
+STRETCHES, MOST_SPLIT = 4000, 65_536
 
 
-def anchors(words: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last) of each anchor: the windows first..last, by start, are those that choose it. Empty if there is no window."""
+def anchors(words: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last, at, ends) of each anchor: the windows first..last, by start, are those that choose it; it stands at `at`; ends is a hash of the runs at both ends of the stretch. Empty if there is no window."""
     none = np.empty(0, np.int64)
     if len(words) < width:
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     h = ngram_hashes(words, anchor)
     span = width - anchor + 1
     starts = len(h) - span + 1
@@ -45,31 +48,46 @@ def anchors(words: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.
     left, right = best[:starts], best[gap : gap + starts]
     at = np.where(right < left, at[gap : gap + starts], at[:starts])
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return h[at[first]], first, np.append(first[1:], starts) - 1
+    last = np.append(first[1:], starts) - 1
+    return h[at[first]], first, last, at[first], h[first] * np.uint64(0x9E3779B97F4A7C15) + h[last + span - 1]
+
+
+def _pieces(first: int, last: int, at: int, width: int, anchor: int) -> list[tuple[int, int, int, int]]:
+    """(first, last, begin, end): the windows of a stretch that hold more words behind the anchor and those that hold more before it, with the words that all of a part hold."""
+    half = (width - anchor) // 2
+    right, left = (max(first, at - half), last), (first, min(last, at - half - 1))
+    return [(a, z, b, e) for (a, z), b, e in ((left, at - half - 1, at + anchor), (right, at, at - half + width)) if a <= z]
 
 
 def _counts(docs: DataFrame, width: int, anchor: int, shards: int) -> DataFrame:
-    """(node, n): the anchors that occur again, as longs, and how often."""
+    """(node, n, kinds): the anchors that occur again, as longs, how often, and an upper bound of how many different stretches they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, size = WordHash(), [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
+            h, ends = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
+            order = np.lexsort((ends, h))
+            h, ends = h[order], ends[order]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            begin = np.flatnonzero(new)
+            other = new.copy()
+            other[1:] |= ends[1:] != ends[:-1]
+            h, n, kinds = h[begin], np.diff(np.append(begin, len(h))), np.add.reduceat(other.astype(np.int64), begin)
             shard = (h >> np.uint64(20)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
             for k in range(shards):
                 rows = order[cut[k] : cut[k + 1]]
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([h[rows].tobytes()], pa.binary()), pa.array([np.minimum(n[rows], 1 << 30).astype("<u4").tobytes()], pa.binary())], ["shard", "hashes", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (h[rows], n[rows].astype("<u4"), kinds[rows].astype("<u4")))], ["shard", "hashes", "counts", "kinds"])
 
         for b in slices(batches, 256):
             for t in texts_of(b):
-                h = anchors(memo.of(t.split()), width, anchor)[0]
+                h, _, _, _, ends = anchors(memo.of(t.split()), width, anchor)
                 if len(h):
-                    held.append(h)
+                    held.append((h, ends))
                     size += len(h)
             if size > 2_000_000:
                 yield from out()
@@ -78,23 +96,22 @@ def _counts(docs: DataFrame, width: int, anchor: int, shards: int) -> DataFrame:
             yield from out()
 
     def add(t: pa.Table) -> pa.Table:
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()])
+        h, n, kinds = (np.concatenate([np.frombuffer(x, kind) for x in t.column(c).to_pylist()]) for c, kind in (("hashes", np.uint64), ("counts", "<u4"), ("kinds", "<u4")))
         every, of = np.unique(h, return_inverse=True)
-        total = np.bincount(of, weights=n).astype(np.int64)
+        total, kinds = (np.bincount(of, weights=x).astype(np.int64) for x in (n, kinds))
         again = total > 1
-        return pa.table({"node": pa.array(every[again].view(np.int64)), "n": pa.array(total[again])})
+        return pa.table({"node": pa.array(every[again].view(np.int64)), "n": pa.array(total[again]), "kinds": pa.array(kinds[again])})
 
-    packed = map_arrow(docs.select("text"), run, "shard int, hashes binary, counts binary")
-    return packed.groupBy("shard").applyInArrow(add, "node long, n long")
+    packed = map_arrow(docs.select("text"), run, "shard int, hashes binary, counts binary, kinds binary")
+    return packed.groupBy("shard").applyInArrow(add, "node long, n long, kinds long")
 
 
-def _stretches(keyed: DataFrame, again: DataFrame, n_again: int, shards: int, width: int, anchor: int) -> DataFrame:
-    """Rows of two kinds: shard and packed distinct stretches of words; or a text's key and where its stretches lie."""
-    held = keyed.sparkSession.sparkContext.broadcast(_filter(again, n_again))
+def _stretches(keyed: DataFrame, again: DataFrame, n_again: int, split: np.ndarray, shards: int, width: int, anchor: int) -> DataFrame:
+    """Rows of two kinds: shard and packed distinct stretches of words; or a text's key and where its stretches lie. split: the sorted anchors to split."""
+    held = keyed.sparkSession.sparkContext.broadcast((*_filter(again, n_again), split))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (filter_words, bits), memo, told = held.value, WordHash(), set()
+        (filter_words, bits, split), memo, told = held.value, WordHash(), set()
         found: dict[tuple[int, int], list] = {}
         size = 0
         schema = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()), ("s1", pa.list_(pa.int64())), ("s2", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
@@ -115,7 +132,7 @@ def _stretches(keyed: DataFrame, again: DataFrame, n_again: int, shards: int, wi
             places = []
             for t, k1, k2 in zip(texts_of(b), b.column("k1").to_pylist(), b.column("k2").to_pylist(), strict=True):
                 w = memo.of(t.split())
-                h, first, last = anchors(w, width, anchor)
+                h, first, last, stands, _ = anchors(w, width, anchor)
                 if not len(h):
                     continue
                 cell = np.mod(h.view(np.int64), bits)
@@ -123,22 +140,27 @@ def _stretches(keyed: DataFrame, again: DataFrame, n_again: int, shards: int, wi
                 if not len(rows):
                     continue
                 short = (w >> np.uint64(32)).astype("<u4")
-                s1, s2 = [], []
-                for i in rows:
-                    a, z = first[i], last[i] + width
+                s1, s2, begins = [], [], []
+                parted = split[np.minimum(np.searchsorted(split, h[rows]), len(split) - 1)] == h[rows] if len(split) else np.zeros(len(rows), bool)
+                parts = [(first[i], last[i], int(h[i] >> np.uint64(20))) for i in rows[~parted]]
+                for i in rows[parted]:
+                    parts += [(a, z, xxhash.xxh3_64_intdigest(w[b:e].tobytes())) for a, z, b, e in _pieces(first[i], last[i], stands[i], width, anchor)]
+                for a, z, place in parts:
+                    begins.append(int(a))
+                    z += width
                     d = xxhash.xxh3_128_intdigest(w[a:z].tobytes())
                     key = (d >> 64, d & 0xFFFFFFFFFFFFFFFF)
                     s1.append(key[0] - (1 << 63))
                     s2.append(key[1] - (1 << 63))
                     if (v := found.get(key)) is None:
-                        found[key] = [int(h[i] >> np.uint64(20)) % shards, 1, short[a:z]]
+                        found[key] = [place % shards, 1, short[a:z]]
                         size += z - a
                     else:
                         v[1] += 1
                 if (k1, k2) not in told:
                     if len(told) < 200_000:
                         told.add((k1, k2))
-                    places.append((k1, k2, s1, s2, first[rows].tolist()))
+                    places.append((k1, k2, s1, s2, begins))
             if places:
                 nothing = [None] * len(places)
                 yield pa.RecordBatch.from_arrays([pa.array(nothing if i < 5 else [p[i - 5] for p in places], f.type) for i, f in enumerate(schema)], schema=schema)
@@ -164,7 +186,7 @@ def _search(packed: DataFrame, width: int) -> DataFrame:
         begin = (np.cumsum(sizes) - sizes)[one]
         size = sizes[one]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-        masks = FMIndex(words[at], size, total).repeated_windows(width)
+        masks = FMIndex(words[at], size, total).repeated_windows(words[at], size, width)
         some = masks != 0
         kept = keys[one][some] ^ np.uint64(1 << 63)  # as the documents' rows have them
         return pa.table({"s1": pa.array(np.ascontiguousarray(kept[:, 0]).view(np.int64)), "s2": pa.array(np.ascontiguousarray(kept[:, 1]).view(np.int64)), "mask": pa.array(masks[some])})
@@ -179,15 +201,20 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> D
     Words are the ASCII-white-space-free chunks, unchanged; kept ones are joined by one space. A window
     counts as repeated wherever else it starts, in the same text too, and is judged on the input. Null
     text has no words, a text of fewer than `width` words no window. Rows that repeat a doc_id are texts of their
-    own, so equal rows of `width` words or more lose all of them. Other columns are ignored. Words are
-    compared by 32-bit hashes, `width` of them at a time. width may be up to anchor + 54.
+    own, so equal rows of `width` words or more lose all of them. Other columns are ignored, whatever their
+    names; no rows in, none out; long texts are read whole. Words are compared by 32-bit hashes, `width` of
+    them at a time. width must be over anchor and at most anchor + 54. What many different stretches share
+    is told apart by (width + anchor) / 2 words at least; a phrase that is longer still is one shard's.
     """
+    if not anchor < width <= anchor + 54:
+        raise ValueError("width must be over anchor and at most anchor + 54")
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")]
     keyed = docs.select("text", *key)
     n = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     again = materialize(_counts(docs, width, anchor, max(1, int(n // 100 // SHARD_ANCHORS))), "anchors")
-    n_again, uses = again.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = materialize(_stretches(keyed, again.select("node"), n_again, max(1, uses * (width + 15) // SHARD_WORDS), width, anchor), "stretches")
+    n_again, uses, kinds = again.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    split = np.sort(np.array([r[0] for r in again.where((F.col("kinds") > STRETCHES) & (F.col("kinds") * MOST_SPLIT > kinds)).select("node").collect()], np.int64).view(np.uint64))
+    found = materialize(_stretches(keyed, again.select("node"), n_again, split, max(1, uses * (width + 15) // SHARD_WORDS), width, anchor), "stretches")
     masks = materialize(_search(found.where("shard IS NOT NULL").select("shard", "keys", "sizes", "counts", "words"), width), "windows")
     places = found.where("shard IS NULL").select("k1", "k2", F.explode(F.arrays_zip("s1", "s2", "at")).alias("p")).select("k1", "k2", "p.s1", "p.s2", "p.at")
     hits = places.join(masks, ["s1", "s2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))

@@ -497,13 +497,16 @@ def slow_repeats(rows, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("width, anchor", [(35, 8), (12, 4)])
-def test_repeats(spark, width, anchor, monkeypatch):
+@pytest.mark.parametrize("width, anchor, stretches", [(35, 8, 4000), (35, 8, 1), (12, 4, 4000), (12, 5, 1)])
+def test_repeats(spark, width, anchor, stretches, monkeypatch):
     monkeypatch.setattr(substring, "SHARD_WORDS", 3000)
+    monkeypatch.setattr(substring, "STRETCHES", stretches)  # of 1: nearly all anchors are split
     rows = mixed(9, 100) + ODD + [(950, mixed(9, 100)[3][1])]
     got = substring.drop_repeats(spark.createDataFrame(rows, DOCS), width, anchor).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got), key=str) == slow_repeats(rows, width)
     assert substring.drop_repeats(spark.createDataFrame([], DOCS)).count() == 0
+    with pytest.raises(ValueError):
+        substring.drop_repeats(spark.createDataFrame([], DOCS), anchor + 55, anchor)
 
 
 def test_fm_index_counts():
@@ -517,5 +520,5 @@ def test_fm_index_counts():
             z = rng.randint(a + 1, len(s) + 1)
             times = sum(w * sum((t[i : i + z - a] == s[a:z]).all() for i in range(len(t) - (z - a) + 1)) for t, w in zip(seqs, weights, strict=True))
             for least in (2, 3):
-                never = index.failures(np.array([index.begin[k] + a]), np.array([index.begin[k] + z]), least)[0] < index.begin[k] + a
-                assert never == (times >= least)
+                text = index.codes(np.concatenate([s, [99]]))
+                assert (index.matching(text, np.array([a, len(s)]), np.array([z, len(s) + 1]), least) == [z - a, 0]).tolist() == [times >= least, True]
