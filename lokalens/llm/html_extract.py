@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,8 @@ BAD_NAMES = frozenset(
     "header masthead topbar footer bottombar copyright legal disclaimer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus respond replies reply discussion share sharing social follow related recommended recommendations more-links widget widgets toolbar pagination pager paging skip search searchbox form tags tagcloud rating outbrain taboola complementary contentinfo dialog".split()
 )
+#: Of these, such as call a block boilerplate as part of a longer name too; others have harmless meanings there (legal-news, related-work).
+BAD_PARTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo banner sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer bottombar cookie cookies gdpr popup modal newsletter comment comments commentlist disqus widget widgets toolbar pagination pager outbrain taboola".split())
 GOOD_NAMES = frozenset("article content main post story entry body text page".split())
 #: Opening one of these closes an open one of its kind: what may end it, and what it doesn't reach beyond.
 CLOSES = {
@@ -46,18 +49,19 @@ CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Beside the best container a block with more than this share of linked text is boilerplate. A menu has at least so much of it, and shorter links than so many characters in the mean.
-LINKY, MENU_SHARE, MENU_LINK = 0.5, 0.8, 25
+#: Beside the best container a block with more than this share of linked text is boilerplate. A menu has at least so much of it, so many links at least, and shorter ones than so many characters in the mean.
+LINKY, MENU_SHARE, MENU_LINKS, MENU_LINK = 0.5, 0.8, 3, 25
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "bad", "name_score", "parent", "children", "score", "length", "linked", "links", "paragraphs")
+    __slots__ = ("tag", "bad", "kept", "name_score", "parent", "children", "score", "length", "linked", "links", "paragraphs", "commas")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False, name_score: int = 0):
         self.tag, self.parent, self.bad, self.name_score = tag, parent, bad, name_score
         self.children: list[Node | str] = []
-        self.score = 0.0
-        self.length = self.linked = self.links = self.paragraphs = 0
+        self.score, self.kept = 0.0, False
+        self.length = self.linked = self.links = self.paragraphs = self.commas = 0
 
 
 def _names(raw: str) -> tuple[bool, int]:
@@ -70,7 +74,7 @@ def _names(raw: str) -> tuple[bool, int]:
                 parts = re.split(r"[-_:]+", whole)
                 if whole in GOOD_NAMES or parts[-1] in ("content", "body", "article", "text") and parts[0] not in BAD_NAMES:
                     good = 25
-                elif whole in BAD_NAMES or any(p in BAD_NAMES for p in parts):
+                elif whole in BAD_NAMES or any(p in BAD_PARTS for p in parts):
                     bad = True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             bad = True
@@ -81,6 +85,14 @@ def parse(page: str) -> Node:
     """A tree of the page that forgives unclosed and misplaced tags."""
     root = at = Node("html", None)
     pos, n = 0, len(page)
+    opened: Counter[str] = Counter({"html": 1})  # by tag, so that no tag is looked for that isn't open
+
+    def leave(node: Node, to: Node) -> Node:
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+        return to
+
     while pos < n:
         m = _TOKEN.search(page, pos)
         if m is None:
@@ -91,23 +103,24 @@ def parse(page: str) -> Node:
         pos = m.end()
         if m[1]:
             tag, node = m[1].lower(), at
-            while node is not None and node.tag != tag:
-                node = node.parent
-            if node is not None and node.parent is not None and not (tag not in BLOCK and _crosses(at, node)):
-                at = node.parent
+            if opened[tag]:
+                while node.tag != tag and (tag in BLOCK or node.tag not in BLOCK):  # an inline end tag does not close blocks
+                    node = node.parent
+            if node.tag == tag and node.parent is not None:
+                at = leave(at, node.parent)
             elif tag == "br":
                 at.children.append(Node("br", at))
         elif m[2]:
             tag = m[2].lower()
-            if tag in ("html", "body") and tag == "html":
+            if tag == "html":
                 continue
-            if tag in BLOCK:  # a paragraph ends where a block begins, whatever inline tags are open in it
+            if tag in BLOCK and opened["p"]:  # a paragraph ends where a block begins, whatever inline tags are open in it
                 node = at
                 while node is not None and node.tag not in CONTAINERS and node.tag not in ("p", "button"):
                     node = node.parent
                 if node is not None and node.tag == "p":
-                    at = node.parent
-            if tag in CLOSES:
+                    at = leave(at, node.parent)
+            if tag in CLOSES and any(opened[x] for x in CLOSES[tag][0]):
                 ends, stops = CLOSES[tag]
                 node, last = at, None
                 while node is not None and node.tag not in stops:
@@ -115,13 +128,12 @@ def parse(page: str) -> Node:
                         last = node
                     node = node.parent
                 if last is not None and last.parent is not None:
-                    at = last.parent
-            if tag == "body" or tag == "main" or tag == "article":  # a head left open ends here
+                    at = leave(at, last.parent)
+            if tag in ("body", "main", "article") and opened["head"]:  # a head left open ends here
                 node = at
-                while node is not None and node.tag != "head":
+                while node.tag != "head":
                     node = node.parent
-                if node is not None:
-                    at = node.parent
+                at = leave(at, node.parent)
             child = Node(tag, at, *(_names(m[3]) if m[3] and not m[3].isspace() else (False, 0)))
             at.children.append(child)
             if tag in RAW and not (m[3] or "").endswith("/"):
@@ -130,16 +142,31 @@ def parse(page: str) -> Node:
                 pos = end.end() if end else n
             elif tag not in VOID and not ((m[3] or "").rstrip().endswith("/") and tag not in BLOCK):
                 at = child
+                opened[tag] += 1
+    _keep_wrappers(root)
     return root
 
 
-def _crosses(at: Node, node: Node) -> bool:
-    """Whether a block lies between: an inline end tag does not close blocks."""
-    while at is not node:
-        if at.tag in BLOCK:
-            return True
-        at = at.parent
-    return False
+def _keep_wrappers(root: Node) -> None:
+    """Marks forms around more than half of the page's paragraphs, and headers of articles that hold a heading: they are not what their tags say."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, within = stack.pop()
+        order.append(node)
+        if node.tag == "header" and within:
+            node.kept = any(isinstance(c, Node) and c.tag in HEADINGS for c in node.children) or any(isinstance(c, Node) and c.tag == "hgroup" for c in node.children)
+        within = within or node.tag == "article"
+        stack.extend((c, within) for c in node.children if isinstance(c, Node))
+    if not any(node.tag == "form" for node in order):
+        return
+    held: dict[int, int] = {}
+    for node in reversed(order):
+        size = sum(held[id(c)] for c in node.children if isinstance(c, Node))
+        if node.tag == "p":
+            size += sum(len(_SPACE.sub(" ", c)) for c in node.children if isinstance(c, str))
+        held[id(node)] = size
+    for node in order:
+        node.kept = node.kept or node.tag == "form" and not node.bad and 2 * held[id(node)] > held[id(root)]
 
 
 def _clean(text: str) -> str:
@@ -147,7 +174,7 @@ def _clean(text: str) -> str:
 
 
 def _dropped(node: Node) -> bool:
-    return node.tag in DROPPED or node.bad and node.tag not in ("body", "html", "article", "main")
+    return node.tag in DROPPED and not node.kept or node.bad and node.tag not in ("body", "html", "article", "main")
 
 
 def _walk(root: Node) -> tuple[list[Node], list[Node]]:
@@ -163,10 +190,12 @@ def _walk(root: Node) -> tuple[list[Node], list[Node]]:
         for c in node.children:
             if isinstance(c, Node) and not _dropped(c):
                 own += c.length
+                node.commas += c.commas
                 node.linked += c.linked
                 node.links += c.links
                 node.paragraphs += c.paragraphs
         node.length = own
+        node.commas += sum(c.count(",") for c in node.children if isinstance(c, str))
         node.paragraphs += node.tag in ("p", "pre", "blockquote") and own > 0
         if node.tag == "a":
             node.linked, node.links = own, int(own > 0)
@@ -181,7 +210,7 @@ def _density(node: Node) -> float:
 
 
 def _menu(node: Node) -> bool:
-    return node.linked >= MENU_SHARE * node.length and node.linked < MENU_LINK * node.links
+    return node.links >= MENU_LINKS and node.linked >= MENU_SHARE * node.length and node.linked < MENU_LINK * node.links
 
 
 def _beside(parent: Node, inner: set[int]) -> list[Node | str]:
@@ -204,17 +233,6 @@ def _beside(parent: Node, inner: set[int]) -> list[Node | str]:
     return out
 
 
-def _plain(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not _dropped(x):
-            stack.extend(reversed(x.children))
-    return "".join(out)
-
-
 def best_containers(root: Node) -> list[Node | str]:
     """The best container and all kept with it, in page order; empty if the page has no text. What lies further out is kept from there on where it has paragraphs beside the container, as sections have."""
     order, texts = _walk(root)
@@ -222,13 +240,12 @@ def best_containers(root: Node) -> list[Node | str]:
     for node in texts:
         if node.tag in CONTAINERS and node.tag not in PARAGRAPHS:
             words = "".join(c for c in node.children if isinstance(c, str))
-            up = [node, node.parent]
+            size, commas, up = len(words.strip()), words.count(","), [node, node.parent]
         else:
-            words, up = _plain(node), [node.parent, node.parent.parent if node.parent else None]
-        size = len(words.strip())
+            size, commas, up = node.length, node.commas, [node.parent, node.parent.parent if node.parent else None]
         if not size:
             continue
-        points = 1 + words.count(",") + min(size / 100, 3 + size / 1000)
+        points = 1 + commas + min(size / 100, 3 + size / 1000)
         for share, to in zip((1.0, 0.5), up, strict=True):
             if to is not None:
                 to.score += points * share
@@ -242,11 +259,6 @@ def best_containers(root: Node) -> list[Node | str]:
 
     rank = {id(x): i for i, x in enumerate(order)}
     best = max({id(x): x for x in scored}.values(), key=lambda x: (final(x), -rank[id(x)]))
-    node = best.parent  # an article or main above it holds the whole text
-    while node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-        node = node.parent
     if best.parent is None or best.tag in ("article", "main", "body"):
         if best.parent is None or best.tag != "article":
             return [best]
@@ -300,7 +312,7 @@ def main_text(page: str | None) -> str:
         while stack:
             node = stack.pop()
             named |= node.bad
-            node.bad, node.score, node.length, node.linked, node.links, node.paragraphs = False, 0.0, 0, 0, 0, 0
+            node.bad, node.score, node.length, node.linked, node.links, node.paragraphs, node.commas = False, 0.0, 0, 0, 0, 0, 0
             stack.extend(c for c in node.children if isinstance(c, Node))
         text = _text_of(root) if named else ""
     return text
@@ -320,7 +332,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars): the main text of each row's whole html, its code points counted.
 
     Null, empty and textless pages give an empty text and 0. Rows repeat as they do in pages, null ids
-    and urls stay null; other columns are ignored. Broken markup never fails: open tags end with the page.
+    and urls stay null; other columns are ignored, whatever their names; no rows in, none out. Long pages are
+    read whole, in time about in proportion to their length. Of equally good containers the first in the page
+    is taken. Broken markup never fails: open tags end with the page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -194,16 +195,29 @@ MENU = "<ul><li><a>Home</a></li><li><a>News</a></li><li><a>About us</a></li></ul
     (f"<div>Before <b>it</b> all.<div><p>{LONG}</p><p>{LONG}</p></div><div><a>A linked headline of another page, quite long</a></div></div>", ["Before it all.", LONG, LONG]),
     (f"<article><p>{LONG}</p>{MENU}<h2>Sources</h2><ol>{LINKS}</ol></article>", [LONG, "Sources", *SOURCES]),
     (f"<div><div><p>{LONG}</p><p>{LONG}</p></div><h2>Sources</h2><ol>{LINKS}</ol></div>", [LONG, LONG, "Sources", *SOURCES]),
+    (f"<form action=x><div><p>{LONG}</p><p>{PARA}</p></div><input name=q></form><footer>f</footer>", [LONG, PARA]),
+    (f"<article><header><h1>Title</h1></header><p>{LONG}</p><table><tr><td><a>One linked cell</a></td></tr></table></article><header><h1>Site</h1></header>", ["Title", LONG, "One linked cell"]),
+    (f"<div class=legal-news><p>{LONG}</p></div><div class=site-footer><p>{PARA}</p></div>", [LONG]),
+    (f"<main><div><p>{LONG}</p></div><aside><p>{PARA}</p></aside></main>", [LONG]),
     ("<p>First, of all.</p>" + "<div>" * 3000 + f"<p>{LONG}</p>", ["First, of all.", LONG]),
 ])
 def test_sections_and_sources_stay(page, texts):
     assert html_extract.main_text(page) == "\n\n".join(texts)
 
 
+def test_time_of_broken_pages():
+    """Unmatched end tags under deep nesting cost the same each."""
+    for inner, outer in (("<div>", "</section>"), ("<b>", "</i>"), ("<i><div>", "</i>"), ("<b>", "<p>"), ("<ul><li>", "</table>")):
+        began = time.process_time()
+        html_extract.main_text(inner * 5000 + outer * 5000 + PARA)
+        assert time.process_time() - began < 5
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article><p>{PARA}</p></article>", 5), (1, "u", f"<article><p>{PARA}</p></article>", 5), (None, None, None, None)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert sorted((r["n_chars"], r["text"]) for r in got) == [(0, ""), (len(PARA), PARA), (len(PARA), PARA)]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     pages = pd.read_parquet(f"{DATA}/pages.parquet")
     texts = {r["page_id"]: r["text"] for r in html_extract.op4_html_extract(spark, DATA).collect()}
     assert len(texts) == len(pages)
