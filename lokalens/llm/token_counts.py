@@ -17,8 +17,8 @@ from .chunks import encoder_of, load
 from .common import ids_of, map_arrow, slices, table, texts_of
 
 
-#: Chunks that a Python worker remembers.
-MEMO = 500_000
+#: Chunks that a Python worker remembers; characters of a section of the query.
+MEMO, STRETCH = 500_000, 1000
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray) -> np.ndarray:
@@ -26,21 +26,30 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray) -> np.
     out = np.full(len(starts), -1, np.int64)
     if not len(starts) or not len(sections):
         return out
+    # the sections that a token may lie in: the first that ends behind its start to the last that starts before its end
     first = np.searchsorted(sections[:, 1], starts, side="right")
-    inside = first < len(sections)
-    f = np.minimum(first, len(sections) - 1)
-    whole = inside & (sections[f, 0] <= starts) & (ends <= sections[f, 1])
-    out[whole] = f[whole]
-    for i in np.flatnonzero(inside & ~whole):
-        best, k = 0, first[i]
-        while k < len(sections) and sections[k, 0] < ends[i]:
-            common = min(ends[i], sections[k, 1]) - max(starts[i], sections[k, 0])
-            if common > best:
-                best, out[i] = common, k
-            k += 1
+    stop = np.searchsorted(sections[:, 0], ends, side="left")
+    one = np.flatnonzero(stop - first == 1)
+    inside = np.minimum(ends[one], sections[first[one], 1]) > np.maximum(starts[one], sections[first[one], 0])
+    out[one[inside]] = first[one[inside]]
+    many = np.flatnonzero(stop - first > 1)
+    if len(many):
+        size = stop[many] - first[many]
+        token = np.repeat(many, size)
+        k = np.repeat(first[many] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        common = np.minimum(ends[token], sections[k, 1]) - np.maximum(starts[token], sections[k, 0])
+        order = np.lexsort((k, -common, token))
+        best = order[np.concatenate([[True], token[order][1:] != token[order][:-1]])]
+        best = best[common[best] > 0]
+        out[token[best]] = k[best]
     return out
 
 
+def stretches(text: str, size: int = STRETCH) -> list[tuple[int, int]]:
+    """Sections of `size` characters, the last one shorter; none of an empty text. Their bounds cut tokens."""
+    return [(i, min(i + size, len(text))) for i in range(0, len(text), size)]
+
+
 def line_sections(text: str) -> list[tuple[int, int]]:
     """The lines of a text, without their \\n, as half-open character spans."""
     out, at = [], 0
@@ -66,7 +75,8 @@ def token_counts(docs: DataFrame, sections: Callable[[str], list[tuple[int, int]
     Spans are half open, in code points of the whole text; sections() returns them sorted and disjoint.
     Tokens that no section gets are counted under section -1 (start and end null), if there are any.
     Null text is read as empty: its one line is empty and has no tokens. Rows that repeat a doc_id are
-    counted row by row; other columns are ignored. Where the tokenizer keeps white space, set
+    counted row by row; other columns are ignored, whatever their names; no rows in, none out. Long texts
+    are encoded whole. Where the tokenizer keeps white space, set
     drops_white_space to False: texts are then encoded whole.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
@@ -96,5 +106,5 @@ def token_counts(docs: DataFrame, sections: Callable[[str], list[tuple[int, int]
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every document with its tokens."""
-    return token_counts(table(spark, sf_dir, "documents"))
+    """Every stretch of STRETCH characters of every document with its tokens."""
+    return token_counts(table(spark, sf_dir, "documents"), stretches)

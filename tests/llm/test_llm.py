@@ -376,8 +376,8 @@ def test_packing_round_trip(spark):
 def slow_counts(text, sections, offsets):
     out = [0] * (len(sections) + 1)
     for a, z in offsets:
-        common = [max(0, min(z, e) - max(a, b)) for b, e in sections]
-        out[common.index(max(common)) if common and max(common) else -1] += 1
+        common = {k: min(z, e) - max(a, b) for k, (b, e) in enumerate(sections) if b < z and e > a}
+        out[max(common, key=lambda k: (common[k], -k)) if common else -1] += 1
     return out
 
 
@@ -385,9 +385,10 @@ def slow_counts(text, sections, offsets):
 def test_token_counts(spark, name, drops):
     path = public_tokenizers.path(name)
     halves = lambda t: [(i, min(i + 7, len(t))) for i in range(0, len(t), 9)]
-    rows = mixed(6, 25) + [r for r in ODD if r[0] not in (903, 904)]
+    rows = mixed(6, 25) + [r for r in ODD if r[0] not in (903, 904)] + [(903, "a " * 700), (904, "x" * 900)]
     whole = Tokenizer.from_file(path)
-    for sections in (token_counts.line_sections, halves):
+    assert token_counts.token_counts(spark.createDataFrame([], DOCS), halves, path, drops).count() == 0
+    for sections in (token_counts.line_sections, halves, lambda t: [(i, i + 1) for i in range(0, len(t), 3)]):
         got = token_counts.token_counts(spark.createDataFrame(rows, DOCS), sections, path, drops).collect()
         want = Counter()
         for d, t in rows:
@@ -400,6 +401,28 @@ def test_token_counts(spark, name, drops):
         assert Counter(tuple(r) for r in got) == want
 
 
+def test_queries_of_tokens_on_whole_tables(spark):
+    """op7 and op10 against whole encodings of every text, and op10's sections do cut tokens."""
+    docs = pd.read_parquet(f"{DATA}/documents.parquet")
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.op7_packing(spark, DATA).toPandas().sort_values(["doc_id", "start"]).groupby("doc_id")
+    counts = token_counts.op10_token_counts(spark, DATA).toPandas().sort_values(["doc_id", "section"]).groupby("doc_id")
+    cut = 0
+    for doc, text in zip(docs.doc_id, docs.text.fillna(""), strict=True):
+        found = whole.encode(text, add_special_tokens=False)
+        own, at = pieces.get_group(doc), 0
+        for r in own.itertuples():
+            assert r.start == at and r.doc_tokens == len(found.ids) + 1 and r.ids_crc32 == zlib.crc32(np.array((found.ids + [2])[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(found.ids) + 1
+        sections = token_counts.stretches(text)
+        want = slow_counts(text, sections, found.offsets)
+        cut += sum(a // token_counts.STRETCH != (z - 1) // token_counts.STRETCH for a, z in found.offsets)
+        if sections:
+            assert counts.get_group(doc).n_tokens.tolist() == want[:-1] and want[-1] == 0
+    assert cut > 20
+
+
 # --- 8: near copies -------------------------------------------------------------------------------
 
 
