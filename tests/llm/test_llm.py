@@ -96,6 +96,39 @@ def test_toxicity_of_odd_texts(spark, odd):
     assert len(got) == len(ODD) and all(0 <= r["score"] < 0.5 for r in got)
 
 
+    assert toxicity.score(odd.limit(0), model).count() == 0
+    assert toxicity.fit(odd.limit(0), spark.createDataFrame([(900, 1)], "doc_id long, toxic int")).bias == -5.0
+
+
+def test_cut_is_best_by_brute_force():
+    rnd = np.random.RandomState(3)
+    for _ in range(50):
+        z, y, w = rnd.randint(-5, 5, 30) / 2, rnd.rand(30) < 0.4, np.where(rnd.rand(30) < 0.5, 1.0, 3.0)
+        f1 = lambda c: 2 * (w * (y & (z >= c))).sum() / ((w * (z >= c)).sum() + (w * y).sum())
+        assert f1(toxicity.cut_of(z, y.astype(float), w)) >= max(f1(c) for c in np.arange(-3, 3, 0.1)) - 1e-9
+
+
+def test_ftrl_is_the_published_update():
+    """Against the per-coordinate update written out, coordinate by coordinate."""
+    rnd = random.Random(5)
+    docs = [np.array(sorted(rnd.sample(range(12), 4))) for _ in range(40)]
+    labels, weight, l1 = [float(rnd.random() < 0.4) for _ in docs], [rnd.choice([1.0, 2.0]) for _ in docs], np.array([0.3] * 12)
+    z, n, rates = [0.0] * 13, [0.0] * 13, [*l1, 0.0]
+
+    def w(i):
+        return 0.0 if abs(z[i]) <= rates[i] else -(z[i] - np.sign(z[i]) * rates[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for y, s, doc in zip(labels, weight, docs, strict=True):
+            own = [*doc.tolist(), 12]
+            now = {i: w(i) for i in own}
+            g = s * (1 / (1 + np.exp(-sum(now.values()))) - y)
+            for i in own:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * now[i]
+                n[i] += g * g
+    assert np.allclose(toxicity.ftrl(np.array(labels), np.array(weight), docs, l1), [w(i) for i in range(13)])
+
+
 # --- 3: decontamination ---------------------------------------------------------------------------
 
 
