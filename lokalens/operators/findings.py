@@ -80,16 +80,16 @@ def register_mix(pairs: DataFrame) -> DataFrame:
 def inconsistent_terms(pairs: DataFrame, top: int = 30, longest: int = 60) -> DataFrame:
     """(lang, term, n_keys, variants, keys, rank, msg): short sources translated in several ways, most keys first.
 
-    Variants stand as first seen, in that order; both steps are partial aggregates, so a frequent term costs one row a task and variant before its keys are gathered."""
+    Variants stand as first seen, in that order. Terms are ranked by counts; variants and keys are gathered for the `top` of a language only."""
     s = strip(F.col("src"))
     shown = pairs.where((s != "") & (F.length(s) <= longest) & (strip(F.col("tgt")) != "")).select("lang", "key", "ord", s.alias("s"), strip(F.col("tgt")).alias("t"), normalized(F.col("src")).alias("ns"), normalized(F.col("tgt")).alias("nt"))
-    variants = shown.groupBy("lang", "ns", "nt").agg(F.min_by("t", "ord").alias("t"), F.min_by("s", "ord").alias("s"), F.min("ord").alias("ord"), F.collect_list("key").alias("keys"))
-    terms = variants.groupBy("lang", "ns").agg(
-        F.min_by("s", "ord").alias("term"), F.min("ord").alias("ord"), F.count("*").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]).alias("variants"),
-        F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys"),
-    ).where("n >= 2").withColumn("n_keys", F.size("keys"))
-    ranked = terms.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_keys"), "ord"))).where(F.col("rank") <= top)
+    variants = shown.groupBy("lang", "ns", "nt").agg(F.min_by("t", "ord").alias("t"), F.min_by("s", "ord").alias("s"), F.min("ord").alias("ord"), F.count("*").alias("n_keys"))
+    terms = variants.groupBy("lang", "ns").agg(F.min_by("s", "ord").alias("term"), F.min("ord").alias("ord"), F.count("*").alias("n"), F.sum("n_keys").cast("int").alias("n_keys"))
+    ranked = terms.where("n >= 2").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_keys"), "ord"))).where(F.col("rank") <= top)
+    named = ranked.select("lang", "ns", "term", "n_keys", "rank")
+    listed = variants.join(named.select("lang", "ns"), ["lang", "ns"]).groupBy("lang", "ns").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]).alias("variants"))
+    held = shown.join(named.select("lang", "ns"), ["lang", "ns"]).groupBy("lang", "ns").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    ranked = named.join(listed, ["lang", "ns"]).join(held, ["lang", "ns"])
     said = F.concat(F.lit('inconsistent translation of "'), F.col("term"), F.lit('" across '), F.col("n_keys").cast("string"), F.lit(" keys: "), F.array_join("variants", ", "))
     return ranked.select("lang", "term", "n_keys", "variants", "keys", "rank", said.alias("msg"))
 

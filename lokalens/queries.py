@@ -19,8 +19,9 @@ from .operators import incremental as I
 from .operators import keys as K
 from .operators import memory as M
 from .plans import check as C
+from .plans import incremental as P
+from .sources import decode, sinks, stores
 from .sources import segments as S
-from .sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,10 +85,10 @@ _MORE = "list_sort(list_filter(list_distinct({a}), lambda x: len(list_filter({a}
 # --- key joins ------------------------------------------------------------------------------------
 
 
-@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 0)")
 def missing_keys(spark, sf_dir):
     key = lambda c: F.col(c).cast("string").alias("key")
-    return K.missing_keys(_table(spark, sf_dir, "customer").select(key("c_custkey")), _table(spark, sf_dir, "orders").select(key("o_custkey")), ["key"])
+    return K.missing_keys(_table(spark, sf_dir, "customer").select(key("c_custkey")), _table(spark, sf_dir, "orders").where("o_orderkey % 8 = 0").select(key("o_custkey")), ["key"])
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS key FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
@@ -96,9 +97,11 @@ def extra_keys(spark, sf_dir):
     return K.extra_keys(_table(spark, sf_dir, "supplier").select(key("s_suppkey")), _table(spark, sf_dir, "customer").select(key("c_custkey")), ["key"])
 
 
-@query("SELECT DISTINCT lower(substr(n_name, 1, 2)) AS lang FROM nation WHERE lower(substr(n_name, 1, 2)) NOT IN (SELECT lang FROM documents WHERE lang IS NOT NULL)")
+@query("SELECT DISTINCT lower(n_name) AS lang FROM nation WHERE lower(n_name) NOT IN (SELECT lower(n_name) FROM nation, supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 3 = 0)")
 def missing_locales(spark, sf_dir):
-    return K.missing_locales(_table(spark, sf_dir, "nation").select(F.lower(F.substring("n_name", 1, 2)).alias("lang")), _table(spark, sf_dir, "documents").select("lang"))
+    nation = _table(spark, sf_dir, "nation").withColumn("lang", F.lower("n_name"))
+    served = _table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    return K.missing_locales(nation.select("lang"), nation.join(served, "n_nationkey", "left_semi").select("lang"))
 
 
 @query("SELECT r_name AS lang, CAST(n_nationkey AS VARCHAR) AS key FROM nation, region WHERE n_regionkey <> r_regionkey")
@@ -394,11 +397,84 @@ def lock_global(spark, sf_dir):
     return I.advanced_global(new, before, by_lang, skipped)
 
 
+@query(f"""WITH {_SNAPSHOTS} SELECT key, value FROM n WHERE key IN (SELECT key FROM o WHERE ord % 4 = 1)""")
+def key_subset(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return K.subset(new, old.where("ord % 4 = 1")).select("key", "value")
+
+
+# An incremental run: German has its own record, French the one of all languages, Spanish none of its strings but some.
+_RUN = f"""{_SNAPSHOTS}, l AS (SELECT lang FROM (VALUES ('de'), ('fr'), ('es')) t(lang)),
+k AS (SELECT 'de' AS lang, key, sha256(value) AS hash FROM o WHERE ord % 5 <> 0 UNION ALL SELECT lang, key, sha256(value) FROM o, (VALUES ('fr'), ('es')) t(lang) WHERE ord % 3 <> 0),
+t AS (SELECT lang, key FROM o, l WHERE lang <> 'es' OR ord % 2 = 0),
+j AS (SELECT l.lang, n.key, sha256(n.value) AS hash, k.hash AS locked, CASE WHEN t.key IS NULL THEN 'missing' WHEN k.hash <> sha256(n.value) THEN 'changed' WHEN k.hash IS NULL THEN 'unverified' END AS reason
+  FROM n CROSS JOIN l LEFT JOIN t ON t.lang = l.lang AND t.key = n.key LEFT JOIN k ON k.lang = l.lang AND k.key = n.key)"""
+
+
+def _run(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    old, new = _snapshots(spark, sf_dir)
+    langs = spark.createDataFrame([("de",), ("fr",), ("es",)], "lang string")
+    locked = lambda lang, where: I.hashed(old.where(where)).select(F.lit(lang).cast("string").alias("lang"), "key", "hash")
+    lock = locked("de", "ord % 5 <> 0").unionByName(locked(None, "ord % 3 <> 0"))
+    targets = K.by_language(old, langs).where("lang <> 'es' OR ord % 2 = 0")
+    return new, lock, langs, P.judged(new, targets, lock, langs)
+
+
+@query(f"WITH {_RUN} SELECT lang, key, hash, reason FROM j WHERE reason IS NOT NULL")
+def incremental_plan(spark, sf_dir):
+    return _run(spark, sf_dir)[3]
+
+
+@query(f"""WITH {_RUN}, a AS (SELECT lang, key, CASE WHEN reason = 'unverified' OR lang = 'fr' AND reason IS NOT NULL THEN locked ELSE hash END AS hash, reason = 'unverified' OR lang = 'fr' AND reason IS NOT NULL AS skip, hash AS now FROM j),
+g AS (SELECT key, bool_or(coalesce(skip, false)) AS skip, count(*) FILTER (WHERE hash = now) AS n, max(now) AS now FROM a GROUP BY key),
+b AS (SELECT key, sha256(value) AS hash FROM o WHERE ord % 3 <> 0)
+SELECT lang, key, hash FROM a WHERE hash IS NOT NULL
+UNION ALL SELECT NULL, key, hash FROM (SELECT coalesce(g.key, b.key) AS key, CASE WHEN g.key IS NULL OR g.skip THEN b.hash WHEN g.n = 3 THEN g.now END AS hash FROM g FULL JOIN b ON g.key = b.key) WHERE hash IS NOT NULL""")
+def incremental_locks(spark, sf_dir):
+    new, lock, langs, found = _run(spark, sf_dir)
+    return P.finished(new, lock, langs, found, spark.createDataFrame([("fr",)], "lang string"))
+
+
+@query("""WITH s AS (SELECT CAST(p_partkey AS VARCHAR) AS key, sha256(p_name) AS hash, p_size % 10 AS lock FROM part)
+SELECT CAST(lock AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS lang, key, hash FROM s WHERE lock <> 3
+UNION ALL SELECT CAST(lock AS VARCHAR), 'de', key, hash FROM s WHERE lock > 4 UNION ALL SELECT CAST(lock AS VARCHAR), 'pt-BR', key, hash FROM s WHERE lock > 4""")
+def lock_documents(spark, sf_dir):
+    """Ten lock documents, of which some are old, one is damaged, and the others hold languages."""
+    part = _table(spark, sf_dir, "part").select((F.col("p_size") % 10).alias("lock"), F.struct(F.col("p_partkey").cast("string").alias("key"), F.sha2("p_name", 256).alias("hash")).alias("e"))
+    held = part.groupBy("lock").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("m"))
+    new = F.concat(F.lit('{"version": 2, "settings": {"tone": "x"}, "keys": '), "m", F.lit(', "langs": {"de": '), "m", F.lit(', "pt-BR": '), "m", F.lit(', "xx": 5}}'))
+    old = F.regexp_replace("m", r"\}$", ', "number": 12, "object": {"a": "b"}, "list": ["a"]}')
+    text = F.when(F.col("lock") == 3, F.substring("m", 1, 40)).when(F.col("lock") > 4, new).otherwise(old)
+    return stores.lock_rows(held.select(F.col("lock").cast("string").alias("path"), text.alias("text")))
+
+
+@query("""SELECT 'e' || CAST(p_partkey AS VARCHAR) AS entry_id, p_name AS source, lang, lang || ' "' || p_type || '"' AS translated FROM part, (VALUES ('de'), ('fr')) t(lang) WHERE p_size % 10 <> 3""")
+def memory_documents(spark, sf_dir):
+    """Ten memory documents, one of them damaged."""
+    entry = F.to_json(F.struct(F.col("p_name").alias("source"), *(F.concat(F.lit(f'{x} "'), "p_type", F.lit('"')).alias(x) for x in ("de", "fr"))))
+    entries = F.concat_ws(", ", F.collect_list(F.concat(F.lit('"e'), F.col("p_partkey").cast("string"), F.lit('": '), entry)))
+    held = _table(spark, sf_dir, "part").groupBy((F.col("p_size") % 10).alias("path")).agg(entries.alias("m"))
+    whole = F.concat(F.lit('{"version": 1, "entries": {'), "m", F.lit("}}"))
+    return stores.memory_rows(held.select(F.col("path").cast("string"), F.when(F.col("path") == 3, F.substring(whole, 1, 60)).otherwise(whole).alias("text")))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 6 = 5 THEN NULL ELSE p_name || ' é' END AS text, p_partkey % 6 = 5 AS refused FROM part""")
+def decoded_texts(spark, sf_dir):
+    """Names in UTF-8 with and without a mark, in UTF-16 with and without one, as a .properties file in Latin-1, and in Latin-1 elsewhere, which is refused."""
+    text, mark = F.concat("p_name", F.lit(" é")), lambda x: F.unhex(F.lit(x))
+    kinds = [F.encode(text, "UTF-8"), F.concat(mark("EFBBBF"), F.encode(text, "UTF-8")), F.concat(mark("FFFE"), F.encode(text, "UTF-16LE")), F.encode(text, "UTF-16BE"), F.encode(text, "ISO-8859-1"), F.encode(text, "ISO-8859-1")]
+    content = F.coalesce(*(F.when(F.col("p_partkey") % 6 == i, x) for i, x in enumerate(kinds)))
+    path = F.concat(F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 6 == 4, ".properties").otherwise(".json"))
+    read = decode.texts(_table(spark, sf_dir, "part").select(path.alias("path"), content.alias("content")))
+    return read.select(F.regexp_replace("path", r"\..*$", "").alias("path"), "text", F.col("error").isNotNull().alias("refused"))
+
+
 _SIGNATURE = I.settings(tone="formal", keep="Brand, ACME")
 
 
 def _entry(x: str) -> str:
-    return f"substr(sha256('{I.signature(_SIGNATURE)}' || chr(0) || {x}), 1, 32)"
+    settings = '{"app_context":"","icu":false,"keep":["ACME","Brand"],"model":"","tone":"formal"}'
+    return f"substr(sha256('{settings}' || chr(0) || {x}), 1, 32)"
 
 
 def _memory(spark, sf_dir) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +53,17 @@ def sarif_document(results: DataFrame, tool: str = "lokalens") -> str:
 
 def write_whole(path: str, text: str) -> None:
     """Replace a file at once: readers see the old text or the new one."""
+    write_parts(path, [text])
+
+
+def write_parts(path: str, parts: Iterable[str]) -> None:
+    """A file of these parts, one after the other, that takes the old one's place when it is whole."""
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=folder)
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as f:
-            f.write(text)
+            f.writelines(parts)
             f.flush()
             os.fsync(f.fileno())
         os.replace(name, path)
@@ -70,9 +76,3 @@ def locale_json(segments: DataFrame, as_nested: bool = True) -> str:
     """One locale document of segments (ord, key, value, vtype), which must be of one file."""
     leaves = {r["key"]: r["value"] if r["vtype"] == "string" else json.loads(r["value"]) for r in segments.orderBy("ord").select("key", "value", "vtype").toLocalIterator()}
     return json.dumps(nested(leaves) if as_nested else leaves, ensure_ascii=False, indent=2) + "\n"
-
-
-def lock_rows(lock: DataFrame) -> DataFrame:
-    """(lang, hashes): the lock's sorted map for each language as JSON."""
-    entries = F.array_sort(F.collect_list(F.struct("key", "hash")))
-    return lock.groupBy("lang").agg(F.to_json(F.map_from_entries(entries)).alias("hashes"))
