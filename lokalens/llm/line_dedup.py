@@ -241,7 +241,8 @@ def _judged(docs: DataFrame, min_chars: int, keys_per_shard: int, lines_per_shar
     probes = _probes(keyed.where(F.col(text).isNotNull()).select("d", F.col(text).alias("text"), "k1", "k2"), frequent, min_chars, shards)
     hits = _hits(build_index(found.where(~often), shards), probes, min_rows)
     hits = materialize(hits.groupBy(F.col("k1").alias("h1"), F.col("k2").alias("h2")).agg(F.collect_set("at").alias("gone")), "hits")
-    joined = keyed.join(hits, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left").select(*inner, "d", "gone")
+    # hits grow with the documents, so small ones are not broadcast either: the plan is the same at every size
+    joined = keyed.join(hits.hint("merge"), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left").select(*inner, "d", "gone")
     schema = StructType([*rows.schema, *StructType.fromDDL("lines long, dropped long")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
