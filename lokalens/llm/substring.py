@@ -217,9 +217,10 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) -> D
     found = materialize(_stretches(keyed, again.select("node"), n_again, split, max(1, uses * (width + 15) // SHARD_WORDS), width, anchor), "stretches")
     masks = materialize(_search(found.where("shard IS NOT NULL").select("shard", "keys", "sizes", "counts", "words"), width), "windows")
     places = found.where("shard IS NULL").select("k1", "k2", F.explode(F.arrays_zip("s1", "s2", "at")).alias("p")).select("k1", "k2", "p.s1", "p.s2", "p.at")
-    hits = places.join(masks, ["s1", "s2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))
+    hits = places.join(masks.hint("merge"), ["s1", "s2"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))
     hits = materialize(hits.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), F.col("hits.at").alias("at"), F.col("hits.mask").alias("mask")), "hits")
-    joined = docs.select("doc_id", "text", *key).join(hits, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left").select("doc_id", "text", "at", "mask")
+    # hits grow with the documents, so small ones are not broadcast either: the plan is the same at every size
+    joined = docs.select("doc_id", "text", *key).join(hits.hint("merge"), (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left").select("doc_id", "text", "at", "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
