@@ -529,6 +529,102 @@ def volumes(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), quota.short_count(n).alias("shown"), quota.quota_level(n, F.lit(10_000_000)).alias("level"))
 
 
+# Documents made of rows of part: a nested one, an ARB file and a string catalog for each.
+
+
+def _documents(spark, sf_dir) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    head = F.concat(F.lit('{"part": {"name": "'), "p_name", F.lit('", "size": '), F.col("p_size").cast("string"), F.lit(', "tags": ["a", 1]}, "@part": {"description": "x"}, "sold": '))
+    whole = F.concat(head, F.when(F.col("p_size") > 25, "true").otherwise("null"), F.lit("}"))
+    return part.select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 10 == 9, F.substring(whole, 1, 30)).otherwise(whole).alias("text"))
+
+
+_WHOLE = "part WHERE p_partkey % 10 <> 9"
+
+
+@query(f"""SELECT CAST(p_partkey AS VARCHAR) AS path, CAST(0 AS BIGINT) AS ord, 'part.name' AS key, p_name AS value, 'string' AS vtype FROM {_WHOLE}
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 1, 'part.size', CAST(p_size AS VARCHAR), 'number' FROM {_WHOLE}
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 2, 'part.tags', '["a", 1]', 'array' FROM {_WHOLE}
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 4, 'sold', CASE WHEN p_size > 25 THEN 'true' ELSE 'null' END, CASE WHEN p_size > 25 THEN 'boolean' ELSE 'null' END FROM {_WHOLE}""")
+def arb_segments(spark, sf_dir):
+    """Leaves of every type of ARB documents without their metadata; a tenth of the documents is damaged and gives none."""
+    return S.without_metadata(S.flatten(_documents(spark, sf_dir)).where("error IS NULL")).select("path", "ord", "key", "value", "vtype")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS path, count(*) FILTER (WHERE p_partkey % 10 <> 9) * 2 AS strings, count(*) FILTER (WHERE p_partkey % 10 = 9) AS damaged FROM part GROUP BY p_partkey""")
+def translatable_strings(spark, sf_dir):
+    """How many leaves of a document can be translated: its name, and the description in its metadata."""
+    rows = S.flatten(_documents(spark, sf_dir))
+    return rows.groupBy("path").agg(F.count_if(F.col("vtype") == "string").alias("strings"), F.count("error").alias("damaged"))
+
+
+@query(r"""WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS path, p_name, p_partkey % 4 AS kind FROM part)
+SELECT path, 'en' AS lang, p_name AS key, p_name AS value FROM c WHERE kind <> 3
+UNION ALL SELECT path, 'de', p_name, 'de ' || p_name FROM c WHERE kind = 0
+UNION ALL SELECT path, 'de', p_name || ' (plural)', '{count, plural, one {# ' || p_name || '} other {#x ' || p_name || '}}' FROM c WHERE kind = 1
+UNION ALL SELECT path, 'de', p_name || ' (device ' || d || ')', d || ' ' || p_name FROM c, (VALUES ('mac'), ('iphone')) t(d) WHERE kind = 2
+UNION ALL SELECT path, 'de', p_name || ' (sub n, plural)', '{count, plural, other {%d of %s ' || p_name || '}}' FROM c WHERE kind = 2""")
+def catalog_segments(spark, sf_dir):
+    """String catalogs: plain texts, plurals as one message, devices and substitutions, entries that are not to be translated; keys as people read them."""
+    part = _table(spark, sf_dir, "part")
+    unit = lambda *x: F.concat(F.lit('{"stringUnit": {"state": "translated", "value": "'), *x, F.lit('"}}'))
+    name, kind = F.col("p_name"), F.col("p_partkey") % 4
+    plural = F.concat(F.lit('{"variations": {"plural": {"one": '), unit(F.lit("%lld "), name), F.lit(', "other": '), unit(F.lit("%lldx "), name), F.lit("}}}"))
+    below = F.concat(F.lit('{"variations": {"device": {"mac": '), unit(F.lit("mac "), name), F.lit(', "iphone": '), unit(F.lit("iphone "), name),
+                     F.lit('}}, "substitutions": {"n": {"variations": {"plural": {"other": '), unit(F.lit("%d of %s "), name), F.lit("}}}}}"))
+    german = F.when(kind == 0, unit(F.lit("de "), name)).when(kind == 1, plural).otherwise(below)
+    entry = F.when(kind == 3, F.lit('{"shouldTranslate": false}')).otherwise(F.concat(F.lit('{"localizations": {"de": '), german, F.lit("}}")))
+    text = F.concat(F.lit('{"sourceLanguage": "en", "strings": {"'), name, F.lit('": '), entry, F.lit("}}"))
+    rows = S.catalog(part.select(F.col("p_partkey").cast("string").alias("path"), text.alias("text")))
+    return rows.where("error IS NULL").select("path", "lang", S.shown_key(F.col("key")).alias("key"), "value")
+
+
+@query("""SELECT n_name AS lang, 'out/' || n_name || '/app.' || n_name || '.json' AS target FROM nation""")
+def pattern_targets(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select(F.col("n_name").alias("lang"), S.pattern_path(F.lit("out/{lang}/app.{lang}.json"), F.col("n_name")).alias("target"))
+
+
+_MEMBERS = ["de/{}.json", "../{}.json", "/abs/{}", "C:\\{}", "a/../../{}", "a\\..\\{}", "..{}/x", "a//{}."]
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey % 8 IN (0, 6, 7) AS safe FROM part""")
+def archive_members(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    name = F.coalesce(*(F.when(F.col("p_partkey") % 8 == i, F.replace(F.lit(m), F.lit("{}"), key)) for i, m in enumerate(_MEMBERS)))
+    return _table(spark, sf_dir, "part").select(key.alias("id"), S.safe_member(name).alias("safe"))
+
+
+@query("""WITH n AS (SELECT o_orderkey AS id, 1000 + o_orderkey % 9000 AS n, o_orderkey % 6 AS kind FROM orders)
+SELECT id, CASE kind WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN CAST(n AS VARCHAR) WHEN 2 THEN CAST(n AS VARCHAR) || '.5' WHEN 3 THEN CAST(n AS VARCHAR) || '.25' WHEN 4 THEN CAST(n AS VARCHAR) ELSE CAST(n AS VARCHAR) || '000' END AS key FROM n""")
+def number_keys(spark, sf_dir):
+    """Numbers as languages write them: grouped by commas or spaces, decimal commas and points, foreign digits."""
+    n = (F.col("o_orderkey") % 9000 + 1000).cast("string")
+    grouped = lambda by: F.concat(F.substring(n, 1, 1), F.lit(by), F.substring(n, 2, 3))
+    kinds = [grouped(","), grouped("\u00a0"), F.concat(grouped("."), F.lit(",5")), F.concat(n, F.lit(".25")), F.translate(n, T.ASCII_DIGITS[:10], T.FOREIGN_DIGITS[:10]), F.concat(grouped("'"), F.lit("'000"))]
+    shown = F.coalesce(*(F.when(F.col("o_orderkey") % 6 == i, x) for i, x in enumerate(kinds)))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), D.number_key(shown).alias("key"))
+
+
+@query("""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS key, p_partkey % 13 AS k, p_partkey % 3 AS lang FROM part)
+SELECT key, 'number ' || k || ' appears in the translation but not the source' AS msg FROM p WHERE k NOT IN (3, 7, 12) AND NOT (k = 1 AND lang = 0)""")
+def spelled_number_drift(spark, sf_dir):
+    """Numbers that the source spells as words, or in languages of counters as an article, may be digits in the translation."""
+    part = _table(spark, sf_dir, "part")
+    lang = F.when(F.col("p_partkey") % 3 == 0, "ja").when(F.col("p_partkey") % 3 == 1, "de-AT").otherwise("fr")
+    both = part.select(F.col("p_partkey").cast("string").alias("key"), lang.alias("lang"), F.lit("Take a Seventh of three boxes, TWELVE times: no.").alias("src"), F.concat(F.lit("x "), (F.col("p_partkey") % 13).cast("string"), F.lit(" y")).alias("tgt"))
+    return _each(both, D.number_drift(F.col("src"), F.col("tgt"), F.col("lang")))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS key, CASE p_partkey % 3 WHEN 0 THEN 'Sold ' || p_name || ' or more' || ' today' WHEN 1 THEN p_name ELSE 'it: ' || p_type || ' and ' || p_name END AS shown FROM part""")
+def visible_texts(spark, sf_dir):
+    """What of a message is shown at most: of each plural or choice the longest arm, also inside of others."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 3
+    one = F.concat(F.lit("Sold {n, plural, one {x} other {"), name, F.lit(" or more}} today"))
+    two = F.concat(F.lit("{who, select, a {it} other {it: {n, selectordinal, one {z} other {"), "p_type", F.lit("}} and "), name, F.lit("}}"))
+    both = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.when(kind == 0, one).when(kind == 1, name).otherwise(two).alias("src"), F.lit("").alias("tgt"))
+    return O.with_icu(both).select("key", F.coalesce(F.col("src_icu")["visible"], "src").alias("shown"))
+
+
 @query("SELECT n_nationkey AS id, lower(split_part(replace(n_name, '_', '-'), '-', 1)) AS base FROM nation")
 def base_languages(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), base_language(F.col("n_name")).alias("base"))
