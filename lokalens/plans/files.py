@@ -14,13 +14,23 @@ from .check import check
 # Settings of a project that are not given, and the longest application context that is heeded.
 DEFAULTS = {"source": "locales/en.json", "source_lang": "en", "langs": ["es", "fr", "de"], "keep": [], "context": "", "tone": "neutral", "icu": False, "only_new": False, "out": "locales", "format": "auto"}
 CONTEXT_LIMIT = 300
-
-
-def config(text: str | None, **given) -> dict:
-    """Settings: what is given, else the JSON text's, else the defaults. Keys that start with // or _ are comments."""
+# What the layouts of common frameworks set otherwise.
+PRESETS = {
+    "i18next": {"source": "locales/en/translation.json", "out": "locales"},
+    "react-i18next": {"source": "locales/en/translation.json", "out": "locales"},
+    "next-intl": {"source": "messages/en.json", "icu": True, "out": "messages"},
+    "react-intl": {"icu": True},
+    "vue-i18n": {"source": "src/locales/en.json", "out": "src/locales"},
+    "flutter-arb": {"source": "lib/l10n/app_en.arb", "format": "arb", "out": "lib/l10n"},
+}
+
+
+def config(text: str | None, preset: str | None = None, **given) -> dict:
+    """Settings: what is given, else the JSON text's, else the preset's, else the defaults. Keys that start with // or _ are comments; the context is trimmed and cut to its limit."""
     read = json.loads(text) if text else {}
     own = {k: v for k, v in read.items() if not k.startswith(("//", "_"))}
-    return DEFAULTS | own | {k: v for k, v in given.items() if v is not None}
+    out = DEFAULTS | (PRESETS[preset] if preset else {}) | own | {k: v for k, v in given.items() if v is not None}
+    return out | {"context": (out["context"] or "").strip()[:CONTEXT_LIMIT]}
 
 
 def exists(spark: SparkSession, path: str) -> bool:

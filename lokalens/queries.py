@@ -584,7 +584,7 @@ def pattern_targets(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select(F.col("n_name").alias("lang"), S.pattern_path(F.lit("out/{lang}/app.{lang}.json"), F.col("n_name")).alias("target"))
 
 
-_MEMBERS = ["de/{}.json", "../{}.json", "/abs/{}", "C:\\{}", "a/../../{}", "a\\..\\{}", "..{}/x", "a//{}."]
+_MEMBERS = ["de/{}.json", "../{}.json", "/abs/{}", "C:\\{}", "a/b/{}.json", "a\\..\\{}", "..{}/x", "a//{}."]
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey % 8 IN (0, 6, 7) AS safe FROM part""")

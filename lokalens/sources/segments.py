@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.tables import PRINTF
 from ..shipping import ship
 
-MAX_DEPTH = 50
+# Levels of a document; of an archive member's name.
+MAX_DEPTH, MEMBER_DEPTH = 50, 2
 _OPEN, _CLOSE = "⟦", "⟧"
 _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", type(None): "null", list: "array"}
 
@@ -197,6 +198,7 @@ def pattern_path(pattern: Column, lang: Column) -> Column:
 
 
 def safe_member(name: Column) -> Column:
-    """Whether an archive's member may be written: a relative name that stays inside and holds no drive or NUL."""
+    """Whether an archive's member may be written: a relative name, in one folder at most, that stays inside and holds no drive or NUL."""
     n = F.replace(name, F.lit("\\"), F.lit("/"))
-    return (n != "") & ~n.startswith("/") & ~n.rlike("^[A-Za-z]:") & ~F.array_contains(F.split(n, "/"), "..") & ~n.contains("\x00")
+    parts = F.filter(F.split(n, "/"), lambda x: ~x.isin("", "."))
+    return F.size(parts).between(1, MEMBER_DEPTH) & ~n.startswith("/") & (F.substring(n, 2, 1) != ":") & ~F.array_contains(parts, "..") & ~n.contains("\x00")

@@ -37,3 +37,5 @@ def test_catalog_file(spark, tmp_path):
 def test_config():
     c = config('{"source": "a.json", "// note": 1, "_x": 2, "tone": "formal"}', langs=["ja"], tone=None)
     assert (c["source"], c["tone"], c["langs"], c["icu"]) == ("a.json", "formal", ["ja"], False) and "_x" not in c and "// note" not in c
+    assert config(None)["source"] == "locales/en.json" and config(None, "next-intl")["icu"] and config('{"source": "x"}', "next-intl")["source"] == "x"
+    assert config(None, context="  " + "c" * 400)["context"] == "c" * 300

@@ -143,7 +143,7 @@ def test_target_paths(spark):
 
 
 def test_safe_members(spark):
-    cases = [("de.json", True), ("a/b.json", True), ("../x", False), ("/etc/x", False), ("C:\\x", False), ("a/../../b", False), ("", False)]
+    cases = [("de.json", True), ("a/b.json", True), ("../x", False), ("/etc/x", False), ("C:\\x", False), ("a/../../b", False), ("", False), ("./", False), ("values-de/nested/x.xml", False), ("./a/x.json", True), ("..\\x", False)]
     df = spark.createDataFrame(cases, "n string, ok boolean").select("ok", S.safe_member(F.col("n")).alias("got"))
     assert all(r["ok"] == r["got"] for r in df.collect())
 
