@@ -6,22 +6,34 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order of the suffixes by doubling. ends marks separators, each unlike any other and before all words, so a suffix is told apart by the end of its sequence."""
+    """Order of the suffixes, by some words at once and then by doubling what is not told apart. ends marks separators, each unlike any other and before all words, so a suffix is told apart by the end of its sequence."""
     n = len(text)
-    rank = np.empty(n, np.int64)
+    if not n:
+        return np.empty(0, np.int64)
+    rank = text.astype(np.int64)
     marks = np.flatnonzero(ends)
+    rank[~ends] += len(marks)
     rank[marks] = np.arange(len(marks))
-    rank[~ends] = len(marks) + np.unique(text[~ends], return_inverse=True)[1]
-    h = 1
+    bits = max(1, int(rank.max()).bit_length())
+    h = max(1, 62 // bits)
+    key = rank.copy()
+    for j in range(1, h):
+        key <<= bits
+        key[: max(0, n - j)] |= rank[j:]
+    order = np.argsort(key)
+    live, rows, key = np.arange(n), order, key[order]
     while True:
-        key = rank * (n + 1)
-        key[:-h] += rank[h:] + 1
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        fresh = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank[order] = fresh
-        if fresh[-1] == n - 1:
+        # a suffix has the place of the first of its group as rank, so what is settled stays as it is
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[rows] = live[np.maximum.accumulate(np.where(fresh, np.arange(len(live)), 0))]
+        live = live[~(fresh & np.concatenate([fresh[1:], [True]]))]
+        if not len(live):
             return order
+        rows = order[live]
+        key = rank[rows] * n + rank[rows + h]
+        by = np.argsort(key)
+        rows, key = rows[by], key[by]
+        order[live] = rows
         h *= 2
 
 
@@ -92,30 +104,35 @@ class FMIndex:
     def repeated_windows(self, words: np.ndarray, sizes: np.ndarray, width: int, least: int = 2) -> np.ndarray:
         """Streams some sequences against the index: for each the windows that occur at least `least` times, as bits from the first (at most 62 windows).
 
-        Where the matching statistic of a window's end falls short of the width, no window that covers the
-        word it stops at is repeated, so the search goes on behind that word.
+        Where the matching statistic of an end falls short, no window that covers the word it stops at and
+        reaches that end is repeated, so the search goes on behind that word. How far a repeated window can
+        be extended is halved, first about the word where the extension to the end of the sequence stopped.
         """
         text, start = self.codes(words), np.cumsum(sizes) - sizes
-        last = sizes - width
         masks = np.zeros(len(sizes), np.int64)
         ones = lambda n: (np.int64(1) << n) - 1
-        live = np.flatnonzero(last >= 0)
-        whole = self.matching(text, start[live], start[live] + sizes[live], least) == sizes[live]
-        masks[live[whole]] = ones(last[live[whole]] + 1)
-        live, s, tried = live[~whole], np.zeros((~whole).sum(), np.int64), np.zeros((~whole).sum(), bool)
-        while len(live):
-            b = start[live] + s
-            length = self.matching(text, b, b + width, least)
-            hit = length == width
-            masks[live[hit]] |= np.int64(1) << s[hit]
-            first = np.flatnonzero(hit & ~tried)  # the first of a run: does the rest of the sequence repeat as a whole?
-            if len(first):
-                end = start[live[first]] + sizes[live[first]]
-                done = first[self.matching(text, b[first], end, least) == end - b[first]]
-                masks[live[done]] |= ones(last[live[done]] + 1) & ~ones(s[done])
-                s[done] = last[live[done]]
-            tried = hit
-            s = np.where(hit, s + 1, s + width - length)
-            stay = s <= last[live]
-            live, s, tried = live[stay], s[stay], tried[stay]
-        return masks
+        live = np.flatnonzero(sizes >= width)
+        last = sizes[live] - width
+        behind = sizes[live] - self.matching(text, start[live], start[live] + sizes[live], least)
+        masks[live] = ones(last + 1) & ~ones(np.minimum(behind, last + 1))
+        last = np.minimum(last, behind - 1)
+        s = np.zeros(len(live), np.int64)  # the window looked at
+        low, high, end = s + width - 1, last + width + 1, s + width  # ends known to be repeated from s, and not to be, and the next to try
+        stopped = s.copy()  # where the matching statistic of `high` begins
+        while True:
+            stay = s <= last
+            live, last, s, low, high, end, stopped = (x[stay] for x in (live, last, s, low, high, end, stopped))
+            if not len(live):
+                return masks
+            length = self.matching(text, start[live] + s, start[live] + end, least)
+            hit, first = length == end - s, end == s + width
+            stopped = np.where(hit, stopped, end - length)
+            guess = np.where(hit, np.where(first, high - 1, np.where(end > low + 1, end + 1, 0)), stopped - 1)
+            low, high = np.where(hit, end, low), np.where(hit, high, end)
+            done = high - low == 1
+            some = done & (low >= s + width)
+            masks[live[some]] |= ones(low[some] - width + 1) & ~ones(s[some])
+            s = np.where(done, np.maximum(high - width, stopped), s)
+            end = np.where(done, s + width, np.where((low < guess) & (guess < high), guess, (low + high) // 2))
+            low, high = np.where(done, s + width - 1, low), np.where(done, last + width + 1, high)
+            stopped = np.where(done, 0, stopped)

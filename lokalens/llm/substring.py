@@ -24,7 +24,7 @@ from .jaccard import _filter
 
 WIDTH, ANCHOR = 35, 8
 #: Anchor hashes of a shard of the count, words of a shard of the index (before equal stretches are put together).
-SHARD_ANCHORS, SHARD_WORDS = 2_000_000, 1_000_000
+SHARD_ANCHORS, SHARD_WORDS = 2_000_000, 2_000_000
 #: An anchor of more different stretches is split, if it also has more than one in MOST_SPLIT of all: there are fewer of them than that.
 STRETCHES, MOST_SPLIT = 4000, 65_536
 
@@ -186,7 +186,9 @@ def _search(packed: DataFrame, width: int) -> DataFrame:
         begin = (np.cumsum(sizes) - sizes)[one]
         size = sizes[one]
         at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-        masks = FMIndex(words[at], size, total).repeated_windows(words[at], size, width)
+        index, masks = FMIndex(words[at], size, total), (np.int64(1) << (size - width + 1)) - 1
+        once = total < 2  # others repeat as a whole
+        masks[once] = index.repeated_windows(words[at[np.repeat(once, size)]], size[once], width)
         some = masks != 0
         kept = keys[one][some] ^ np.uint64(1 << 63)  # as the documents' rows have them
         return pa.table({"s1": pa.array(np.ascontiguousarray(kept[:, 0]).view(np.int64)), "s2": pa.array(np.ascontiguousarray(kept[:, 1]).view(np.int64)), "mask": pa.array(masks[some])})
