@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, html_extract, jaccard, language, line_dedup, packing, sql, substring, token_counts, toxicity
+from . import ann, decontam, html_extract, jaccard, language, line_dedup, packing, prefix_trie, secret_scan, sql, substring, token_counts, toxicity, whitening
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_substring_dedup": substring.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_secret_scan": secret_scan.op11_secret_scan,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_whitening": whitening.op13_whitening,
 }
 SQL = {
     "op5_line_dedup": line_dedup.SQL,
     "op8_jaccard": sql.JACCARD,
     "op9_substring_dedup": sql.SUBSTRING,
+    "op12_prefix_trie": sql.TRIE,
 }
