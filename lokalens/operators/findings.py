@@ -52,17 +52,46 @@ def string_checks(glossary: list[str] | None = None) -> Column:
     return F.concat(let(placeholders, names_a=D.placeholder_names(src, a), names_b=D.placeholder_names(tgt, b)), *[_tagged(i, *c) for i, c in enumerate(checks, 2)])
 
 
+def group_of(pairs: DataFrame) -> list[str]:
+    """What tells locales apart: the language, and the source file where there are several."""
+    return [c for c in ("file", "lang") if c in pairs.columns]
+
+
 def string_findings(pairs: DataFrame, glossary: list[str] | None = None) -> DataFrame:
     """(lang, key, ord, seq, severity, detector, msg) of pairs (lang, key, ord, src, tgt) of which both sides are there."""
+    by = [*group_of(pairs), "key", "ord"]
     both = with_icu(pairs.where("src IS NOT NULL AND tgt IS NOT NULL"))
-    return both.select("lang", "key", "ord", F.explode(string_checks(glossary)).alias("f")).select("lang", "key", "ord", "f.*")
+    return both.select(*by, F.explode(string_checks(glossary)).alias("f")).select(*by, "f.*")
 
 
 def placeholder_issues(pairs: DataFrame) -> DataFrame:
     """(lang, key, ord, missing, added) where the placeholder sets of the key check differ."""
     ship(pairs.sparkSession)
-    sets = pairs.where("src IS NOT NULL AND tgt IS NOT NULL").select("lang", "key", "ord", D.placeholder_set(F.col("src")).alias("a"), D.placeholder_set(F.col("tgt")).alias("b"))
-    return sets.where("a <> b").select("lang", "key", "ord", F.array_except("a", "b").alias("missing"), F.array_except("b", "a").alias("added"))
+    by = [*group_of(pairs), "key", "ord"]
+    sets = pairs.where("src IS NOT NULL AND tgt IS NOT NULL").select(*by, D.placeholder_set(F.col("src")).alias("a"), D.placeholder_set(F.col("tgt")).alias("b"))
+    return sets.where("a <> b").select(*by, F.array_except("a", "b").alias("missing"), F.array_except("b", "a").alias("added"))
+
+
+def read_once(rows: DataFrame, glossary: list[str] | None = None) -> DataFrame:
+    """rows (keys.side_by_side) with `found`, an array of (kind, seq, rule, text) of all that is to be said of a key, and the shown lengths of both texts. Each text is parsed once.
+
+    kind: missing, extra, placeholder, error, warning."""
+    ship(rows.sparkSession)
+    both = F.col("src").isNotNull() & F.col("tgt").isNotNull()
+    only = lambda c: F.when(both, F.col(c))
+    read = rows.withColumns({"src_icu": parse_column(only("src")), "tgt_icu": parse_column(only("tgt")), "a": D.placeholder_set(only("src")), "b": D.placeholder_set(only("tgt"))})
+    note = lambda kind, rule, text: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("seq"), F.lit(rule).alias("rule"), text.cast("string").alias("text"))
+    gone, new = F.array_except("a", "b"), F.array_except("b", "a")
+    said = F.concat_ws("; ", F.when(F.size(gone) > 0, F.concat(F.lit("missing "), F.array_join(gone, ", "))), F.when(F.size(new) > 0, F.concat(F.lit("added "), F.array_join(new, ", "))))
+    faults = F.transform(string_checks(glossary), lambda f: F.struct(F.when(f["severity"] == ERROR, "error").otherwise("warning").alias("kind"), f["seq"].alias("seq"), f["detector"].alias("rule"), f["msg"].alias("text")))
+    none = F.array().cast("array<struct<kind:string,seq:int,rule:string,text:string>>")
+    found = (
+        F.when(~F.col("there"), F.array(note("missing", "missing-key", F.lit(None))))
+        .when(~F.col("here"), F.array(note("extra", "extra-key", F.lit(None))))
+        .when(both, F.concat(F.when(F.col("a") != F.col("b"), F.array(note("placeholder", "placeholder", said))).otherwise(none), faults))
+        .otherwise(none)
+    )
+    return read.select(*rows.columns, found.alias("found"), *(F.length(F.coalesce(F.col(f"{x}_icu")["visible"], F.col(x))).alias(f"{x}_shown") for x in ("src", "tgt")))
 
 
 def register_mix(pairs: DataFrame) -> DataFrame:
@@ -72,7 +101,7 @@ def register_mix(pairs: DataFrame) -> DataFrame:
     for lang, (a, b) in T.REGISTER.items():
         informal = F.when(base == lang, F.regexp_count(tgt, F.lit(a))).otherwise(informal)
         formal = F.when(base == lang, F.regexp_count(tgt, F.lit(b))).otherwise(formal)
-    counted = pairs.where(base.isin(list(T.REGISTER))).groupBy("lang").agg(F.sum(informal).alias("informal"), F.sum(formal).alias("formal"))
+    counted = pairs.where(base.isin(list(T.REGISTER))).groupBy(*group_of(pairs)).agg(F.sum(informal).alias("informal"), F.sum(formal).alias("formal"))
     said = F.concat(F.lit("file mixes informal and formal address ("), F.col("informal").cast("string"), F.lit(" informal vs "), F.col("formal").cast("string"), F.lit(" formal markers) — pick one register"))
     return counted.where("informal >= 2 AND formal >= 2").withColumn("msg", said)
 
@@ -81,37 +110,43 @@ def inconsistent_terms(pairs: DataFrame, top: int = 30, longest: int = 60) -> Da
     """(lang, term, n_keys, variants, keys, rank, msg): short sources translated in several ways, most keys first.
 
     Variants stand as first seen, in that order. Terms are ranked by counts; variants and keys are gathered for the `top` of a language only."""
+    by = group_of(pairs)
     s = strip(F.col("src"))
-    shown = pairs.where((s != "") & (F.length(s) <= longest) & (strip(F.col("tgt")) != "")).select("lang", "key", "ord", s.alias("s"), strip(F.col("tgt")).alias("t"), normalized(F.col("src")).alias("ns"), normalized(F.col("tgt")).alias("nt"))
-    variants = shown.groupBy("lang", "ns", "nt").agg(F.min_by("t", "ord").alias("t"), F.min_by("s", "ord").alias("s"), F.min("ord").alias("ord"), F.count("*").alias("n_keys"))
-    terms = variants.groupBy("lang", "ns").agg(F.min_by("s", "ord").alias("term"), F.min("ord").alias("ord"), F.count("*").alias("n"), F.sum("n_keys").cast("int").alias("n_keys"))
-    ranked = terms.where("n >= 2").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_keys"), "ord"))).where(F.col("rank") <= top)
-    named = ranked.select("lang", "ns", "term", "n_keys", "rank")
-    listed = variants.join(named.select("lang", "ns"), ["lang", "ns"]).groupBy("lang", "ns").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]).alias("variants"))
-    held = shown.join(named.select("lang", "ns"), ["lang", "ns"]).groupBy("lang", "ns").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    ranked = named.join(listed, ["lang", "ns"]).join(held, ["lang", "ns"])
+    shown = pairs.where((s != "") & (F.length(s) <= longest) & (strip(F.col("tgt")) != "")).select(*by, "key", "ord", s.alias("s"), strip(F.col("tgt")).alias("t"), normalized(F.col("src")).alias("ns"), normalized(F.col("tgt")).alias("nt"))
+    variants = shown.groupBy(*by, "ns", "nt").agg(F.min_by("t", "ord").alias("t"), F.min_by("s", "ord").alias("s"), F.min("ord").alias("ord"), F.count("*").alias("n_keys"))
+    terms = variants.groupBy(*by, "ns").agg(F.min_by("s", "ord").alias("term"), F.min("ord").alias("ord"), F.count("*").alias("n"), F.sum("n_keys").cast("int").alias("n_keys"))
+    ranked = terms.where("n >= 2").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n_keys"), "ord"))).where(F.col("rank") <= top)
+    named = ranked.select(*by, "ns", "term", "n_keys", "rank")
+    term = [*by, "ns"]
+    listed = variants.join(named.select(*term), term).groupBy(*term).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda x: x["t"]).alias("variants"))
+    held = shown.join(named.select(*term), term).groupBy(*term).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    ranked = named.join(listed, term).join(held, term)
     said = F.concat(F.lit('inconsistent translation of "'), F.col("term"), F.lit('" across '), F.col("n_keys").cast("string"), F.lit(" keys: "), F.array_join("variants", ", "))
-    return ranked.select("lang", "term", "n_keys", "variants", "keys", "rank", said.alias("msg"))
+    return ranked.select(*by, "term", "n_keys", "variants", "keys", "rank", said.alias("msg"))
 
 
 def overflowing(pairs: DataFrame, top: int = 50) -> DataFrame:
-    """(lang, key, pct, typical, rank, msg): short sources whose shown text grew beyond what the language's does, most first."""
+    """([file,] lang, key, pct, typical, rank, msg): short sources whose shown text grew beyond what the language's does, most first."""
+    by = group_of(pairs)
     expected = F.coalesce(T.literal_map(T.EXPANSION)[base_language(F.col("lang"))], F.lit(T.DEFAULT_EXPANSION))
-    parsed = with_icu(pairs.where("src IS NOT NULL").withColumn("tgt", F.coalesce("tgt", F.lit(""))))
-    a = F.length(F.coalesce(F.col("src_icu")["visible"], F.col("src")))
-    b = F.length(F.coalesce(F.col("tgt_icu")["visible"], F.col("tgt")))
+    parsed = pairs.where("src IS NOT NULL")
+    if "src_shown" in pairs.columns:
+        a, b = F.col("src_shown"), F.coalesce("tgt_shown", F.lit(0))
+    else:
+        parsed = with_icu(parsed.withColumn("tgt", F.coalesce("tgt", F.lit(""))))
+        a, b = (F.length(F.coalesce(F.col(f"{x}_icu")["visible"], F.col(x))) for x in ("src", "tgt"))
     ratio = b / F.when(a > 0, a)
-    hits = parsed.where((a > 0) & (a <= 60) & (b >= 8) & (ratio >= F.greatest(F.lit(1.4), expected * 1.18))).select("lang", "key", "ord", F.rint((ratio - 1) * 100).cast("int").alias("pct"), F.rint((expected - 1) * 100).cast("int").alias("typical"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("pct"), "ord"))).where(F.col("rank") <= top)
+    hits = parsed.where((a > 0) & (a <= 60) & (b >= 8) & (ratio >= F.greatest(F.lit(1.4), expected * 1.18))).select(*by, "key", "ord", F.rint((ratio - 1) * 100).cast("int").alias("pct"), F.rint((expected - 1) * 100).cast("int").alias("typical"))
+    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("pct"), "ord"))).where(F.col("rank") <= top)
     said = F.concat("key", F.lit(": translation +"), F.col("pct").cast("string"), F.lit("% vs source (typical +"), F.col("typical").cast("string"), F.lit("%) — may overflow UI"))
-    return ranked.select("lang", "key", "pct", "typical", "rank", said.alias("msg"))
+    return ranked.select(*by, "key", "pct", "typical", "rank", said.alias("msg"))
 
 
 def locale_findings(pairs: DataFrame) -> DataFrame:
-    """(lang, seq, rank, severity, msg): the checks of whole locales, in their order."""
+    """([file,] lang, seq, rank, severity, msg): the checks of whole locales, in their order. Pairs that read_once has read are not parsed anew."""
     parts = [(0, register_mix(pairs).withColumn("rank", F.lit(1))), (1, inconsistent_terms(pairs)), (2, overflowing(pairs))]
     out = None
     for seq, df in parts:
-        df = df.select("lang", F.lit(seq).alias("seq"), "rank", F.lit(WARN).alias("severity"), "msg")
+        df = df.select(*group_of(pairs), F.lit(seq).alias("seq"), "rank", F.lit(WARN).alias("severity"), "msg")
         out = df if out is None else out.unionByName(df)
     return out

@@ -1,6 +1,7 @@
 """Joins of locales by key: what is missing, what is extra, what stands side by side.
 
-Tables of segments have (lang, key, value, vtype, ord); a key whose value is null is present.
+Tables of segments have (lang, key, value, vtype, ord); a key whose value is null is present. Those of several
+source files have a column `file` as well, and keys meet within a file only.
 """
 
 from __future__ import annotations
@@ -9,6 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def of_file(*tables: DataFrame) -> list[str]:
+    """The column that tells source files apart, if the tables have it."""
+    return ["file"] if all("file" in t.columns for t in tables) else []
+
+
 def missing_keys(source: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:
     """Rows of source whose key the target lacks."""
     return source.join(target.select(*on).distinct(), on, "left_anti")
@@ -29,11 +35,22 @@ def missing_locales(langs: DataFrame, target: DataFrame) -> DataFrame:
     return langs.select("lang").distinct().join(target.select("lang").distinct(), "lang", "left_anti")
 
 
-def aligned(source: DataFrame, target: DataFrame, langs: DataFrame | None = None) -> DataFrame:
-    """(lang, key, ord, src, tgt): strings of both sides under one key, in the source's order."""
-    a = source.where("vtype = 'string'").select("key", "ord", F.col("value").alias("src"))
-    b = target.where("vtype = 'string'").select("lang", "key", F.col("value").alias("tgt"))
-    return b.join(a, "key").select("lang", "key", "ord", "src", "tgt")
+def aligned(source: DataFrame, target: DataFrame) -> DataFrame:
+    """([file,] lang, key, ord, src, tgt): strings of both sides under one key, in the source's order."""
+    file = of_file(source, target)
+    a = source.where("vtype = 'string'").select(*file, "key", "ord", F.col("value").alias("src"))
+    b = target.where("vtype = 'string'").select(*file, "lang", "key", F.col("value").alias("tgt"))
+    return b.join(a, [*file, "key"]).select(*file, "lang", "key", "ord", "src", "tgt")
+
+
+def side_by_side(source: DataFrame, target: DataFrame, langs: DataFrame) -> DataFrame:
+    """([file,] lang, key, ord, here, there, src, tgt): every key of either side in every language, in one join. here and there tell which side has it; src and tgt are its strings, null for other values. ord is the source's, or the target's where the source lacks the key."""
+    file = of_file(source, target)
+    string = F.when(F.col("vtype") == "string", F.col("value"))
+    a = by_language(source, langs).select(*file, "lang", "key", F.col("ord").alias("ord_a"), F.lit(True).alias("here"), string.alias("src"))
+    b = target.select(*file, "lang", "key", F.col("ord").alias("ord_b"), F.lit(True).alias("there"), string.alias("tgt"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return a.join(b, [*file, "lang", "key"], "full").select(*file, "lang", "key", F.coalesce("ord_a", "ord_b").alias("ord"), flag("here"), flag("there"), "src", "tgt")
 
 
 def catalog_languages(segments: DataFrame, source_lang: str) -> DataFrame:

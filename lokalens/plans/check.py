@@ -1,47 +1,49 @@
-"""The check of locales against their source: all findings, and a verdict for each language."""
+"""The check of locales against their source: all findings, and a verdict for each language.
+
+Both sides meet in one join. What is to be said of a key is one array, made where its texts are read, and
+the rows with it are staged: findings, the checks of whole locales and the missing ones read that table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import findings as O
 from ..operators import keys as K
-
-
-def check(source: DataFrame, target: DataFrame, langs: DataFrame, glossary: list[str] | None = None) -> DataFrame:
-    """(kind, lang, key, ord, seq, rule, text): source and target are segments, langs the languages asked for.
-
-    kind: missing, extra, placeholder, error, warning, missing_file. Non-string values count for keys only."""
-    asked = F.broadcast(langs.select("lang").distinct())
-    target = target.join(asked, "lang", "left_semi")
-    src = K.by_language(source, langs)
-    pairs = K.aligned(source, target)
-    none = F.lit(None).cast("string")
-
-    def rows(df: DataFrame, kind, key, seq, rule, text) -> DataFrame:
-        return df.select(kind.alias("kind"), "lang", key.alias("key"), F.col("ord") if "ord" in df.columns else F.lit(None).cast("long").alias("ord"), seq.cast("int").alias("seq"), rule.alias("rule"), text.alias("text"))
-
-    missing = rows(K.missing_keys(src, target, ["lang", "key"]), F.lit("missing"), F.col("key"), F.lit(0), F.lit("missing-key"), none)
-    here = target.join(K.missing_locales(langs, target), "lang", "left_anti")
-    extra = rows(K.extra_keys(src, here, ["lang", "key"]), F.lit("extra"), F.col("key"), F.lit(0), F.lit("extra-key"), none)
-    files = rows(K.missing_locales(langs, target), F.lit("missing_file"), none, F.lit(0), F.lit("missing-key"), none)
-    issues = O.placeholder_issues(pairs)
-    said = F.concat_ws("; ", F.when(F.size("missing") > 0, F.concat(F.lit("missing "), F.array_join("missing", ", "))), F.when(F.size("added") > 0, F.concat(F.lit("added "), F.array_join("added", ", "))))
-    placeholders = rows(issues, F.lit("placeholder"), F.col("key"), F.lit(0), F.lit("placeholder"), said)
-    kind = F.when(F.col("severity") == O.ERROR, "error").otherwise("warning")
-    faults = rows(O.string_findings(pairs, glossary), kind, F.col("key"), F.col("seq"), F.col("detector"), F.col("msg"))
-    whole = rows(O.locale_findings(pairs), F.lit("warning"), none, F.col("seq") + 100, F.lit("locale"), F.col("msg"))
-    out = missing
-    for df in (extra, files, placeholders, faults, whole):
-        out = out.unionByName(df)
-    return out
+from ..staging import staged
+
+KINDS = ("missing", "extra", "placeholder", "error", "warning", "missing_file")
+
+
+def check(source: DataFrame, target: DataFrame, langs: DataFrame, glossary: list[str] | None = None, counts: Observation | None = None) -> DataFrame:
+    """([file,] lang, kind, key, ord, seq, rule, text): source and target are segments, langs the languages asked for. Where both have a column `file`, every source file is checked by itself.
+
+    kind: missing, extra, placeholder, error, warning, missing_file. Non-string values count for keys only.
+    counts gets the number of findings of each kind, the checks of whole locales and missing files apart, as soon as this returns."""
+    asked = langs.select("lang").distinct()
+    by = [*K.of_file(source, target), "lang"]
+    rows = K.side_by_side(source, target.join(F.broadcast(asked), "lang", "left_semi"), asked)
+    read = O.read_once(rows, glossary)
+    if counts is not None:
+        read = read.observe(counts, *(F.coalesce(F.sum(F.size(F.filter("found", lambda f, k=k: f["kind"] == k))), F.lit(0)).alias(k) for k in KINDS[:5]))
+    read = staged(read, "checked")
+    pairs = read.where("src IS NOT NULL AND tgt IS NOT NULL")
+    none, columns = F.lit(None).cast("string"), [*by, "kind", "key", "ord", "seq", "rule", "text"]
+    keys = read.select(*by, "key", "ord", F.explode("found").alias("f")).select(*by, "f.kind", "key", "ord", "f.seq", "f.rule", "f.text")
+    no_ord, blank = F.lit(None).cast("long").alias("ord"), none.alias("key")
+    whole = O.locale_findings(pairs).select(*by, F.lit("warning").alias("kind"), blank, no_ord, (F.col("seq") + 100).alias("seq"), F.lit("locale").alias("rule"), F.col("msg").alias("text"))
+    every = K.by_language(source.select("file").distinct(), asked) if len(by) == 2 else asked
+    gone = every.join(read.where("there").select(*by).distinct(), by, "left_anti")
+    files = gone.select(*by, F.lit("missing_file").alias("kind"), blank, no_ord, F.lit(0).alias("seq"), F.lit("missing-key").alias("rule"), none.alias("text"))
+    return keys.select(*columns).unionByName(whole).unionByName(files)
 
 
 def verdict(found: DataFrame, langs: DataFrame, strict: bool = False) -> DataFrame:
-    """(lang, missing, extra, placeholders, errors, warnings, ok): a row for each language; strict lets extra keys and warnings fail it too."""
+    """([file,] lang, missing, extra, placeholders, errors, warnings, ok): a row for each language, or for each file and language that langs lists; strict lets extra keys and warnings fail it too."""
     n = lambda k: F.count_if(F.col("kind") == k)
-    counts = found.groupBy("lang").agg(n("missing").alias("missing"), n("extra").alias("extra"), n("placeholder").alias("placeholders"), n("error").alias("errors"), n("warning").alias("warnings"))
-    full = langs.select("lang").distinct().join(counts, "lang", "left").fillna(0)
-    bad = F.col("missing") + F.col("placeholders") + F.col("errors") + (F.col("extra") + F.col("warnings") if strict else F.lit(0))
-    return full.withColumn("ok", bad == 0)
+    by = [*K.of_file(found, langs), "lang"]
+    counts = found.groupBy(*by).agg(n("missing").alias("missing"), n("extra").alias("extra"), n("placeholder").alias("placeholders"), n("error").alias("errors"), n("warning").alias("warnings"), n("missing_file").alias("absent"))
+    full = langs.select(*by).distinct().join(counts, by, "left").fillna(0)
+    bad = F.col("missing") + F.col("placeholders") + F.col("errors") + F.col("absent") + (F.col("extra") + F.col("warnings") if strict else F.lit(0))
+    return full.withColumn("ok", bad == 0).drop("absent")
