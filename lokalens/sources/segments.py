@@ -22,9 +22,9 @@ def too_deep(depth: int = MAX_DEPTH) -> str:
     return f"the document nests deeper than {depth} levels"
 
 
-def flat(document: dict) -> list[tuple[str, object]]:
-    """Leaves by dotted key in document order; of a key that comes again the last value stays, at the first place. Lists are leaves."""
-    out: dict[str, object] = {}
+def flat(document: dict) -> list[tuple[str, object, int]]:
+    """(dotted key, value, level) of the leaves in document order, level 0 at the top; of a key that comes again the last value stays, at the first place. Lists are leaves."""
+    out: dict[str, tuple[object, int]] = {}
     todo = [("", document, 0)]
     while todo:
         prefix, value, depth = todo.pop()
@@ -33,30 +33,12 @@ def flat(document: dict) -> list[tuple[str, object]]:
                 raise ValueError(too_deep())
             todo.extend((f"{prefix}.{k}" if prefix else k, v, depth + 1) for k, v in reversed(value.items()))
         else:
-            out[prefix] = value
-    return list(out.items())
-
-
-def nested(leaves: dict[str, object]) -> dict:
-    """The document of dotted keys; a leaf in the way of a branch gives way."""
-    out: dict = {}
-    for key, value in leaves.items():
-        *branch, leaf = key.split(".")
-        at = out
-        for part in branch:
-            if not isinstance(at.get(part), dict):
-                at[part] = {}
-            at = at[part]
-        at[leaf] = value
-    return out
-
-
-def is_flat(document: dict) -> bool:
-    return not any(isinstance(v, dict) for v in document.values())
+            out[prefix] = value, depth - 1
+    return [(key, value, level) for key, (value, level) in out.items()]
 
 
 def flatten(texts: DataFrame) -> DataFrame:
-    """(path, ord, key, value, vtype, error) of JSON documents (path, text): strings as they are, other leaves as JSON. A text that is no object, is too deep or is null gives one row with an error."""
+    """(path, ord, key, value, vtype, level, error) of JSON documents (path, text): strings as they are, other leaves as JSON; level tells how many objects a leaf lies in, beside the document. A text that is no object, is too deep or is null gives one row with an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,16 +48,16 @@ def flatten(texts: DataFrame) -> DataFrame:
                     document = json.loads(text) if text is not None else None
                     if not isinstance(document, dict):
                         raise ValueError("the document is not an object")
-                    for i, (key, v) in enumerate(flat(document)):
-                        rows.append((path, i, key, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False), _TYPES[type(v)], None))
+                    for i, (key, v, level) in enumerate(flat(document)):
+                        rows.append((path, i, key, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False), _TYPES[type(v)], level, None))
                 except (ValueError, RecursionError) as e:
-                    rows.append((path, None, None, None, None, str(e)))
+                    rows.append((path, None, None, None, None, None, str(e)))
             if rows:
-                types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "ord", "key", "value", "vtype", "error"])
+                types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["path", "ord", "key", "value", "vtype", "level", "error"])
 
     ship(texts.sparkSession)
-    return texts.select("path", "text").mapInArrow(run, "path string, ord long, key string, value string, vtype string, error string")
+    return texts.select("path", "text").mapInArrow(run, "path string, ord long, key string, value string, vtype string, level long, error string")
 
 
 def strings(segments: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import SARIF_RULES, SARIF_SCHEMA
-from .segments import nested
+from .documents import placed, put
 
 
 def key_lines(texts: DataFrame) -> DataFrame:
@@ -72,7 +72,11 @@ def write_parts(path: str, parts: Iterable[str]) -> None:
         raise
 
 
-def locale_json(segments: DataFrame, as_nested: bool = True) -> str:
-    """One locale document of segments (ord, key, value, vtype), which must be of one file."""
-    leaves = {r["key"]: r["value"] if r["vtype"] == "string" else json.loads(r["value"]) for r in segments.orderBy("ord").select("key", "value", "vtype").toLocalIterator()}
-    return json.dumps(nested(leaves) if as_nested else leaves, ensure_ascii=False, indent=2) + "\n"
+def locale_leaves(segments: DataFrame) -> DataFrame:
+    """The leaves of locale documents from segments (target, key, place, value, vtype, flat), place a struct that sorts as leaves came."""
+    return placed(segments, ["target"])
+
+
+def write_locales(segments: DataFrame) -> None:
+    """Writes locale documents (target, key, place, value, vtype, flat) by executors, each whole or not at all."""
+    put(locale_leaves(segments))

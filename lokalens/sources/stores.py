@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .sinks import write_parts
+from ..shipping import ship
+from .documents import leaf, put, quoted
 
 # Versions of the documents.
 LOCK_VERSION, MEMORY_VERSION = 4, 1
@@ -32,11 +34,31 @@ def _strings(of: Column) -> Column:
     return F.transform_values(F.map_filter(of, lambda _, v: F.schema_of_variant(v) == "STRING"), lambda _, v: F.try_variant_get(v, "$", "string"))
 
 
+@F.pandas_udf(StringType())
+def _last_of_repeated(texts: pd.Series) -> pd.Series:
+    """JSON texts whose objects name a key once: of a key that comes again its last value. Null where the text is no JSON."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
+def _documents(texts: DataFrame) -> DataFrame:
+    """texts with `doc`, the text as a variant. Texts that no variant can hold as they are, as a key comes twice, are read by Python."""
+    ship(texts.sparkSession)
+    first = texts.withColumn("doc", F.try_parse_json("text"))
+    return first.withColumn("doc", F.coalesce("doc", F.try_parse_json(_last_of_repeated(F.when(F.col("doc").isNull(), F.col("text"))))))
+
+
 def lock_rows(texts: DataFrame) -> DataFrame:
     """(path, lang, key, hash) of lock documents (path, text): rows of null lang are the record of all languages.
 
-    An old lock is the flat map itself. A text that is no JSON object, or names a key twice, gives no rows."""
-    top = texts.select("path", _map(F.try_parse_json("text")).alias("doc"))
+    An old lock is the flat map itself. Of a key named twice the last counts; a text that is no JSON object gives no rows."""
+    top = _documents(texts).select("path", _map(F.col("doc")).alias("doc"))
     versioned = F.map_contains_key("doc", F.lit("version"))
     every = F.when(versioned, _strings(_map(F.col("doc")["keys"]))).otherwise(_strings(F.col("doc")))
     shared = top.select("path", F.lit(None).cast("string").alias("lang"), F.explode(every).alias("key", "hash"))
@@ -44,6 +66,11 @@ def lock_rows(texts: DataFrame) -> DataFrame:
     return shared.unionByName(langs.select("path", "lang", F.explode(_strings(_map(F.col("own")))).alias("key", "hash")))
 
 
+def recorded_settings(texts: DataFrame) -> DataFrame:
+    """(path, settings) of lock documents (path, text): their settings as JSON, null where there are none."""
+    return _documents(texts).select("path", F.to_json(F.try_variant_get("doc", "$.settings", "map<string,variant>")).alias("settings"))
+
+
 def lock_settings(text: str | None) -> dict | None:
     """The settings a lock was written under; None if it is old, absent or damaged, which is no reason to translate anew."""
     try:
@@ -55,48 +82,38 @@ def lock_settings(text: str | None) -> dict | None:
 
 def memory_rows(texts: DataFrame) -> DataFrame:
     """(entry_id, source, lang, translated) of memory documents (path, text); a damaged one is empty."""
-    entries = texts.select(F.explode(_map(_map(F.try_parse_json("text"))["entries"])).alias("entry_id", "entry"))
+    entries = _documents(texts).select(F.explode(_map(_map(F.col("doc"))["entries"])).alias("entry_id", "entry"))
     fields = entries.select("entry_id", _strings(_map(F.col("entry"))).alias("entry"))
     return fields.select("entry_id", F.col("entry")["source"].alias("source"), F.explode(F.map_filter("entry", lambda k, _: k != "source")).alias("lang", "translated"))
 
 
-def _nested(rows: DataFrame, by: str, indent: str) -> Iterator[str]:
-    """The inner parts of an object of objects from rows (by, name, value), which come to the driver sorted, a partition at a time."""
-    quoted, last = lambda x: json.dumps(x, ensure_ascii=False), None
-    for r in rows.orderBy(by, "name").toLocalIterator():
-        if r[by] != last:
-            yield (f"\n{indent}}},\n" if last is not None else "\n") + f"{indent}{quoted(r[by])}: {{\n"
-        else:
-            yield ",\n"
-        yield f"{indent}  {quoted(r['name'])}: {quoted(r['value'])}"
-        last = r[by]
-    if last is not None:
-        yield f"\n{indent}}}"
+def lock_leaves(rows: DataFrame, settings: DataFrame) -> DataFrame:
+    """The leaves (target, names, place, json) of locks from (path, lang, key, hash), rows of null lang being the record of all languages, and (path, settings), a row for each lock."""
+    path = F.col("path")
+    shared = rows.where("lang IS NULL").select(*leaf(path, [F.lit("keys"), F.col("key")], quoted(F.col("hash"))))
+    langs = rows.where("lang IS NOT NULL").select(*leaf(path, [F.lit("langs"), F.col("lang"), F.col("key")], quoted(F.col("hash"))))
+    bare = lambda which, name: settings.join(rows.where(which).select("path").distinct(), "path", "left_anti").select(*leaf(path, [F.lit(name)], F.lit("{}")))
+    other = settings.select(*leaf(path, [F.lit("settings")], F.coalesce("settings", F.lit("null")))).unionByName(settings.select(*leaf(path, [F.lit("version")], F.lit(str(LOCK_VERSION)))))
+    return shared.unionByName(langs).unionByName(bare("lang IS NULL", "keys")).unionByName(bare("lang IS NOT NULL", "langs")).unionByName(other)
 
 
-def write_lock(path: str, rows: DataFrame, settings: dict | None) -> None:
-    """Writes (lang, key, hash) as a lock, sorted; rows of null lang are the record of all languages."""
+def memory_leaves(path: str, rows: DataFrame) -> DataFrame:
+    """The leaves of the memory document of (entry_id, source, lang, translated)."""
+    at = lambda name: [F.lit("entries"), F.col("entry_id"), name]
+    texts = rows.where("translated IS NOT NULL").select(*leaf(F.lit(path), at(F.col("lang")), quoted(F.col("translated"))))
+    sources = rows.groupBy("entry_id").agg(F.max("source").alias("source")).where("source IS NOT NULL").select(*leaf(F.lit(path), at(F.lit("source")), quoted(F.col("source"))))
+    one = rows.sparkSession.range(1).select(*leaf(F.lit(path), [F.lit("version")], F.lit(str(MEMORY_VERSION))))
+    empty = rows.sparkSession.range(1).join(rows.limit(1).select(F.lit(0).cast("long").alias("id")), "id", "left_anti").select(*leaf(F.lit(path), [F.lit("entries")], F.lit("{}")))
+    return texts.unionByName(sources).unionByName(one).unionByName(empty)
 
-    def parts() -> Iterator[str]:
-        own = rows.select("lang", F.col("key").alias("name"), F.col("hash").alias("value"))
-        yield "{"
-        shared = list(_nested(own.where("lang IS NULL").withColumn("lang", F.lit("keys")), "lang", "  "))
-        yield from shared or ['\n  "keys": {}']
-        yield ',\n  "langs": {'
-        yield from _nested(own.where("lang IS NOT NULL"), "lang", "    ")
-        yield f'\n  }},\n  "settings": {json.dumps(settings, ensure_ascii=False, sort_keys=True)},\n  "version": {LOCK_VERSION}\n}}\n'
 
-    write_parts(path, parts())
+def write_lock(path: str, rows: DataFrame, settings: dict | None) -> None:
+    """Writes (lang, key, hash) as a lock, sorted, by executors; rows of null lang are the record of all languages."""
+    spark = rows.sparkSession
+    said = None if settings is None else json.dumps(settings, ensure_ascii=False, sort_keys=True)
+    put(lock_leaves(rows.withColumn("path", F.lit(path)), spark.createDataFrame([(path, said)], "path string, settings string")))
 
 
 def write_memory(path: str, rows: DataFrame) -> None:
-    """Writes (entry_id, source, lang, translated) as a memory, sorted."""
-
-    def parts() -> Iterator[str]:
-        texts = rows.select("entry_id", F.col("lang").alias("name"), F.col("translated").alias("value"))
-        sources = rows.groupBy("entry_id").agg(F.max("source").alias("value")).select("entry_id", F.lit("source").alias("name"), "value")
-        yield '{\n  "entries": {'
-        yield from _nested(texts.unionByName(sources).where("value IS NOT NULL"), "entry_id", "    ")
-        yield f'\n  }},\n  "version": {MEMORY_VERSION}\n}}\n'
-
-    write_parts(path, parts())
+    """Writes (entry_id, source, lang, translated) as a memory, sorted, by executors."""
+    put(memory_leaves(path, rows))

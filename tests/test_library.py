@@ -114,7 +114,9 @@ def test_documents(spark, tmp_path):
     assert texts.where("error IS NOT NULL").count() == 1
     good = S.without_metadata(rows.where("error IS NULL"))
     assert [(r["key"], r["value"], r["vtype"]) for r in good.orderBy("ord").collect()] == [("btn.save", "Save", "string"), ("btn.n", "3", "number"), ("l", '[1, {"a": 2}]', "array"), ("t", "true", "boolean"), ("z", "null", "null"), ("hi", "Ho", "string")]
-    assert json.loads(sinks.locale_json(good)) == {"btn": {"save": "Save", "n": 3}, "l": [1, {"a": 2}], "t": True, "z": None, "hi": "Ho"}
+    document = {"btn": {"save": "Save", "n": 3}, "l": [1, {"a": 2}], "t": True, "z": None, "hi": "Ho"}
+    sinks.write_locales(good.select(F.lit(str(tmp_path / "out" / "x.json")).alias("target"), "key", F.struct("ord").alias("place"), "value", "vtype", F.lit(False).alias("flat")))
+    assert (tmp_path / "out" / "x.json").read_text() == json.dumps(document, ensure_ascii=False, indent=2) + "\n"
     deep = '{"a":' * 60 + "1" + "}" * 60
     assert S.flatten(spark.createDataFrame([("p", deep), ("q", None)], "path string, text string")).where("error IS NOT NULL").count() == 2
 
