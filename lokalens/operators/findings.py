@@ -73,22 +73,24 @@ def placeholder_issues(pairs: DataFrame) -> DataFrame:
 
 
 def read_once(rows: DataFrame, glossary: list[str] | None = None) -> DataFrame:
-    """rows (keys.side_by_side) with `found`, an array of (kind, seq, rule, text) of all that is to be said of a key, and the shown lengths of both texts. Each text is parsed once.
+    """rows (keys.side_by_side) with `found`, an array of (kind, seq, rule, text, lost, added) of all that is to be said of a key, and the shown lengths of both texts. Each text is parsed once.
 
     kind: missing, extra, placeholder, error, warning."""
     ship(rows.sparkSession)
     both = F.col("src").isNotNull() & F.col("tgt").isNotNull()
     only = lambda c: F.when(both, F.col(c))
     read = rows.withColumns({"src_icu": parse_column(only("src")), "tgt_icu": parse_column(only("tgt")), "a": D.placeholder_set(only("src")), "b": D.placeholder_set(only("tgt"))})
-    note = lambda kind, rule, text: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("seq"), F.lit(rule).alias("rule"), text.cast("string").alias("text"))
+    names = lambda x, name: x.cast("array<string>").alias(name)
+    nothing = F.lit(None)
+    note = lambda kind, rule, text, lost=nothing, added=nothing: F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("seq"), F.lit(rule).alias("rule"), text.cast("string").alias("text"), names(lost, "lost"), names(added, "added"))
     gone, new = F.array_except("a", "b"), F.array_except("b", "a")
     said = F.concat_ws("; ", F.when(F.size(gone) > 0, F.concat(F.lit("missing "), F.array_join(gone, ", "))), F.when(F.size(new) > 0, F.concat(F.lit("added "), F.array_join(new, ", "))))
-    faults = F.transform(string_checks(glossary), lambda f: F.struct(F.when(f["severity"] == ERROR, "error").otherwise("warning").alias("kind"), f["seq"].alias("seq"), f["detector"].alias("rule"), f["msg"].alias("text")))
-    none = F.array().cast("array<struct<kind:string,seq:int,rule:string,text:string>>")
+    faults = F.transform(string_checks(glossary), lambda f: F.struct(F.when(f["severity"] == ERROR, "error").otherwise("warning").alias("kind"), f["seq"].alias("seq"), f["detector"].alias("rule"), f["msg"].alias("text"), names(nothing, "lost"), names(nothing, "added")))
+    none = F.array().cast("array<struct<kind:string,seq:int,rule:string,text:string,lost:array<string>,added:array<string>>>")
     found = (
-        F.when(~F.col("there"), F.array(note("missing", "missing-key", F.lit(None))))
-        .when(~F.col("here"), F.array(note("extra", "extra-key", F.lit(None))))
-        .when(both, F.concat(F.when(F.col("a") != F.col("b"), F.array(note("placeholder", "placeholder", said))).otherwise(none), faults))
+        F.when(~F.col("there"), F.array(note("missing", "missing-key", nothing)))
+        .when(~F.col("here"), F.array(note("extra", "extra-key", nothing)))
+        .when(both, F.concat(F.when(F.col("a") != F.col("b"), F.array(note("placeholder", "placeholder", said, gone, new))).otherwise(none), faults))
         .otherwise(none)
     )
     return read.select(*rows.columns, found.alias("found"), *(F.length(F.coalesce(F.col(f"{x}_icu")["visible"], F.col(x))).alias(f"{x}_shown") for x in ("src", "tgt")))

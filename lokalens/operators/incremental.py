@@ -1,4 +1,4 @@
-"""Change detection against a lock of source hashes: joins by key."""
+"""Change detection against a lock of source hashes: joins by key. Where tables have a column `file`, each source file is by itself."""
 
 from __future__ import annotations
 
@@ -7,17 +7,22 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keys import by_language, of_file
+
 
 def hashed(source: DataFrame) -> DataFrame:
-    """(key, hash) of string segments."""
-    return source.where("vtype = 'string'").select("key", F.sha2("value", 256).alias("hash"))
+    """([file,] key, hash) of string segments."""
+    return source.where("vtype = 'string'").select(*of_file(source), "key", F.sha2("value", 256).alias("hash"))
 
 
 def lock_of(lock: DataFrame, langs: DataFrame) -> DataFrame:
-    """(lang, key, hash): each language's own record, else the global one (rows of null lang)."""
-    own = lock.where("lang IS NOT NULL")
-    without = langs.select("lang").distinct().join(own.select("lang").distinct(), "lang", "left_anti")
-    return own.select("lang", "key", "hash").unionByName(lock.where("lang IS NULL").select("key", "hash").join(F.broadcast(without), how="cross").select("lang", "key", "hash"))
+    """([file,] lang, key, hash): each language's own record, else the global one (rows of null lang)."""
+    file = of_file(lock)
+    own, shared = lock.where("lang IS NOT NULL").select(*file, "lang", "key", "hash"), lock.where("lang IS NULL").select(*file, "key", "hash")
+    every = by_language(shared.select(*file).distinct(), langs) if file else langs.select("lang").distinct()
+    without = every.join(own.select(*file, "lang").distinct(), [*file, "lang"], "left_anti")
+    passed_on = shared.join(without, file) if file else shared.join(F.broadcast(without), how="cross")
+    return own.unionByName(passed_on.select(*file, "lang", "key", "hash"))
 
 
 def pending(source: DataFrame, target: DataFrame, lock: DataFrame) -> DataFrame:
@@ -44,13 +49,18 @@ def advanced(source: DataFrame, lock: DataFrame, skipped: DataFrame) -> DataFram
 
 
 def advanced_global(source: DataFrame, before: DataFrame, by_lang: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(key, hash): the lock of all languages: the current hash where every language holds it; skipped keys keep theirs; any other goes."""
+    """([file,] key, hash): the lock of all languages: the current hash where every language holds it; skipped keys keep theirs; any other goes."""
     now = hashed(source)
-    n = by_lang.select("lang").distinct().agg(F.count("*").alias("langs"))
-    held = by_lang.join(now, ["key", "hash"]).groupBy("key").agg(F.count("*").alias("n"))
-    fresh = now.join(held, "key", "left").join(F.broadcast(n), how="cross").join(skipped.select("key").distinct().withColumn("skip", F.lit(True)), "key", "left").join(before.select("key", F.col("hash").alias("old")), "key", "full")
+    file = of_file(source)
+    on = [*file, "key"]
+    langs = by_lang.select(*file, "lang").distinct()
+    n = langs.groupBy(*file).agg(F.count("*").alias("langs")) if file else langs.agg(F.count("*").alias("langs"))
+    held = by_lang.join(now, [*on, "hash"]).groupBy(*on).agg(F.count("*").alias("n"))
+    fresh = now.join(held, on, "left")
+    fresh = fresh.join(n, file, "left") if file else fresh.join(F.broadcast(n), how="cross")
+    fresh = fresh.join(skipped.select(*on).distinct().withColumn("skip", F.lit(True)), on, "left").join(before.select(*on, F.col("hash").alias("old")), on, "full")
     keep = F.when(F.col("hash").isNull() | F.col("skip").isNotNull(), F.col("old")).when(F.coalesce("n", F.lit(0)) == F.col("langs"), F.col("hash"))
-    return fresh.select("key", keep.alias("hash")).where("hash IS NOT NULL")
+    return fresh.select(*on, keep.alias("hash")).where("hash IS NOT NULL")
 
 
 def settings(tone: str = "", icu: bool = False, keep: list[str] | str = (), model: str = "", app_context: str = "") -> dict:

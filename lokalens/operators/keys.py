@@ -58,12 +58,13 @@ def catalog_languages(segments: DataFrame, source_lang: str) -> DataFrame:
     return segments.select("lang").unionByName(segments.sparkSession.createDataFrame([(source_lang,)], "lang string")).distinct()
 
 
-def merged(existing: DataFrame, translated: DataFrame) -> DataFrame:
-    """Existing segments with translated ones put in by key, whatever their value; new keys come after the old ones."""
-    a = existing.select("key", F.col("ord").alias("o1"), F.col("value").alias("v1"), F.col("vtype").alias("t1"), F.lit(True).alias("in1"))
-    b = translated.select("key", F.col("ord").alias("o2"), F.col("value").alias("v2"), F.col("vtype").alias("t2"), F.lit(True).alias("in2"))
+def merged(existing: DataFrame, translated: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Existing segments with translated ones put in by key (of each document that `by` names), whatever their value; new keys come after the old ones."""
+    a = existing.select(*by, "key", F.col("ord").alias("o1"), F.col("value").alias("v1"), F.col("vtype").alias("t1"), F.lit(True).alias("in1"))
+    b = translated.select(*by, "key", F.col("ord").alias("o2"), F.col("value").alias("v2"), F.col("vtype").alias("t2"), F.lit(True).alias("in2"))
     won = F.col("in2").isNotNull()
-    return a.join(b, "key", "full").select(
+    return a.join(b, [*by, "key"], "full").select(
+        *by,
         "key",
         F.when(won, F.col("v2")).otherwise(F.col("v1")).alias("value"),
         F.when(won, F.col("t2")).otherwise(F.col("t1")).alias("vtype"),

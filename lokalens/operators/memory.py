@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .incremental import entry_id
+from .keys import of_file
 
 
 def recalled(source: DataFrame, memory: DataFrame, langs: DataFrame, of: dict | str) -> DataFrame:
-    """(lang, key, translated): non-empty remembered translations of the source's strings."""
-    asked = source.where("vtype = 'string'").select("key", entry_id(F.col("value"), of).alias("entry_id"))
+    """([file,] lang, key, translated): non-empty remembered translations of the source's strings."""
+    file = of_file(source)
+    asked = source.where("vtype = 'string'").select(*file, "key", entry_id(F.col("value"), of).alias("entry_id"))
     known = memory.where("translated IS NOT NULL AND translated <> ''").join(F.broadcast(langs.select("lang").distinct()), "lang", "left_semi")
-    return asked.join(known.select("entry_id", "lang", "translated"), "entry_id").select("lang", "key", "translated")
+    return asked.join(known.select("entry_id", "lang", "translated"), "entry_id").select(*file, "lang", "key", "translated")
 
 
 def recorded(memory: DataFrame, source: DataFrame, translations: DataFrame, of: dict | str) -> DataFrame:
     """The memory with translations (lang, key, value, vtype, ord) put in; blank ones and those equal to the source are not. Of several for one entry the last stays. `is_new` tells pairs that were absent or other."""
-    texts = source.where("vtype = 'string'").select("key", F.col("value").alias("source"))
-    made = translations.where("vtype = 'string'").select("lang", "key", "ord", F.col("value").alias("translated")).join(texts, "key")
+    on = [*of_file(source, translations), "key"]
+    texts = source.where("vtype = 'string'").select(*on, F.col("value").alias("source"))
+    made = translations.where("vtype = 'string'").select(*on, "lang", F.struct(*on[:-1], "ord").alias("ord"), F.col("value").alias("translated")).join(texts, on)
     made = made.where((F.trim("translated") != "") & (F.col("translated") != F.col("source"))).withColumn("entry_id", entry_id(F.col("source"), of))
     last = made.groupBy("entry_id", "lang").agg(F.max_by("translated", "ord").alias("fresh"), F.first("source").alias("fresh_source"))
     joined = memory.join(last, ["entry_id", "lang"], "full")

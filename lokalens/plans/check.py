@@ -16,8 +16,8 @@ from ..staging import staged
 KINDS = ("missing", "extra", "placeholder", "error", "warning", "missing_file")
 
 
-def check(source: DataFrame, target: DataFrame, langs: DataFrame, glossary: list[str] | None = None, counts: Observation | None = None) -> DataFrame:
-    """([file,] lang, kind, key, ord, seq, rule, text): source and target are segments, langs the languages asked for. Where both have a column `file`, every source file is checked by itself.
+def check(source: DataFrame, target: DataFrame, langs: DataFrame, glossary: list[str] | None = None, counts: Observation | None = None, detail: bool = False) -> DataFrame:
+    """([file,] lang, kind, key, ord, seq, rule, text), and with detail lost and added, the placeholders that differ: source and target are segments, langs the languages asked for. Where both have a column `file`, every source file is checked by itself.
 
     kind: missing, extra, placeholder, error, warning, missing_file. Non-string values count for keys only.
     counts gets the number of findings of each kind, the checks of whole locales and missing files apart, as soon as this returns."""
@@ -30,13 +30,14 @@ def check(source: DataFrame, target: DataFrame, langs: DataFrame, glossary: list
     read = staged(read, "checked")
     pairs = read.where("src IS NOT NULL AND tgt IS NOT NULL")
     none, columns = F.lit(None).cast("string"), [*by, "kind", "key", "ord", "seq", "rule", "text"]
-    keys = read.select(*by, "key", "ord", F.explode("found").alias("f")).select(*by, "f.kind", "key", "ord", "f.seq", "f.rule", "f.text")
+    more = ["lost", "added"] if detail else []
+    keys = read.select(*by, "key", "ord", F.explode("found").alias("f")).select(*by, "f.kind", "key", "ord", "f.seq", "f.rule", "f.text", *(f"f.{c}" for c in more))
     no_ord, blank = F.lit(None).cast("long").alias("ord"), none.alias("key")
     whole = O.locale_findings(pairs).select(*by, F.lit("warning").alias("kind"), blank, no_ord, (F.col("seq") + 100).alias("seq"), F.lit("locale").alias("rule"), F.col("msg").alias("text"))
     every = K.by_language(source.select("file").distinct(), asked) if len(by) == 2 else asked
     gone = every.join(read.where("there").select(*by).distinct(), by, "left_anti")
     files = gone.select(*by, F.lit("missing_file").alias("kind"), blank, no_ord, F.lit(0).alias("seq"), F.lit("missing-key").alias("rule"), none.alias("text"))
-    return keys.select(*columns).unionByName(whole).unionByName(files)
+    return keys.select(*columns, *more).unionByName(whole, allowMissingColumns=detail).unionByName(files, allowMissingColumns=detail)
 
 
 def verdict(found: DataFrame, langs: DataFrame, strict: bool = False) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import segments as S
-from ..sources.decode import read_texts
-from .check import check
+from . import projects as R
 
 # Settings of a project that are not given, and the longest application context that is heeded.
 DEFAULTS = {"source": "locales/en.json", "source_lang": "en", "langs": ["es", "fr", "de"], "keep": [], "context": "", "tone": "neutral", "icu": False, "only_new": False, "out": "locales", "format": "auto"}
@@ -33,71 +33,83 @@ def config(text: str | None, preset: str | None = None, **given) -> dict:
     return out | {"context": (out["context"] or "").strip()[:CONTEXT_LIMIT]}
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def target_files(spark: SparkSession, source: str, langs: list[str], out: str = "", source_lang: str = "en", pattern: str | None = None) -> dict[str, str]:
-    """The file of each language's translation."""
-    df = spark.createDataFrame([(x,) for x in langs], "lang string")
-    path = S.pattern_path(F.lit(pattern), F.col("lang")) if pattern else S.target_path(F.lit(source), F.col("lang"), F.lit(out or ""), F.lit(source_lang))
-    return {r["lang"]: r["path"] for r in df.select("lang", path.alias("path")).collect()}
-
-
-def file_segments(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
-    """Segments of a JSON or ARB file; raises if it cannot be read. lang: the language they are given."""
-    rows = S.flatten(_readable(read_texts(spark, path)))
-    rows = S.without_metadata(rows) if path.lower().endswith(".arb") else rows
-    return rows.withColumn("lang", F.lit(lang)).select("lang", "key", "ord", "value", "vtype", "error")
-
-
-def _readable(texts: DataFrame) -> DataFrame:
-    bad = texts.where("error IS NOT NULL").select("path", "error").first()
-    if bad:
-        raise ValueError(f"{bad['path']}: {bad['error']}")
-    return texts
-
-
-def check_files(spark: SparkSession, source: str, langs: list[str], out: str = "", source_lang: str = "en", pattern: str | None = None, glossary: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """Findings (see check) of a source file's translations, and the files they are in. A catalog holds all languages itself; a translation that is missing or no object counts as missing."""
-    asked = spark.createDataFrame([(x,) for x in langs], "lang string")
-    if source.lower().endswith(".xcstrings"):
-        rows = S.catalog(_readable(read_texts(spark, source)))
-        bad = rows.where("error IS NOT NULL").first()
-        if bad:
-            raise ValueError(bad["error"])
-        rows = rows.select("source_lang", "lang", "key", "ord", "value", "vtype")
-        own = F.col("lang") == F.col("source_lang")
-        return check(rows.where(own).drop("source_lang"), rows.where(~own).drop("source_lang"), asked, glossary), dict.fromkeys(langs, source)
-    paths = target_files(spark, source, langs, out, source_lang, pattern)
-    base = file_segments(spark, source, source_lang)
-    bad = base.where("error IS NOT NULL").first()
+def check_files(spark: SparkSession, source: str | list[str], langs: list[str], out: str = "", source_lang: str = "en", pattern: str | None = None, glossary: list[str] | None = None) -> tuple[DataFrame, R.Project]:
+    """Findings (projects.check_project) of the files that paths and globs name, and what was read. An error if there are none, or one of them cannot be read; a translation that cannot be read counts as missing."""
+    found, project = R.check_sources(spark, source, langs, out, source_lang, pattern, glossary)
+    bad = project.problems.where("lang IS NULL").first()
     if bad:
-        raise ValueError(f"{source}: {bad['error']}")
-    target = base.limit(0)
-    for lang, path in paths.items():
-        if exists(spark, path):
-            target = target.unionByName(file_segments(spark, path, lang))
-    return check(base.drop("error"), target.where("error IS NULL").drop("error"), asked, glossary), paths
-
-
-def report(found: DataFrame, langs: list[str], shown: int = 10) -> list[str]:
-    """Lines for people: of keys the first few, of faults and warnings all."""
-    labels = {"missing": "missing key(s)", "placeholder": "placeholder mismatch(es)", "error": "translation fault(s)", "warning": "warning(s)", "extra": "extra/stale key(s)"}
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(labels) for x in (k, i)])
+        raise ValueError(f"{bad['file']}: {bad['error']}")
+    if project.files.isEmpty():
+        raise ValueError(f"no source file: {source}")
+    return found, project
+
+
+def shown(found: DataFrame, first: int = 10) -> DataFrame:
+    """(file, lang, kind, n, keys, rank, text): rows of a report. Of missing and extra keys one row with the number and the first of them, of others a row for each, in order."""
+    by = ["file", "lang", "kind"]
+    of_key = Window.partitionBy(*by).orderBy("name")
+    listed = found.where("kind IN ('missing', 'extra')").withColumn("name", S.shown_key(F.col("key"))).withColumn("rank", F.row_number().over(of_key))
+    n = found.groupBy(*by).agg(F.count("*").alias("n"))
+    keys = listed.where(F.col("rank") <= first).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("keys")).withColumns({"rank": F.lit(0).cast("long"), "text": F.lit(None).cast("string")})
     text = F.concat_ws(": ", S.shown_key(F.col("key")), S.shown_key(F.col("text")))
-    rows = found.withColumn("text", text).withColumn("key", S.shown_key(F.col("key"))).groupBy("lang", "kind").agg(
-        F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("key")), 1, shown).alias("keys"),
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "ord", "text"))), lambda x: x["text"]).alias("texts"),
-    ).orderBy(rank[F.col("kind")])
-    by: dict[str, list[str]] = {x: [] for x in langs}
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("seq", "ord", "text")).cast("long")
+    others = found.where("kind NOT IN ('missing', 'extra')").select(*by, "seq", "ord", text.alias("text")).select(*by, F.lit(None).cast("array<string>").alias("keys"), place.alias("rank"), "text")
+    return keys.select(*by, "keys", "rank", "text").unionByName(others).join(n, by)
+
+
+def report(found: DataFrame, project: R.Project, first: int = 10) -> Iterator[str]:
+    """Lines for people, which come to the driver a partition at a time: of keys the first few, of faults and warnings all."""
+    labels = {"missing_file": "", "missing": "missing key(s)", "placeholder": "placeholder mismatch(es)", "error": "translation fault(s)", "warning": "warning(s)", "extra": "extra/stale key(s)"}
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(labels) for x in (k, i)])[F.col("kind")]
+    absent = project.files.where(~F.col("there")).select("file", "lang")
+    rows = shown(found, first).join(absent.withColumn("gone", F.lit(True)), ["file", "lang"], "left").where(F.col("gone").isNull() | (F.col("kind") == "missing_file"))
+    rows = project.files.select("file", "lang", "path").join(rows, ["file", "lang"], "left").orderBy("file", "lang", order, "rank")
+    many, file, kind = project.files.select("file").distinct().limit(2).count() > 1, None, None
     for r in rows.toLocalIterator():
-        if r["kind"] == "missing_file":
-            by[r["lang"]] = [f"{r['lang']}: locale file not found"]
-        elif r["kind"] in ("missing", "extra"):
-            by[r["lang"]].append(f"{r['lang']}: {r['n']} {labels[r['kind']]}: {', '.join(r['keys'])}" + (" ..." if r["n"] > shown else ""))
+        if many and r["file"] != file:
+            yield f"── {r['file']} ──"
+        if r["kind"] is None:
+            yield f"{r['lang']}: complete & placeholder-safe"
+        elif r["kind"] == "missing_file":
+            yield f"{r['lang']}: locale file not found ({r['path']})"
+        elif r["keys"] is not None:
+            yield f"{r['lang']}: {r['n']} {labels[r['kind']]}: {', '.join(r['keys'])}" + (" ..." if r["n"] > first else "")
         else:
-            by[r["lang"]] += [f"{r['lang']}: {r['n']} {labels[r['kind']]}:"] + [f"    {t}" for t in r["texts"]]
-    gone = {r["lang"] for r in found.where("kind = 'missing_file'").collect()}
-    return [line for lang, lines in by.items() for line in ([f"{lang}: locale file not found"] if lang in gone else lines or [f"{lang}: complete & placeholder-safe"])]
+            if (r["file"], r["lang"], r["kind"]) != kind:
+                yield f"{r['lang']}: {r['n']} {labels[r['kind']]}:"
+            yield f"    {r['text']}"
+        file, kind = r["file"], (r["file"], r["lang"], r["kind"])
+
+
+def result_json(found: DataFrame, ok: bool) -> Iterator[str]:
+    """The result of one source's check as JSON, in pieces: ok, missing and extra keys by language, placeholder_issues, missing_files, faults, warnings. Rows come to the driver a partition at a time."""
+    dump = lambda x: json.dumps(x, ensure_ascii=False)
+    yield f'{{"ok": {dump(ok)}'
+
+    def by_language(kind: str) -> Iterator[str]:
+        lang = None
+        for r in found.where(F.col("kind") == kind).orderBy("lang", "key").select("lang", "key").toLocalIterator():
+            yield ", " if r["lang"] == lang else f"{'], ' if lang is not None else ''}{dump(r['lang'])}: ["
+            yield dump(r["key"])
+            lang = r["lang"]
+        yield "" if lang is None else "]"
+
+    def each(rows: DataFrame, of: Callable) -> Iterator[str]:
+        for i, r in enumerate(rows.orderBy("lang", "seq", "ord", "text").toLocalIterator()):
+            yield (", " if i else "") + dump(of(r))
+
+    kind = lambda k: found.where(F.col("kind") == k)
+    said = lambda severity: lambda r: {"lang": r["lang"], **({"key": r["key"]} if r["key"] is not None else {}), "severity": severity, "msg": r["text"]}
+    for name in ("missing", "extra"):
+        yield f', "{name}": {{'
+        yield from by_language(name)
+        yield "}"
+    lists = {
+        "placeholder_issues": each(kind("placeholder"), lambda r: {"lang": r["lang"], "key": r["key"], "missing": r["lost"], "added": r["added"]}),
+        "missing_files": each(kind("missing_file"), lambda r: r["lang"]), "faults": each(kind("error"), said("error")), "warnings": each(kind("warning"), said("warn")),
+    }
+    for name, parts in lists.items():
+        yield f', "{name}": ['
+        yield from parts
+        yield "]"
+    yield "}"

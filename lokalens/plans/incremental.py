@@ -14,17 +14,21 @@ from ..operators import keys as K
 from ..operators import memory as M
 
 
-def judged(source: DataFrame, targets: DataFrame, lock: DataFrame, langs: DataFrame, all_anew: bool = False) -> DataFrame:
-    """(lang, key, hash, reason): every string of the source in every language that is not up to date.
+def judged(source: DataFrame, targets: DataFrame, lock: DataFrame, langs: DataFrame, all_anew: bool | DataFrame = False) -> DataFrame:
+    """([file,] lang, key, hash, reason): every string of the source in every language that is not up to date.
 
-    reason: 'missing' in the language, 'changed' since its lock, 'settings' (all others, if all_anew), or
+    reason: 'missing' in the language, 'changed' since its lock, 'settings' (all others, if all_anew, or of the files in it), or
     'unverified': there, but in no lock, so that it is neither translated nor locked."""
+    on = [*K.of_file(source, targets, lock), "lang", "key"]
     every = K.by_language(I.hashed(source), langs)
-    held = targets.select("lang", "key", F.lit(True).alias("there")).distinct()
-    joined = every.join(held, ["lang", "key"], "left").join(I.lock_of(lock, langs).select("lang", "key", F.col("hash").alias("locked")), ["lang", "key"], "left")
+    anew = F.lit(all_anew) if isinstance(all_anew, bool) else F.coalesce("anew", F.lit(False))
+    if not isinstance(all_anew, bool):
+        every = every.join(all_anew.select("file", F.lit(True).alias("anew")).distinct(), "file", "left")
+    held = targets.select(*on, F.lit(True).alias("there")).distinct()
+    joined = every.join(held, on, "left").join(I.lock_of(lock, langs).select(*on, F.col("hash").alias("locked")), on, "left")
     reason = F.when(F.col("there").isNull(), "missing").when(F.col("locked") != F.col("hash"), "changed")
-    reason = reason.when(F.lit(all_anew), "settings").when(F.col("locked").isNull(), "unverified")
-    return joined.select("lang", "key", "hash", reason.alias("reason")).where("reason IS NOT NULL")
+    reason = reason.when(anew, "settings").when(F.col("locked").isNull(), "unverified")
+    return joined.select(*on, "hash", reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def todo(found: DataFrame) -> DataFrame:
@@ -33,25 +37,28 @@ def todo(found: DataFrame) -> DataFrame:
 
 
 def reused(source: DataFrame, found: DataFrame, memory: DataFrame, of: dict | str) -> DataFrame:
-    """(lang, key, translated): what the memory knows of the rows to translate."""
-    work = todo(found).select("lang", "key")
-    return M.recalled(source, memory, work, of).join(work, ["lang", "key"], "left_semi")
+    """([file,] lang, key, translated): what the memory knows of the rows to translate."""
+    on = [*K.of_file(source, found), "lang", "key"]
+    work = todo(found).select(*on)
+    return M.recalled(source, memory, work, of).join(work, on, "left_semi")
 
 
 def finished(source: DataFrame, lock: DataFrame, langs: DataFrame, found: DataFrame, failed: DataFrame, assume_current: bool = False) -> DataFrame:
-    """(lang, key, hash): the lock after the run; rows of null lang are the record of all languages.
+    """([file,] lang, key, hash): the lock after the run; rows of null lang are the record of all languages.
 
-    failed has the languages whose translations were not merged: their rows stay as they were locked, and so
+    failed has the languages (of files) whose translations were not merged: their rows stay as they were locked, and so
     do unverified ones unless assume_current. Languages that were not in the run keep their records."""
-    bad = todo(found).join(failed.select("lang").distinct(), "lang", "left_semi").select("lang", "key")
-    skipped = bad if assume_current else bad.unionByName(found.where("reason = 'unverified'").select("lang", "key"))
-    old = I.lock_of(lock, langs).select("lang", "key", F.col("hash").alias("old"))
-    every = K.by_language(I.hashed(source), langs).join(old, ["lang", "key"], "left").join(skipped.withColumn("skip", F.lit(True)).distinct(), ["lang", "key"], "left")
-    own = every.select("lang", "key", F.when(F.col("skip").isNull(), F.col("hash")).otherwise(F.col("old")).alias("hash")).where("hash IS NOT NULL")
-    others = lock.where("lang IS NOT NULL").join(langs.select("lang"), "lang", "left_anti").select("lang", "key", "hash")
+    file = K.of_file(source, lock, found)
+    on = [*file, "lang", "key"]
+    bad = todo(found).join(failed.select(*file, "lang").distinct(), [*file, "lang"], "left_semi").select(*on)
+    skipped = bad if assume_current else bad.unionByName(found.where("reason = 'unverified'").select(*on))
+    old = I.lock_of(lock, langs).select(*on, F.col("hash").alias("old"))
+    every = K.by_language(I.hashed(source), langs).join(old, on, "left").join(skipped.withColumn("skip", F.lit(True)).distinct(), on, "left")
+    own = every.select(*on, F.when(F.col("skip").isNull(), F.col("hash")).otherwise(F.col("old")).alias("hash")).where("hash IS NOT NULL")
+    others = lock.where("lang IS NOT NULL").join(langs.select("lang"), "lang", "left_anti").select(*on, "hash")
     by_lang = own.unionByName(others)
-    shared = I.advanced_global(source, lock.where("lang IS NULL").select("key", "hash"), by_lang, skipped)
-    return by_lang.unionByName(shared.select(F.lit(None).cast("string").alias("lang"), "key", "hash"))
+    shared = I.advanced_global(source, lock.where("lang IS NULL").select(*file, "key", "hash"), by_lang, skipped)
+    return by_lang.unionByName(shared.select(*file, F.lit(None).cast("string").alias("lang"), "key", "hash"))
 
 
 def final_settings(recorded: dict | None, current: dict, any_failed: bool) -> dict | None:

@@ -97,11 +97,13 @@ def _globs(files: DataFrame) -> list[str]:
 class Project:
     """What was read of sources and their translations.
 
-    source (file, key, ord, value, vtype) and target (file, lang, key, ord, value, vtype) are segments; files (file, lang, path, there)
-    are the translations looked for; problems (file, lang, path, error) could not be read, lang is null for sources."""
+    source (file, key, ord, value, vtype, level) and target (file, lang, key, ord, value, vtype, level) are segments; metadata has those
+    of ARB files' metadata, like target; files (file, lang, path, there) are the translations looked for; problems
+    (file, lang, path, error) could not be read, lang is null for sources."""
 
     source: DataFrame
     target: DataFrame
+    metadata: DataFrame
     files: DataFrame
     problems: DataFrame
 
@@ -114,26 +116,27 @@ def read_project(spark: SparkSession, sources: DataFrame, langs: DataFrame, out:
     files = listed(spark, _globs(roles), "content").join(roles.select("path").distinct(), "path", "left_semi")
     texts = staged(decode.texts(files), "texts")
     plain = S.flatten(texts.where(~_catalog(F.col("path")) & F.col("error").isNull()))
-    plain = plain.where(~(F.lower("path").endswith(".arb") & F.coalesce(F.col("key").startswith("@"), F.lit(False))))
-    catalogs = S.catalog(texts.where(_catalog(F.col("path")) & F.col("error").isNull()))
-    leaves = ["key", "ord", "value", "vtype", "error"]
-    bad = texts.where("error IS NOT NULL").join(roles, "path").select("file", "lang", "path", *(F.lit(None).cast("string").alias(c) for c in ("key",)), F.lit(None).cast("long").alias("ord"), *(F.lit(None).cast("string").alias(c) for c in ("value", "vtype")), "error")
+    catalogs = S.catalog(texts.where(_catalog(F.col("path")) & F.col("error").isNull())).withColumn("level", F.lit(0).cast("long"))
+    leaves = ["key", "ord", "value", "vtype", "level", "error"]
+    bad = texts.where("error IS NOT NULL").join(roles, "path").select("file", "lang", "path", *(F.lit(None).cast(t).alias(c) for c, t in zip(leaves, ("string", "long", "string", "string", "long"), strict=False)), "error")
     own = F.when(F.col("lang") != F.col("source_lang"), F.col("lang"))
     rows = plain.join(roles, "path").select("file", "lang", "path", *leaves).unionByName(catalogs.select(F.col("path").alias("file"), own.alias("lang"), "path", *leaves)).unionByName(bad)
     rows = staged(rows, "segments")
-    fine = rows.where("error IS NULL")
+    meta = F.lower("path").endswith(".arb") & F.col("key").startswith("@")
+    fine = rows.where(F.col("error").isNull() & ~meta)
+    metadata = rows.where(F.col("error").isNull() & meta & F.col("lang").isNotNull()).select("file", "lang", *leaves[:-1])
     target = fine.where("lang IS NOT NULL").select("file", "lang", *leaves[:-1])
     # an object without leaves is there all the same; a catalog has the languages of which it has entries
     there = texts.where("error IS NULL").select("path").join(aims.where(~_catalog(F.col("file"))), "path").join(rows.where("error IS NOT NULL").select("path").distinct(), "path", "left_anti").select("file", "lang")
     there = there.unionByName(target.where(_catalog(F.col("file"))).select("file", "lang").distinct()).withColumn("there", F.lit(True))
-    return Project(fine.where("lang IS NULL").select("file", *leaves[:-1]), target, aims.join(there, ["file", "lang"], "left").fillna(False, ["there"]), rows.where("error IS NOT NULL").select("file", "lang", "path", "error"))
+    return Project(fine.where("lang IS NULL").select("file", *leaves[:-1]), target, metadata, aims.join(there, ["file", "lang"], "left").fillna(False, ["there"]), rows.where("error IS NOT NULL").select("file", "lang", "path", "error"))
 
 
 def check_project(project: Project, langs: DataFrame, glossary: list[str] | None = None, counts: Observation | None = None) -> DataFrame:
-    """Findings (see check) of every source, each with its file and the path of the translation it is about."""
-    found = check(project.source, project.target, langs, glossary, counts).where("kind <> 'missing_file'")
+    """Findings (see check, with detail) of every source, each with its file and the path of the translation it is about."""
+    found = check(project.source, project.target, langs, glossary, counts, detail=True).where("kind <> 'missing_file'")
     absent = project.files.where(~F.col("there")).select("file", "lang", F.lit("missing_file").alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("ord", "long"))), F.lit(0).alias("seq"), F.lit("missing-key").alias("rule"), F.lit(None).cast("string").alias("text"))
-    return found.unionByName(absent).join(project.files.select("file", "lang", "path"), ["file", "lang"], "left")
+    return found.unionByName(absent, allowMissingColumns=True).join(project.files.select("file", "lang", "path"), ["file", "lang"], "left")
 
 
 def check_sources(spark: SparkSession, specs: str | list[str], langs: list[str], out: str = "", source_lang: str = "en", pattern: str | None = None, glossary: list[str] | None = None) -> tuple[DataFrame, Project]:

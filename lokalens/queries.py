@@ -5,6 +5,7 @@ The tables hold no translations, so pairs are derived from them by expressions t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,14 @@ from .operators import findings as O
 from .operators import incremental as I
 from .operators import keys as K
 from .operators import memory as M
+from .functions import paths as A
 from .plans import check as C
 from .plans import incremental as P
+from .plans import projects as R
+from .plans import runs as U
 from .sources import decode, sinks, stores
 from .sources import segments as S
+from .staging import shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -634,3 +639,80 @@ def base_languages(spark, sf_dir):
 def key_lines(spark, sf_dir):
     text = F.concat(F.lit('{\n  "title": "'), F.col("page_id").cast("string"), F.lit('",\n  "url": "x",\n  "title": ""\n}'))
     return sinks.key_lines(_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), text.alias("text"))).select("path", "leaf", F.col("line").cast("long").alias("line"))
+
+
+# --- projects of many files -----------------------------------------------------------------------
+
+# Twenty source files of the names of parts, in folders of languages. German has translations of most, French of every second file.
+_FILES = """s AS (SELECT 'n' || CAST(p_partkey % 20 AS VARCHAR) || '.json' AS file, 'part.p' || CAST(p_partkey AS VARCHAR) AS key, p_partkey AS id, p_name FROM part)"""
+
+
+def _project(spark, sf_dir) -> str:
+    """Writes the files, and returns their folder."""
+    folder = f"{shared_folder(spark)}/project-{uuid.uuid4().hex}"
+    part = _table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("n"), F.col("p_partkey").alias("id"), "p_name")
+    name = F.concat(F.lit("/n"), F.col("n").cast("string"), F.lit(".json"))
+
+    def of(rows: DataFrame, lang: str, value: Column) -> DataFrame:
+        return rows.select(F.concat(F.lit(f"{folder}/locales/{lang}"), name).alias("target"), F.concat(F.lit("part.p"), F.col("id").cast("string")).alias("key"), F.struct("id").alias("place"), value.alias("value"), F.lit("string").alias("vtype"), F.lit(False).alias("flat"))
+
+    edited = F.concat(F.lit("x"), "p_name", F.when(F.col("id") % 7 == 0, " v2").otherwise(""))
+    extra = of(part.where("id % 17 = 0"), "de", F.lit("x")).withColumn("key", F.concat("key", F.lit(".old"))).withColumns({"key": F.regexp_replace("key", "^part", "gone"), "place": F.struct((F.col("place.id") + (1 << 40)).alias("id"))})
+    german = of(part.where("id % 11 <> 0"), "de", edited).unionByName(extra)
+    sinks.write_locales(of(part, "en", F.col("p_name")).unionByName(german).unionByName(of(part.where("n % 2 = 0"), "fr", F.concat(F.lit("x"), "p_name"))))
+    return folder
+
+
+def _file(path: Column) -> Column:
+    return F.regexp_extract(path, "([^/]*)$", 1)
+
+
+@query(f"""WITH {_FILES}, odd AS (SELECT DISTINCT file FROM s WHERE id % 2 = 1)
+SELECT 'missing' AS kind, file, 'de' AS lang, key, '' AS text FROM s WHERE id % 11 = 0
+UNION ALL SELECT 'missing', file, 'fr', key, '' FROM s WHERE id % 2 = 1 UNION ALL SELECT 'missing_file', file, 'fr', '', '' FROM odd
+UNION ALL SELECT 'extra', file, 'de', 'gone.p' || CAST(id AS VARCHAR) || '.old', '' FROM s WHERE id % 17 = 0
+UNION ALL SELECT 'error', file, 'de', key, 'number 2 appears in the translation but not the source' FROM s WHERE id % 7 = 0 AND id % 11 <> 0""")
+def many_sources(spark, sf_dir):
+    """Twenty files in two languages, written by executors and checked in one plan; what warns is left out."""
+    found, _ = R.check_sources(spark, f"{_project(spark, sf_dir)}/locales/en/*.json", ["de", "fr"])
+    return found.where("kind <> 'warning'").select("kind", _file(F.col("file")).alias("file"), "lang", F.coalesce("key", F.lit("")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(f"""WITH {_FILES}, t AS (SELECT *, sha256(p_name) AS hash FROM s), m AS (SELECT DISTINCT {_entry('p_name')} AS entry_id, p_name FROM t WHERE id % 22 = 0)
+SELECT 'text' AS what, file, 'de' AS lang, key, CASE WHEN id % 11 <> 0 THEN 'x' || p_name || CASE WHEN id % 7 = 0 THEN ' v2' ELSE '' END ELSE 'de ' || p_name END AS value FROM s WHERE id % 11 <> 0 OR id % 22 = 0
+UNION ALL SELECT 'text', file, 'de', 'gone.p' || CAST(id AS VARCHAR) || '.old', 'x' FROM s WHERE id % 17 = 0
+UNION ALL SELECT 'lock', file, lang, key, hash FROM t, (VALUES ('de'), ('')) l(lang) WHERE id % 22 = 0
+UNION ALL SELECT 'memory', '', 'de', entry_id, 'de ' || p_name FROM m
+UNION ALL SELECT 'due', file, 'de', key, 'missing' FROM s WHERE id % 22 = 11 UNION ALL SELECT 'due', file, 'de', key, 'unverified' FROM s WHERE id % 11 <> 0""")
+def file_run(spark, sf_dir):
+    """A run over twenty files of which half the missing strings come back translated: documents, locks and memory as it leaves them, and what the next run finds due."""
+    folder, of = _project(spark, sf_dir), _SIGNATURE
+    sources = f"{folder}/locales/en/*.json"
+    run = U.open_run(spark, folder, sources, ["de"], of)
+    due = run.work().where(F.regexp_extract("key", r"(\d+)$", 1).cast("long") % 2 == 0)
+    U.close_run(run, due.select("file", "lang", "key", F.concat(F.lit("de "), "text").alias("value")))
+    after = U.open_run(spark, folder, sources, ["de"], of)
+    row = lambda what, file, lang, key, value: [F.lit(what).alias("what"), file.alias("file"), lang.alias("lang"), F.col(key).alias("key"), value.alias("value")]
+    file, lang = _file(F.col("file")), F.coalesce("lang", F.lit(""))
+    out = after.project.target.select(*row("text", file, lang, "key", F.col("value")))
+    out = out.unionByName(after.lock.select(*row("lock", file, lang, "key", F.col("hash"))))
+    out = out.unionByName(after.memory.select(*row("memory", F.lit(""), lang, "entry_id", F.col("translated"))))
+    return out.unionByName(after.found.select(*row("due", file, lang, "key", F.col("reason"))))
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_partkey % 6 AS k, p_name AS n FROM part)
+SELECT id, CASE k WHEN 0 THEN '/a/' || n || '/c.json' WHEN 1 THEN '/c.json' WHEN 2 THEN '../' || n WHEN 3 THEN 'C:/a/' || n WHEN 4 THEN 'file:/' || n || '/x' ELSE '.' END AS normal,
+CASE k WHEN 0 THEN n || '/c.json' WHEN 1 THEN '../c.json' WHEN 2 THEN '../' || n WHEN 3 THEN 'C:/a/' || n WHEN 4 THEN 'file:/' || n || '/x' ELSE '.' END AS seen,
+CASE WHEN k IN (0, 3) THEN 'https://h' || id || '.example/v1' WHEN k = 1 THEN 'http://user:pw@localhost:80' || id % 10 WHEN k = 4 THEN 'http://[::1]:8000' END AS url,
+CASE k WHEN 0 THEN 'key-' || id WHEN 1 THEN 'a b' WHEN 3 THEN '~' END AS header, k IN (4, 5) AS refused FROM p""")
+def paths_and_addresses(spark, sf_dir):
+    """Paths with dots, drives and schemes, in their shortest form and as seen from /a; addresses with users and ports; keys for headers."""
+    part, kind = _table(spark, sf_dir, "part"), F.col("p_partkey") % 6
+    pick = lambda *x: F.coalesce(*(F.when(kind == i, v if isinstance(v, Column) else F.lit(v)) for i, v in enumerate(x)))
+    name, id_ = F.col("p_name"), F.col("p_partkey").cast("string")
+    path = pick(F.concat(F.lit("/a//./b/../"), name, F.lit("/c.json")), "/../a/../c.json", F.concat(F.lit("x/../../"), name), F.concat(F.lit("C:\\a\\b\\..\\"), name), F.concat(F.lit("file:///"), name, F.lit("//x/")), "./a/..")
+    root = F.when(kind.isin(2, 5), F.lit(".")).otherwise(F.lit("/a"))
+    url = pick(F.concat(F.lit(" h"), id_, F.lit(".example/v1/ ")), F.concat(F.lit("http://user:pw@localhost:80"), F.col("p_partkey") % 10), F.lit("http://localhost@evil.example"), F.concat(F.lit("https://h"), id_, F.lit(".example/v1")), "http://[::1]:8000/", "ftp://127.0.0.1")
+    key = pick(F.concat(F.lit(" key-"), id_, F.lit("\n")), "a b", "  ", "~", "clé", "a\tb")
+    a, b = A.service_url(url), A.header_value(key)
+    return part.select(F.col("p_partkey").alias("id"), A.normal(path).alias("normal"), A.relative(path, root).alias("seen"), a["url"].alias("url"), b["value"].alias("header"), b["refused"].isNotNull().alias("refused"))

@@ -31,7 +31,7 @@ def styles(segments: DataFrame, by: list[str]) -> DataFrame:
 
 
 def placed(segments: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, names, place, json) of segments (*by, key, place, value, vtype, flat), place a struct that sorts as leaves came: leaves of a nested document under their branches.
+    """(*by, names, place, json) of segments (*by, key, place, value, vtype, flat), place a struct that sorts as leaves came and tells them apart: leaves of a nested document under their branches.
 
     A branch stands where its first leaf came. Of a leaf and a branch of one name, what came last stays, at the place of what came first."""
     rows = segments.withColumn("names", F.when(F.col("flat"), F.array("key")).otherwise(F.split("key", r"\.")))
