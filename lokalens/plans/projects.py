@@ -6,6 +6,7 @@ in one scan, and files meet the table by their path: nothing is planned file by
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -38,21 +39,30 @@ def literal(path: Column) -> Column:
     return F.regexp_replace(path, r"([\\*?\[\]{}])", r"\\$1")
 
 
-def matching(spark: SparkSession, globs: list[str]) -> list[str]:
-    """The globs that match anything; a scan fails on those that don't."""
-    util, path = spark._jvm.org.apache.spark.deploy.SparkHadoopUtil.get(), spark._jvm.org.apache.hadoop.fs.Path
-    return [g for g in globs if not util.globPath(path(g)).isEmpty()]
+def _unescaped(glob: str) -> str | None:
+    """The one path that a glob without * ? [ means."""
+    return None if re.search(r"(?<!\\)[*?\[]", glob) else re.sub(r"\\(.)", r"\1", glob)
+
+
+def _pattern(glob: str) -> str:
+    """A glob as a regular expression; * and ? stay within a name."""
+    parts = re.findall(r"\\.|\[[^\]]*\]|.", glob, re.S)
+    return "".join({"*": "[^/]*", "?": "[^/]"}.get(x, x.replace("[!", "[^") if len(x) > 2 else re.escape(x[-1])) for x in parts)
 
 
 def listed(spark: SparkSession, globs: list[str], *columns: str) -> DataFrame:
     """(path, *columns) of the files that the globs match, a file once; content is read only if it is asked for."""
-    found = matching(spark, globs)
+    util, path = spark._jvm.org.apache.spark.deploy.SparkHadoopUtil.get(), spark._jvm.org.apache.hadoop.fs.Path
+    found = [g for g in dict.fromkeys(globs) if not util.globPath(path(g)).isEmpty()]  # a scan fails on a glob without a match
     if not found:
         return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary").select("path", *columns)
-    deep = F.array(*(F.lit(len([x for x in g.split("/") if x])) for g in sorted(set(found), key=lambda g: g.count("/"))))
-    rows = spark.read.format("binaryFile").load(found).select("path", *columns)
-    at_depth = rows.where(F.array_contains(deep, F.size(F.filter(F.split("path", "/"), lambda x: x != ""))))  # a folder that a glob matches is no file
-    return at_depth.dropDuplicates(["path"]) if "content" not in columns and len(found) > 1 else at_depth
+    single = {g: _unescaped(g) for g in found}
+    fits = F.col("path").isin([p for p in single.values() if p is not None])
+    for g in (g for g, p in single.items() if p is None):
+        fits = fits | F.col("path").rlike(f"^{_pattern(g)}$")
+    # a scan of a folder that a glob matches gives the files in it, and a file that two globs match twice
+    rows = spark.read.format("binaryFile").load(found).select("path", *columns).where(fits)
+    return rows if "content" in columns or len(found) == 1 else rows.dropDuplicates(["path"])
 
 
 def resolve_sources(spark: SparkSession, specs: str | list[str]) -> DataFrame:
@@ -87,7 +97,7 @@ def _catalog(path: Column) -> Column:
 
 
 def _globs(files: DataFrame) -> list[str]:
-    """Globs of the files (path): of a folder that holds many, all files of their extension. They are as many as folders and extensions, or fewer."""
+    """Globs of the files (path): of a folder that holds many, all files of their extension. They are as many as folders and extensions, and no two match one file."""
     folder, ext = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.regexp_extract("path", r"(\.[^./]*)?$", 1)
     by = files.select("path", literal(folder).alias("folder"), literal(ext).alias("ext")).groupBy("folder", "ext").agg(F.count_distinct("path").alias("n"), F.min(literal(F.col("path"))).alias("one"))
     return [r["glob"] for r in by.select(F.when(F.col("n") == 1, F.col("one")).otherwise(F.concat("folder", F.lit("/*"), "ext")).alias("glob")).collect()]
