@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from . import tables as T
 
-from .text import all_matches, base_language, let, matches, messages, more_in, multiset_minus, no_text, one_if, quoted, strip, times
+from .text import all_matches, base_language, let, matches, messages, more_in, multiset_minus, no_text, one_if, ones, quoted, strip, tally
 
 
 # --- placeholders ---------------------------------------------------------------------------------
@@ -27,8 +27,9 @@ def lost_placeholders(src: Column, tgt: Column) -> Column:
     return F.array_sort(F.array_except(src, tgt))
 
 
-def _count(names: Column, icu_counts: Column, name: Column) -> Column:
-    return F.when(icu_counts.isNotNull(), F.coalesce(icu_counts[name], F.lit(0))).otherwise(times(names, name))
+def _shown(names: Column, counts: Column) -> Column:
+    """How often each placeholder is shown, as tally() takes it: by the parsed message, else by its repetition."""
+    return F.when(counts.isNotNull(), F.transform(F.map_entries(counts), lambda e: F.struct(e["key"].alias("value"), e["value"].alias("n"), F.lit(None).cast("string").alias("label")))).otherwise(ones(names))
 
 
 def placeholder_counts(src: Column, tgt: Column, src_icu: Column, tgt_icu: Column) -> Column:
@@ -37,20 +38,21 @@ def placeholder_counts(src: Column, tgt: Column, src_icu: Column, tgt_icu: Colum
 
 
 def _placeholder_counts(src: Column, tgt: Column, src_icu: Column, tgt_icu: Column) -> Column:
-    every = F.array_sort(F.array_distinct(F.concat(src, tgt)))
+    plain = src_icu["most"].isNull() & tgt_icu["most"].isNull()
+    same = plain & (src == tgt)
+    counts = tally(_shown(src, src_icu["most"]), _shown(src, src_icu["fewest"]), _shown(tgt, tgt_icu["most"]), _shown(tgt, tgt_icu["fewest"]))
+    return F.when(same, no_text()).otherwise(F.filter(F.transform(counts, _placeholder_count), lambda x: x.isNotNull()))
 
-    def say(p: Column) -> Column:
-        s_hi, s_lo = _count(src, src_icu["most"], p), _count(src, src_icu["fewest"], p)
-        t_hi, t_lo = _count(tgt, tgt_icu["most"], p), _count(tgt, tgt_icu["fewest"], p)
-        return (
-            F.when(p == "%%", F.lit(None).cast("string"))
-            .when((t_hi > s_hi) & (s_hi == 0), F.concat(F.lit("invented placeholder "), p, F.lit(" (not in source)")))
-            .when(t_hi > s_hi, F.concat(F.lit("placeholder "), p, F.lit(" appears "), t_hi.cast("string"), F.lit("× vs "), s_hi.cast("string"), F.lit("× in source (duplicated)")))
-            .when((s_lo > t_lo) & (t_hi != 0) & ((t_hi != t_lo) | (s_hi != s_lo)), F.concat(F.lit("placeholder "), p, F.lit(" is missing from some plural/select arms ("), t_lo.cast("string"), F.lit("× in the thinnest arm vs "), s_lo.cast("string"), F.lit("× in the source)")))
-            .when((s_lo > t_lo) & (t_hi != 0), F.concat(F.lit("placeholder "), p, F.lit(" appears "), s_lo.cast("string"), F.lit("× in source but "), t_lo.cast("string"), F.lit("× in translation")))
-        )
 
-    return F.filter(F.transform(every, say), lambda x: x.isNotNull())
+def _placeholder_count(c: Column) -> Column:
+    p, s_hi, s_lo, t_hi, t_lo = (c[x] for x in ("value", "n0", "n1", "n2", "n3"))
+    return (
+        F.when(p == "%%", F.lit(None).cast("string"))
+        .when((t_hi > s_hi) & (s_hi == 0), F.concat(F.lit("invented placeholder "), p, F.lit(" (not in source)")))
+        .when(t_hi > s_hi, F.concat(F.lit("placeholder "), p, F.lit(" appears "), t_hi.cast("string"), F.lit("× vs "), s_hi.cast("string"), F.lit("× in source (duplicated)")))
+        .when((s_lo > t_lo) & (t_hi != 0) & ((t_hi != t_lo) | (s_hi != s_lo)), F.concat(F.lit("placeholder "), p, F.lit(" is missing from some plural/select arms ("), t_lo.cast("string"), F.lit("× in the thinnest arm vs "), s_lo.cast("string"), F.lit("× in the source)")))
+        .when((s_lo > t_lo) & (t_hi != 0), F.concat(F.lit("placeholder "), p, F.lit(" appears "), s_lo.cast("string"), F.lit("× in source but "), t_lo.cast("string"), F.lit("× in translation")))
+    )
 
 
 _FLAT = r"\{\{[^{}]*\}\}|\{[^{}]*\}"
@@ -132,14 +134,14 @@ def number_drift(src: Column, tgt: Column, lang: Column) -> Column:
     spelled = F.concat(spelled_numbers(src), F.when(article, F.array(F.lit("1"))).otherwise(no_text()))
 
     def drift(a: Column, b: Column) -> Column:
+        runs = lambda x: F.transform(x, lambda y: F.struct(y["key"].alias("value"), F.lit(1).alias("n"), y["run"].alias("label")))
         keys = lambda x: F.transform(x, lambda y: y["key"])
-        return let(lambda ka, kb: said(a, b, ka, kb), ka=keys(a), kb=keys(b))
+        return F.when(keys(a) == keys(b), no_text()).otherwise(let(lambda c, words: said(c, words, F.size(b) > 0), c=tally(runs(a), runs(b)), words=spelled))
 
-    def said(a: Column, b: Column, ka: Column, kb: Column) -> Column:
-        shown = lambda found, key: F.filter(found, lambda x: x["key"] == key)[0]["run"]
-        invented = messages(F.array_except(more_in(kb, ka), spelled), lambda k: F.concat(F.lit("number "), shown(b, k), F.lit(" appears in the translation but not the source")))
-        missing = messages(more_in(ka, kb), lambda k: F.concat(F.lit("number "), shown(a, k), F.lit(" from the source is missing or changed in the translation")))
-        return F.when(ka == kb, no_text()).otherwise(F.concat(invented, F.when(F.size(kb) > 0, missing).otherwise(no_text())))
+    def said(c: Column, words: Column, any_left: Column) -> Column:
+        invented = messages(F.filter(c, lambda x: (x["n1"] > x["n0"]) & ~F.array_contains(words, x["value"])), lambda x: F.concat(F.lit("number "), x["label1"], F.lit(" appears in the translation but not the source")))
+        missing = messages(F.filter(c, lambda x: x["n0"] > x["n1"]), lambda x: F.concat(F.lit("number "), x["label0"], F.lit(" from the source is missing or changed in the translation")))
+        return F.concat(invented, F.when(any_left, missing).otherwise(no_text()))
 
     return F.when(matches(src, f"[{T.DIGITS}]") | matches(tgt, f"[{T.DIGITS}]"), let(drift, a=numbers(src), b=numbers(tgt))).otherwise(no_text())
 

@@ -45,19 +45,48 @@ def let(body: Callable[..., Column], **values: Column) -> Column:
     return F.transform(bound, lambda v: body(**{n: v[n] for n in names}))[0]
 
 
-def times(a: Column, x: Column) -> Column:
-    return F.size(F.filter(a, lambda y: y == x))
+def ones(a: Column) -> Column:
+    """The elements of an array, each once, as tally() takes them."""
+    return F.transform(a, lambda x: F.struct(x.alias("value"), F.lit(1).alias("n"), F.lit(None).cast("string").alias("label")))
+
+
+def tally(*parts: Column) -> Column:
+    """array<struct<value, n0, label0, n1, label1, ...>>: for each value of the parts, arrays of struct<value, n, label>, its sum of n in each of them and its first label there, sorted by value. All are sorted once and equal neighbours are summed, so cost grows as that of sorting."""
+
+    def tagged(part: Column, k: int) -> Column:
+        return F.transform(part, lambda x, i: F.struct(x["value"].alias("value"), F.lit(k).alias("tag"), i.alias("at"), x["n"].alias("n"), x["label"].alias("label")))
+
+    def tag(k: int) -> Callable[[Column], Column]:
+        return lambda x: x["tag"] == k
+
+    def runs(c: Column) -> Column:
+        every = F.when(F.size(c) > 0, F.sequence(F.lit(0), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(every, lambda i: ~F.get(c, i)["value"].eqNullSafe(F.get(c, i - 1)["value"]))
+        return let(summed, c=c, first=first)
+
+    def summed(c: Column, first: Column) -> Column:
+        def one(start: Column, i: Column) -> Column:
+            run = F.slice(c, start + 1, F.coalesce(F.get(first, i + 1), F.size(c)) - start)
+            fields = []
+            for k in range(len(parts)):
+                own = F.filter(run, tag(k))
+                fields += [F.aggregate(own, F.lit(0), lambda total, x: total + x["n"]).alias(f"n{k}"), F.get(own, F.lit(0))["label"].alias(f"label{k}")]
+            return F.struct(F.get(c, start)["value"].alias("value"), *fields)
+
+        return F.transform(first, one)
+
+    return let(runs, c=F.sort_array(F.concat(*(tagged(p, k) for k, p in enumerate(parts)))))
 
 
 def more_in(a: Column, b: Column) -> Column:
     """Sorted distinct elements that a holds more often than b."""
-    return F.array_sort(F.filter(F.array_distinct(a), lambda x: times(a, x) > times(b, x)))
+    return F.when(a == b, no_text()).otherwise(F.transform(F.filter(tally(ones(a), ones(b)), lambda x: x["n0"] > x["n1"]), lambda x: x["value"]))
 
 
 def multiset_minus(a: Column, b: Column) -> Column:
     """Sorted elements of a, each as many times as it is in a beyond b."""
-    left = F.transform(F.array_distinct(a), lambda x: F.array_repeat(x, F.greatest(F.lit(0), times(a, x) - times(b, x))))
-    return F.array_sort(F.flatten(left))
+    left = F.transform(F.filter(tally(ones(a), ones(b)), lambda x: x["n0"] > x["n1"]), lambda x: F.array_repeat(x["value"], x["n0"] - x["n1"]))
+    return F.when(a == b, no_text()).otherwise(F.flatten(left))
 
 
 def messages(a: Column, say: Callable[[Column], Column]) -> Column:

@@ -26,7 +26,8 @@ def check(source: DataFrame, target: DataFrame, langs: DataFrame, glossary: list
     rows = K.side_by_side(source, target.join(F.broadcast(asked), "lang", "left_semi"), asked)
     read = O.read_once(rows, glossary)
     if counts is not None:
-        read = read.observe(counts, *(F.coalesce(F.sum(F.size(F.filter("found", lambda f, k=k: f["kind"] == k))), F.lit(0)).alias(k) for k in KINDS[:5]))
+        n = lambda kind: F.coalesce(F.sum(F.size(F.filter("found", lambda f: f["kind"] == kind))), F.lit(0)).alias(kind)
+        read = read.observe(counts, *map(n, KINDS[:5]))
     read = staged(read, "checked")
     pairs = read.where("src IS NOT NULL AND tgt IS NOT NULL")
     none, columns = F.lit(None).cast("string"), [*by, "kind", "key", "ord", "seq", "rule", "text"]

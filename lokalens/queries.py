@@ -5,9 +5,13 @@ The tables hold no translations, so pairs are derived from them by expressions t
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +28,9 @@ from .plans import check as C
 from .plans import incremental as P
 from .plans import projects as R
 from .plans import runs as U
-from .sources import decode, sinks, stores
+from .sources import archives, decode, sinks, stores
 from .sources import segments as S
+from .shipping import ship
 from .staging import shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -716,3 +721,29 @@ def paths_and_addresses(spark, sf_dir):
     key = pick(F.concat(F.lit(" key-"), id_, F.lit("\n")), "a b", "  ", "~", "clé", "a\tb")
     a, b = A.service_url(url), A.header_value(key)
     return part.select(F.col("p_partkey").alias("id"), A.normal(path).alias("normal"), A.relative(path, root).alias("seen"), a["url"].alias("url"), b["value"].alias("header"), b["refused"].isNotNull().alias("refused"))
+
+
+@query("""WITH p AS (SELECT CAST(p_partkey % 40 AS VARCHAR) AS path, p_partkey % 40 AS a, 'p' || p_partkey AS key, p_name, lang FROM part, (VALUES ('de'), ('fr')) t(lang))
+SELECT path, '/app/locales/' || lang || '.json' AS target, key, lang || ' ' || p_name AS value, '' AS refused FROM p WHERE a >= 3
+UNION ALL SELECT DISTINCT path, '', '', '', CASE a WHEN 0 THEN 'outside' WHEN 1 THEN 'size' ELSE 'damaged' END FROM p WHERE a < 3""")
+def unpacked_archives(spark, sf_dir):
+    """Forty archives made of parts: members by the file they belong to; one leads outside, one grows beyond its bound, one is cut off."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        n, buffer = int(rows["n"].iloc[0]), io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            for lang in ("de", "fr"):
+                z.writestr(("../" if n == 0 else "") + f"{lang}.json", json.dumps({k: f"{lang} {v}" for k, v in zip(rows["key"], rows["p_name"], strict=True)}))
+            if n == 1:
+                z.writestr("es.json", b" " * (2 << 20))
+        content = buffer.getvalue()
+        return pd.DataFrame({"path": [str(n)], "content": [content[: len(content) // 2] if n == 2 else content]})
+
+    part = _table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("n"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), "p_name")
+    ship(spark)
+    found = staged(archives.members(part.groupBy("n").applyInPandas(pack, "path string, content binary"), member_bytes=1 << 20), "members")
+    target = archives.member_target(F.col("name"), F.lit("/app/locales/en.json"), F.lit(""), F.lit("en"))
+    texts = found.where("error IS NULL").select(F.concat_ws("|", "path", target).alias("path"), "content")
+    rows = S.flatten(decode.texts(texts)).select(F.split("path", r"\|")[0].alias("path"), F.split("path", r"\|")[1].alias("target"), "key", "value", F.lit("").alias("refused"))
+    why = F.when(F.col("error").contains("outside"), "outside").when(F.col("error").contains("larger"), "size").otherwise("damaged")
+    return rows.unionByName(found.where("error IS NOT NULL").select("path", *(F.lit("").alias(c) for c in ("target", "key", "value")), why.alias("refused")))
