@@ -26,7 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is text that no parser reads.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 #: Never part of an article's text.
-DROPPED = frozenset("script style title head noscript template iframe object embed svg math canvas audio video nav footer header aside form button select option input textarea fieldset dialog menu noembed noframes xmp plaintext".split())
+DROPPED = frozenset("script style title head noscript template iframe object embed svg canvas audio video nav footer header aside form button select option input textarea fieldset dialog menu noembed noframes xmp plaintext".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body blockquote center dd details div dl figure html li main ol section table tbody td tr ul".split())
 PARAGRAPHS = frozenset("p pre td blockquote h1 h2 h3 h4 h5 h6 li dd dt figcaption".split())
@@ -37,7 +37,16 @@ BAD_NAMES = frozenset(
     "comment comments commentlist disqus respond replies reply discussion share sharing social follow related recommended recommendations more-links widget widgets toolbar pagination pager paging skip search searchbox form tags tagcloud rating outbrain taboola complementary contentinfo dialog".split()
 )
 #: Of these, such as call a block boilerplate as part of a longer name too; others have harmless meanings there (legal-news, related-work).
-BAD_PARTS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo banner sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer bottombar cookie cookies gdpr popup modal newsletter comment comments commentlist disqus widget widgets toolbar pagination pager outbrain taboola".split())
+BAD_PARTS = frozenset("adverts advert advertisement advertising adsense sponsor sponsored sidebar sidebars menu menus nav navbar breadcrumb breadcrumbs masthead topbar footer bottombar gdpr popup modal newsletter comments commentlist disqus widget widgets toolbar pagination pager outbrain taboola".split())
+#: Such as do so only where the rest of the name says nothing of its own (cookie-banner, ad-slot-2, but not cookie-recipe or ad-hoc).
+BAD_WITH_PLAIN = frozenset("ad ads adv promo banner banners navigation cookie cookies comment notice notices consent".split())
+PLAIN = frozenset("area bar block body bottom box center container content fixed footer global group header holder info inner item items layer left link links list main message middle module notification outer overlay page panel policy popup position primary right row secondary section site slot sticky strip text thread title top unit wrap wrapper zone".split())
+#: Names of parts that an article has too: a block of such a name stays where it starts with a heading and goes on in prose.
+SECTIONS = frozenset("copyright discussion disclaimer follow header legal navigation rating recommended recommendations related search share sharing skip social tags".split())
+#: What readers wrote is called so, whatever the tag.
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Tags whose names are judged: blocks that hold others. Headings, paragraphs and what stands in a line are not.
+NAMED = CONTAINERS | frozenset("aside form nav header footer section address details summary hgroup center th caption fieldset menu".split())
 GOOD_NAMES = frozenset("article content main post story entry body text page".split())
 #: Opening one of these closes an open one of its kind: what may end it, and what it doesn't reach beyond.
 CLOSES = {
@@ -55,17 +64,28 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("tag", "bad", "kept", "name_score", "parent", "children", "score", "length", "linked", "links", "paragraphs", "commas")
+    __slots__ = ("tag", "bad", "hidden", "kept", "name_score", "parent", "children", "score", "length", "linked", "links", "paragraphs", "commas")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False, name_score: int = 0):
-        self.tag, self.parent, self.bad, self.name_score = tag, parent, bad, name_score
+    def __init__(self, tag: str, parent: Node | None, bad: str = "", hidden: bool = False, name_score: int = 0):
+        self.tag, self.parent, self.bad, self.hidden, self.name_score = tag, parent, bad, hidden, name_score
         self.children: list[Node | str] = []
         self.score, self.kept = 0.0, False
         self.length = self.linked = self.links = self.paragraphs = self.commas = 0
 
 
-def _names(raw: str) -> tuple[bool, int]:
-    bad, good = False, 0
+def _bad_name(whole: str, parts: list[str]) -> str:
+    """Which name calls a block boilerplate, if any does."""
+    if whole in BAD_NAMES:
+        return whole
+    for p in parts:
+        if p in BAD_PARTS or p in BAD_WITH_PLAIN and all(x in PLAIN or x in BAD_NAMES or x.isdigit() or not x for x in parts):
+            return p
+    return ""
+
+
+def _names(raw: str) -> tuple[str, bool, int]:
+    """The name that calls a tag boilerplate, whether it is hidden, and what its names add to its score."""
+    bad, hidden, good = "", False, 0
     for m in _ATTR.finditer(raw):
         name = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
@@ -74,11 +94,11 @@ def _names(raw: str) -> tuple[bool, int]:
                 parts = re.split(r"[-_:]+", whole)
                 if whole in GOOD_NAMES or parts[-1] in ("content", "body", "article", "text") and parts[0] not in BAD_NAMES:
                     good = 25
-                elif whole in BAD_NAMES or any(p in BAD_PARTS for p in parts):
-                    bad = True
+                elif found := _bad_name(whole, parts):
+                    bad = found if bad not in READERS else bad
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            bad = True
-    return bad, good
+            hidden = True
+    return bad, hidden, good
 
 
 def parse(page: str) -> Node:
@@ -134,7 +154,7 @@ def parse(page: str) -> Node:
                 while node.tag != "head":
                     node = node.parent
                 at = leave(at, node.parent)
-            child = Node(tag, at, *(_names(m[3]) if m[3] and not m[3].isspace() else (False, 0)))
+            child = Node(tag, at, *(_names(m[3]) if m[3] and not m[3].isspace() else ("", False, 0)))
             at.children.append(child)
             if tag in RAW and not (m[3] or "").endswith("/"):
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
@@ -148,16 +168,19 @@ def parse(page: str) -> Node:
 
 
 def _keep_wrappers(root: Node) -> None:
-    """Marks forms around more than half of the page's paragraphs, and headers of articles that hold a heading: they are not what their tags say."""
+    """Marks what is not as its tag or name says: forms and fieldsets around more than half of the page's paragraphs, headers of articles that hold a heading, and sections of an article's own (SECTIONS)."""
     order, stack = [], [(root, False)]
     while stack:
         node, within = stack.pop()
         order.append(node)
+        tags = [c.tag for c in node.children if isinstance(c, Node)]
         if node.tag == "header" and within:
-            node.kept = any(isinstance(c, Node) and c.tag in HEADINGS for c in node.children) or any(isinstance(c, Node) and c.tag == "hgroup" for c in node.children)
+            node.kept = any(t in HEADINGS or t == "hgroup" for t in tags)
+        elif node.bad in SECTIONS and node.tag in ("section", "div"):
+            node.kept = bool(tags) and tags[0] in HEADINGS and "p" in tags
         within = within or node.tag == "article"
         stack.extend((c, within) for c in node.children if isinstance(c, Node))
-    if not any(node.tag == "form" for node in order):
+    if not any(node.tag in ("form", "fieldset") for node in order):
         return
     held: dict[int, int] = {}
     for node in reversed(order):
@@ -166,7 +189,7 @@ def _keep_wrappers(root: Node) -> None:
             size += sum(len(_SPACE.sub(" ", c)) for c in node.children if isinstance(c, str))
         held[id(node)] = size
     for node in order:
-        node.kept = node.kept or node.tag == "form" and not node.bad and 2 * held[id(node)] > held[id(root)]
+        node.kept = node.kept or node.tag in ("form", "fieldset") and not node.bad and 2 * held[id(node)] > held[id(root)]
 
 
 def _clean(text: str) -> str:
@@ -174,7 +197,11 @@ def _clean(text: str) -> str:
 
 
 def _dropped(node: Node) -> bool:
-    return node.tag in DROPPED and not node.kept or node.bad and node.tag not in ("body", "html", "article", "main")
+    if node.tag in ("body", "html", "main"):
+        return False
+    if node.tag == "article":
+        return node.bad in READERS or node.hidden
+    return not node.kept and (node.tag in DROPPED or bool(node.bad) and node.tag in NAMED) or node.hidden
 
 
 def _walk(root: Node) -> tuple[list[Node], list[Node]]:
@@ -259,10 +286,8 @@ def best_containers(root: Node) -> list[Node | str]:
 
     rank = {id(x): i for i, x in enumerate(order)}
     best = max({id(x): x for x in scored}.values(), key=lambda x: (final(x), -rank[id(x)]))
-    if best.parent is None or best.tag in ("article", "main", "body"):
-        if best.parent is None or best.tag != "article":
-            return [best]
-        return [c for c in _beside(best.parent, {id(best)}) if isinstance(c, Node) and c.tag == "article"]
+    if best.parent is None or best.tag in ("main", "body"):
+        return [best]
     inner, levels, node = {id(best)}, [best.parent], best.parent
     while node.parent is not None and not _dropped(node):
         path = id(node)
@@ -281,6 +306,17 @@ def best_containers(root: Node) -> list[Node | str]:
     return [c for part in reversed(before) for c in part] + [best] + after
 
 
+def _headed(node: Node) -> bool:
+    """Whether a list stands right under a heading."""
+    before = None
+    for c in node.parent.children:
+        if c is node:
+            break
+        if isinstance(c, Node) or not c.isspace():
+            before = c
+    return node.tag in ("ul", "ol", "dl") and isinstance(before, Node) and before.tag in HEADINGS
+
+
 def _blocks(node: Node, out: list[list[str]]) -> None:
     """Texts of the blocks under node: a block's own text ends where another block begins or ends."""
     stack: list[tuple[Node | str, bool]] = [(node, False)]
@@ -294,7 +330,7 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             out[-1].append(" ")
         elif not _dropped(x):
             if x.tag in BLOCK:
-                if x.tag in ("ul", "ol", "dl", "table", "div", "section") and x is not node and x.length and _menu(x):
+                if x.tag in ("ul", "ol", "dl", "table", "div", "section") and x is not node and x.length and _menu(x) and not _headed(x):
                     continue
                 out.append([])
                 stack.append((x, True))
@@ -311,8 +347,8 @@ def main_text(page: str | None) -> str:
         stack, named = [root], False
         while stack:
             node = stack.pop()
-            named |= node.bad
-            node.bad, node.score, node.length, node.linked, node.links, node.paragraphs, node.commas = False, 0.0, 0, 0, 0, 0, 0
+            named |= bool(node.bad) or node.hidden
+            node.bad, node.hidden, node.score, node.length, node.linked, node.links, node.paragraphs, node.commas = "", False, 0.0, 0, 0, 0, 0, 0
             stack.extend(c for c in node.children if isinstance(c, Node))
         text = _text_of(root) if named else ""
     return text

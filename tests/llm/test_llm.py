@@ -246,6 +246,28 @@ def test_time_of_broken_pages():
         assert time.process_time() - began < 5
 
 
+LONG = "This is a paragraph of the article, with commas, words and more words, so that it scores. " * 4
+ART = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize("page, texts", [
+    (f"<article><h1>T</h1>{ART}<section id=discussion><h2>Discussion</h2><p>We found it.</p></section></article>", ["T", LONG.strip(), "Discussion", "We found it."]),
+    ("<article>" + "".join(f"<h2 id={x}>{x}</h2>{ART}" for x in ("search", "related", "copyright", "navigation-in-bees")) + "</article>", [x for n in ("search", "related", "copyright", "navigation-in-bees") for x in (n, LONG.strip())]),
+    (f"<article>{ART}<p class=ad-hoc>Made so.</p><div class=cookie-recipe><p>Take flour.</p></div></article>", [LONG.strip(), "Made so.", "Take flour."]),
+    (f"<h1 class=banner>Title</h1><div>{ART}{ART}</div>", ["Title", LONG.strip(), LONG.strip()]),
+    (f"<main><h1>Title</h1><article>{ART}</article></main>", ["Title", LONG.strip()]),
+    (f"<article>{ART}</article><div><p>One more paragraph, beside it.</p></div>", [LONG.strip(), "One more paragraph, beside it."]),
+    (f"<fieldset><div>{ART}{ART}</div></fieldset>", [LONG.strip(), LONG.strip()]),
+    (f"<article>{ART}<p>Then <math><mi>x</mi></math> holds.</p></article>", [LONG.strip(), "Then x holds."]),
+    (f"<article>{ART}<h2>See</h2><ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in "abc") + "</ul></article>", [LONG.strip(), "See", "a", "b", "c"]),
+    (f"<article>{ART}</article><article class=comment><p>A reader says so, at length, and so on.</p></article>", [LONG.strip()]),
+    (f"<article>{ART}<div class=comments><p>Readers.</p></div></article><div class='cookie-banner'><p>Cookies.</p></div><div class='ad-slot-1'>Buy</div><section class=related><a href=1>x</a></section>", [LONG.strip()]),
+    (f"<article>{ART}</article><article hidden><p>{LONG}</p></article>", [LONG.strip()]),
+])
+def test_html_names_never_outweigh_the_text(page, texts):
+    assert html_extract.main_text(page) == "\n\n".join(texts)
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article><p>{PARA}</p></article>", 5), (1, "u", f"<article><p>{PARA}</p></article>", 5), (None, None, None, None)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

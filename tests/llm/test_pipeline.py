@@ -68,3 +68,11 @@ def test_long_foreign_text_goes(spark):
     more = docs.unionByName(spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in rows], docs.schema))
     kept = {r["doc_id"] for r in corpus_pipeline.keep_determined(spark, more, DATA).collect()}
     assert not {-1, -2} & kept and -3 in kept
+
+
+def test_columns_of_any_name_come_through(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "a", 1, 7, "x"), (2, text, "en", "a", 1, 8, "y"), (3, "other words altogether stand here in this text", "en", "a", 1, 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row int, ROW_ string")
+    kept = corpus_pipeline.keep_one_of_group(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
