@@ -19,8 +19,6 @@ MIN_LANGUAGE_SCORE = 0.3
 FEW_WORDS, MIN_KNOWN = 20, 0.2
 #: Chunks that a worker remembers while packing; it lives through the other stages of later runs too, so it is smaller than where packing runs alone.
 PACKING_MEMO = 400_000
-#: Column of a row's number while near copies are told apart.
-ROW = "row_of_stage"
 
 
 def keep_determined(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +37,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, of smallest id and of null only if all are, of each group of near copies. Of equal ids any row may stay. Rows are told apart by a number of their own, as ids may be null or repeat; texts without words stay."""
-    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    linked = materialize(jaccard.jaccard_groups(rows.select(F.col(ROW).alias("doc_id"), "text")).where("doc_id <> component_id"), "groups")
-    members = linked.select(F.col("doc_id").alias(ROW), "component_id").unionByName(linked.select(F.col("component_id").alias(ROW), "component_id").distinct())
-    named = members.join(rows.select(ROW, "doc_id"), ROW)
-    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)).alias("least"))
-    gone = members.select(ROW).join(least.select(f"least.{ROW}"), ROW, "left_anti")
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    row = "row"
+    while row.lower() in (c.lower() for c in docs.columns):  # a name that no column has
+        row += "_"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    linked = materialize(jaccard.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text")).where("doc_id <> component_id"), "groups")
+    members = linked.select(F.col("doc_id").alias(row), "component_id").unionByName(linked.select(F.col("component_id").alias(row), "component_id").distinct())
+    named = members.join(rows.select(row, "doc_id"), row)
+    least = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row)).alias("least"))
+    gone = members.select(row).join(least.select(f"least.{row}"), row, "left_anti")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
