@@ -72,12 +72,13 @@ CURRENCY = [
     ("CHF", "CHF"), ("INR", "INR"), ("KRW", "KRW"), ("TRY", "TRY"), ("CAD", "CAD"), ("AUD", "AUD"),
 ]
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+#: (id, title, explanation) of what a report can hold. The ids are fixed values; the texts are this library's.
 SARIF_RULES = [
-    ("missing-key", "Key missing from a locale", "A key present in the source file has no translation in this locale."),
-    ("placeholder", "Placeholder lost or altered", "A placeholder ({name}, %s, %d, <b>…) present in the source is missing or changed type in the translation — this breaks formatting at runtime."),
-    ("translation-fault", "Translation fault", "A deterministic defect in the translation: dropped glossary term, plural form missing for the language's CLDR rules, number or currency drift, broken entity, ICU syntax."),
-    ("translation-warning", "Translation warning", "A soft signal worth a look: text left in the source language, register drift, cross-key inconsistency, or a translation long enough to overflow the UI."),
-    ("extra-key", "Key not in the source", "A key exists in this locale but not in the source file — usually a leftover after a rename or deletion."),
+    ("missing-key", "Not translated", "The language has no value under a key that its source file defines."),
+    ("placeholder", "Different placeholders", "Source and translation do not name the same placeholders, so filling them in will fail or show them raw."),
+    ("translation-fault", "Broken translation", "The value contradicts its source in a way that can be proven: other numbers or currencies, lost tags or terms, plural forms that the language needs, damaged escapes or messages."),
+    ("translation-warning", "Doubtful translation", "The value may be right but should be read by a person: it looks untranslated, is much longer than usual, mixes forms of address, or differs from how the same text is translated elsewhere."),
+    ("extra-key", "Unknown key", "The translation defines a key that its source file does not have."),
 ]
 
 

@@ -64,7 +64,8 @@ def advanced_global(source: DataFrame, before: DataFrame, by_lang: DataFrame, sk
 
 
 def settings(tone: str = "", icu: bool = False, keep: list[str] | str = (), model: str = "", app_context: str = "") -> dict:
-    """The settings a translation was made under, in one form."""
+    """The settings a translation was made under, in one form; a neutral tone is none."""
+    tone = "" if (tone or "").strip() == "neutral" else tone
     terms = keep.split(",") if isinstance(keep, str) else keep
     return {"tone": (tone or "").strip(), "icu": bool(icu), "keep": sorted(t.strip() for t in terms or [] if t and t.strip()), "model": (model or "").strip(), "app_context": (app_context or "").strip()}
 

@@ -88,3 +88,8 @@ def test_unverified_settings_and_memory(spark):
     memory = M.recorded(spark.createDataFrame([], MEMORY), source, segments(spark, {"a": "Sichern"}, "de"), of)
     assert [(r["lang"], r["key"], r["translated"]) for r in P.reused(source, found, memory, of).collect()] == [("de", "c", "Sichern")]
     assert P.final_settings({"tone": "x"}, of, True) == {"tone": "x"} and P.final_settings({"tone": "x"}, of, False) == of and P.final_settings(None, of, True) == of
+
+
+def test_a_neutral_tone_is_none():
+    assert I.settings(tone="neutral") == I.settings() and I.settings(tone=" formal ")["tone"] == "formal"
+    assert not I.settings_changed(I.settings(), I.settings(tone="neutral"))
