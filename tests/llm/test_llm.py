@@ -100,6 +100,58 @@ def test_toxicity_of_odd_texts(spark, odd):
     assert toxicity.fit(odd.limit(0), spark.createDataFrame([(900, 1)], "doc_id long, toxic int")).bias == -5.0
 
 
+def test_toxicity_features_by_brute_force():
+    """Words, neighbours, and pairs with one or two words between, each a feature of its kind."""
+    text = "Bad, bad WORDS here; (bad) ... words"
+    words = ["bad", "bad", "words", "here", "bad", "", "words"]
+    pairs = lambda gap: {(words[i], words[i + gap]) for i in range(len(words) - gap)}
+    got = toxicity.Features().of(text.encode())
+    assert len(got) == 7 + 6 + 5 + 4
+    for kind, want in enumerate((set(words), pairs(1), pairs(2), pairs(3))):
+        assert len(set(got[got & 3 == kind])) == len(want)
+    assert set(toxicity.Features().of(b"here bad, bad words")) >= set(toxicity.Features().of(b"BAD words"))
+    assert not set(toxicity.Features().of(b"bad words")[2:]) & set(toxicity.Features().of(b"words bad")[2:])
+    assert len(toxicity.Features().of(b"")) == 0
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(200)] + [(500, " ".join(f"v{j}" for j in range(9000)))], DOCS)
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(500, 1)], "doc_id long, toxic int")
+    whole, weight = toxicity.sample_of(docs, known, 50, 150)
+    assert weight == 1.0 and whole.count() >= 195
+    few, _ = toxicity.sample_of(docs, known, 50, 150, 200 * 80)
+    used = {r["toxic"]: (r["n"], r["bytes"]) for r in few.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.octet_length("features")).alias("bytes")).collect()}
+    assert used[True][1] <= 4000 and used[False][1] <= 12000 and used[True][0] >= 8 and used[False][0] >= 30
+    assert few.where("doc_id = 500").count() == 0
+
+
+def test_toxicity_settings_are_tuned_on_folds(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join([*(f"w{rnd.randint(0, 50)}" for _ in range(10)), *(["vile"] if i % 4 == 0 else [])])) for i in range(200)]
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    off, on = toxicity.Settings(l1_word=1e9, l1_pair=1e9), toxicity.Settings(l1_word=1.0, l1_pair=9.0)
+    got = toxicity.tune(spark.createDataFrame(rows, DOCS), known, [off, on], 2)
+    assert [by for _, by in got] == [on, off] and got[0][0] > 0.95
+    z, y = np.array([3.0, 2.0, 2.0, 1.0]), np.array([1.0, 0.0, 1.0, 0.0])
+    assert toxicity.average_precision(z, y) == (1 + 2 / 3) / 2
+
+
+def test_toxicity_query_holds_labels_out(spark, tmp_path):
+    """Labels of held-out rows change nothing."""
+    rows = [(i, f"w{i % 7} {'vile' if i % 3 == 0 else 'kind'} words") for i in range(300)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(300)}
+    got = []
+    for k, wrong in enumerate((0, 1)):
+        at = tmp_path / str(k)
+        at.mkdir()
+        (at / "documents.parquet").symlink_to(tmp_path / "documents.parquet")
+        spark.createDataFrame([(i, int(i % 3 == 0) ^ (wrong and held[i])) for i in range(300)], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+        got.append({r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in toxicity.op2_toxicity(spark, str(at)).collect()})
+    assert got[0] == got[1] and {i: v[0] for i, v in got[0].items()} == held
+    assert all(v[2] == (v[1] >= 0.5) == (i % 3 == 0) for i, v in got[0].items())
+
+
 def test_cut_is_best_by_brute_force():
     rnd = np.random.RandomState(3)
     for _ in range(50):
@@ -110,21 +162,21 @@ def test_cut_is_best_by_brute_force():
 
 def test_ftrl_is_the_published_update():
     """Against the per-coordinate update written out, coordinate by coordinate."""
-    rnd = random.Random(5)
+    rnd, by = random.Random(5), toxicity.SETTINGS
     docs = [np.array(sorted(rnd.sample(range(12), 4))) for _ in range(40)]
     labels, weight, l1 = [float(rnd.random() < 0.4) for _ in docs], [rnd.choice([1.0, 2.0]) for _ in docs], np.array([0.3] * 12)
     z, n, rates = [0.0] * 13, [0.0] * 13, [*l1, 0.0]
 
     def w(i):
-        return 0.0 if abs(z[i]) <= rates[i] else -(z[i] - np.sign(z[i]) * rates[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+        return 0.0 if abs(z[i]) <= rates[i] else -(z[i] - np.sign(z[i]) * rates[i]) / ((by.beta + n[i] ** 0.5) / by.alpha + by.l2)
 
-    for _ in range(toxicity.EPOCHS):
+    for _ in range(by.epochs):
         for y, s, doc in zip(labels, weight, docs, strict=True):
             own = [*doc.tolist(), 12]
             now = {i: w(i) for i in own}
             g = s * (1 / (1 + np.exp(-sum(now.values()))) - y)
             for i in own:
-                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * now[i]
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / by.alpha * now[i]
                 n[i] += g * g
     assert np.allclose(toxicity.ftrl(np.array(labels), np.array(weight), docs, l1), [w(i) for i in range(13)])
 
