@@ -1,7 +1,9 @@
 """Benchmark decontamination: n-gram seeds lead from documents to test items, Smith-Waterman alignment scores what they share.
 
-Every n-gram of an item is a seed, however frequent, so that no item is beyond search. What meets by
-chance is dropped before it is aligned, by an upper bound of its score: the longest common subsequence.
+A seed is a run of words, or one with a word left open in it. Each item is searched for by its rarest
+seeds, ranked by how many items share them, as many as reach over most of its words: what items have in
+common leads to none of them, and no item is beyond search. What meets by chance is dropped before it is
+aligned, by an upper bound of its score: the longest common subsequence.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from .common import WordHash, ids_of, map_arrow, mix, slices, table, texts_of
 
 #: Words of a seed; an item of fewer words is searched for as a whole.
 SEED_WORDS = 3
+#: An item's seeds are the rarest that together reach over this share of its words, and all that no more than RARE_ITEMS items share.
+SEEDED, RARE_ITEMS = 2 / 3, 4
 #: Alignment: a match, a mismatch, a gap; a test item counts as leaked from this share of the score it has with itself.
 MATCH, MISMATCH, GAP, MIN_SCORE = 2, -1, -1, 0.5
 #: Bytes of item texts sent to the executors at once; more items are searched in several passes.
@@ -83,47 +87,60 @@ def shared_words(item: list[int], text: list[int]) -> int:
     return len(item) - open_.bit_count()
 
 
+def shapes_of(n: int, size: int) -> list[tuple[int, ...]]:
+    """Where the words of a seed stand, for items of `size` words: n in a row, or n of n + 1 with one inside left open; all words of an item that has fewer."""
+    n = min(n, size)
+    return [tuple(range(n)), *(tuple(o for o in range(n + 1) if o != left) for left in range(1, n) if n < size)]
+
+
 class Items:
     """The seeds of some test items, by sorted hash, and the items' words."""
 
     def __init__(self, ids: list[int | None], texts: list[bytes], seed_words: int):
         words = Words()
         blank = words[b""]
-        self.ids, self.words, self.n = ids, [words.of(t.split()) for t in texts], seed_words
-        seeds, item, low, high, sizes = [], [], [], [], set()
-        for k, w in enumerate(self.words):
-            if (w == blank).all():  # nothing but punctuation is no text
-                continue
-            n = min(self.n, len(w))
-            sizes.add(n)
-            own, first, back = np.unique(self.hashes(w, n), return_index=True, return_inverse=True)
-            last = np.zeros(len(own), np.int64)
-            np.maximum.at(last, back, np.arange(len(back)))
-            seeds.append(own)
-            item.append(np.full(len(own), k))
-            low.append(first)
-            high.append(last)
+        self.ids, self.words = ids, [words.of(t.split()) for t in texts]
+        # nothing but punctuation is no text
+        placed = [(k, shape, self.hashes(w, shape)) for k, w in enumerate(self.words) if not (w == blank).all() for shape in shapes_of(seed_words, len(w))]
+        self.shapes = sorted({shape for _, shape, _ in placed})
+        own = [np.unique(h, return_index=True, return_inverse=True) for *_, h in placed]
         whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+        hashes, in_items = np.unique(whole([seeds for seeds, *_ in own], np.uint64), return_counts=True)
+        shared = [in_items[np.searchsorted(hashes, seeds)] for seeds, *_ in own]
+        level = [np.full(len(w), np.iinfo(np.int64).max) for w in self.words]
+        for (k, shape, h), (*_, back), count in zip(placed, own, shared, strict=True):
+            for o in shape:
+                np.minimum(level[k][o : o + len(h)], count[back], out=level[k][o : o + len(h)])
+        most = [max(RARE_ITEMS, int(np.sort(x)[int(np.ceil(SEEDED * len(x))) - 1])) if len(x) else 0 for x in level]
+        seeds, item, low, high = [], [], [], []
+        for (k, *_), (found, first, back), count in zip(placed, own, shared, strict=True):
+            last = np.zeros(len(found), np.int64)
+            np.maximum.at(last, back, np.arange(len(back)))
+            rare = count <= most[k]
+            seeds.append(found[rare])
+            item.append(np.full(rare.sum(), k))
+            low.append(first[rare])
+            high.append(last[rare])
         every = whole(seeds, np.uint64)
         order = np.argsort(every, kind="stable")
-        self.seeds, self.sizes = every[order], sorted(sizes)
+        self.seeds = every[order]
         #: where in its item a seed stands first and last
         self.item, self.low, self.high = (whole(x, np.int64)[order] for x in (item, low, high))
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.seeds & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def hashes(self, w: np.ndarray, n: int) -> np.ndarray:
-        k = max(0, len(w) - n + 1)
-        out = np.full(k, n, np.uint64)
-        for i in range(n):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + w[i : i + k]
+    def hashes(self, w: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+        k = max(0, len(w) - shape[-1])
+        out = np.full(k, sum(1 << min(o, 63) for o in shape) & (1 << 63) - 1, np.uint64)
+        for o in shape:
+            out = out * np.uint64(0x9E3779B97F4A7C15) + w[o : o + k]
         return mix(out)
 
     def candidates(self, w: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, from, to): the windows of a document to align, one for each cluster of an item's seeds on near diagonals."""
         found = []
-        for n in self.sizes:
-            h = self.hashes(w, n)
+        for shape in self.shapes:
+            h = self.hashes(w, shape)
             at = np.flatnonzero(self.maybe[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
             if not len(at):
                 continue
@@ -163,10 +180,12 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, seed_
     Words are the text's ASCII-white-space-free chunks in lower case without ASCII punctuation at the
     ends. score is the best local alignment with the item over the item's own (1: a whole copy); start
     and end are the half-open span of words it covers. A document and an item meet once, with the best
-    of their windows. They meet where they share seed_words words in a row, whatever words, and a whole
-    item of fewer. Null and empty texts and items match nothing, nor do items without a word but
-    punctuation; a null id stays null. Repeated rows give repeated results. Items are sent to the
-    executors in passes of bytes_per_pass.
+    of their windows; of windows that score alike the first counts. They meet where they share one of the
+    item's rarest seeds of seed_words words (see Items), and a whole item of fewer. How rare a seed is, is counted
+    over the items of a pass, which are sent to the executors: bytes_per_pass of them at a time. Null and empty texts
+    and items match nothing, nor do items without a word but punctuation; a null id stays null. Repeated rows give
+    repeated results; long texts are searched whole; no documents or no items, no rows; other columns are ignored,
+    whatever their names.
     """
     out = None
     for rows in item_passes(items, bytes_per_pass):

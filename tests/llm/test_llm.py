@@ -236,6 +236,47 @@ def test_leaks_of_frequent_words(spark):
     assert found([(1, "two one - !!! ... of the"), (2, f"{noise(3)} One, two. {noise(2)}"), (3, "of the " * 5000)]) == [(2, 2), (3, 5)]
 
 
+def test_edited_copies_are_found():
+    """Of copies of which 10 to 40 % of the words are changed, cut or added, those whose alignment with the item reaches the score; against the alignment with the whole text."""
+    rnd = random.Random(14)
+    word = lambda: b"%d" % rnd.randrange(400)
+    texts = [b" ".join(word() for _ in range(rnd.choice((12, 20, 30, 45)))) for _ in range(60)]
+    items, words = decontam.Items(list(range(60)), texts, decontam.SEED_WORDS), decontam.Words()
+    for share, least in ((0.1, 1.0), (0.2, 1.0), (0.3, 0.98), (0.4, 0.9)):
+        leaked = found = 0
+        for k, t in enumerate(texts * 4):
+            copy = []
+            for w in t.split():
+                edit = rnd.choice("ccda") if rnd.random() < share else ""
+                copy += [] if edit == "d" else [word()] if edit == "c" else [w, word()] if edit == "a" else [w]
+            text = words.of([word() for _ in range(20)] + copy + [word() for _ in range(20)])
+            if decontam.align(items.words[k % 60], text)[0] / (decontam.MATCH * len(items.words[k % 60])) >= decontam.MIN_SCORE:
+                leaked += 1
+                found += k % 60 in decontam._matches(items, text, decontam.MIN_SCORE)
+        assert leaked > 20 and found >= least * leaked, (share, found, leaked)
+    third = [w if i % 3 else word() for i, w in enumerate(texts[0].split())]
+    assert 0 in decontam._matches(items, words.of(third), 0.4)
+
+
+def test_items_that_share_a_template(spark):
+    """A sentence that all items share leads to none of them; each is found by its own words, and items that are the template by the template."""
+    rnd = random.Random(15)
+    noise = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    template = "which of the following is right"
+    texts = [f"{template} {noise(18)}" for _ in range(300)]
+    items, words = decontam.Items(list(range(300)), [t.encode() for t in texts], 3), decontam.Words()
+    assert items.candidates(words.of(f"{noise(30)} {template} {noise(30)}".encode().split())) == []
+    for k in (0, 150, 299):
+        assert list(decontam._matches(items, words.of(f"{noise(9)} {texts[k]}".encode().split()), 0.5)) == [k]
+        assert list(decontam._matches(items, words.of(f"{noise(9)} {' '.join(texts[k].split()[:13])}".encode().split()), 0.5)) == [k]
+    same = decontam.Items(list(range(50)), [template.encode()] * 50, 3)
+    assert len(decontam._matches(same, words.of(template.encode().split()), 0.5)) == 50
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, template), (2, f"{noise(3)} {texts[7]}"), (2, f"{noise(3)} {texts[7]}")], DOCS)
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in decontam.leaks(docs, bench).collect()] == [(2, 7, 1.0)] * 2
+    assert decontam.leaks(docs.limit(0), bench).count() == 0
+
+
 def test_bound_is_longest_common_subsequence():
     rnd = random.Random(10)
     for _ in range(200):
