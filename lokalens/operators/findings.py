@@ -127,6 +127,17 @@ def inconsistent_terms(pairs: DataFrame, top: int = 30, longest: int = 60) -> Da
     return ranked.select(*by, "term", "n_keys", "variants", "keys", "rank", said.alias("msg"))
 
 
+def absent_terms(source: DataFrame, glossary: list[str]) -> DataFrame:
+    """(term): the glossary's terms that no string of the source holds, in either case, in the glossary's order; blank ones are none. One pass, whatever the number of terms."""
+    terms = list(dict.fromkeys(t.strip() for t in glossary if t and t.strip()))
+    if not terms:
+        return source.sparkSession.createDataFrame([], "term string")
+    text = F.lower(F.col("value"))
+    held = source.where("vtype = 'string'").agg(*(F.coalesce(F.bool_or(text.contains(t.lower())), F.lit(False)).alias(str(i)) for i, t in enumerate(terms)))
+    said = F.array(*(F.when(~F.col(str(i)), F.lit(t)) for i, t in enumerate(terms)))
+    return held.select(F.explode(F.array_compact(said)).alias("term"))
+
+
 def overflowing(pairs: DataFrame, top: int = 50) -> DataFrame:
     """([file,] lang, key, pct, typical, rank, msg): short sources whose shown text grew beyond what the language's does, most first."""
     by = group_of(pairs)

@@ -28,7 +28,7 @@ from .plans import check as C
 from .plans import incremental as P
 from .plans import projects as R
 from .plans import runs as U
-from .sources import archives, decode, sinks, stores
+from .sources import archives, decode, memory_table, sinks, stores
 from .sources import segments as S
 from .shipping import ship
 from .staging import shared_folder, staged
@@ -747,3 +747,33 @@ def unpacked_archives(spark, sf_dir):
     rows = S.flatten(decode.texts(texts)).select(F.split("path", r"\|")[0].alias("path"), F.split("path", r"\|")[1].alias("target"), "key", "value", F.lit("").alias("refused"))
     why = F.when(F.col("error").contains("outside"), "outside").when(F.col("error").contains("larger"), "size").otherwise("damaged")
     return rows.unionByName(found.where("error IS NOT NULL").select("path", *(F.lit("").alias(c) for c in ("target", "key", "value")), why.alias("refused")))
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, {_entry('text')} AS e FROM documents WHERE text IS NOT NULL),
+a AS (SELECT DISTINCT e, text FROM d WHERE doc_id % 3 <> 0), f AS (SELECT DISTINCT e, text FROM d WHERE doc_id % 2 = 0), n AS (SELECT DISTINCT e, text FROM d WHERE doc_id % 5 = 0)
+SELECT 'pair' AS what, e AS id, 'fr' AS lang, 'fr ' || text AS translated FROM f UNION ALL SELECT 'pair', e, 'de', 'neu ' || text FROM n
+UNION ALL SELECT 'pair', e, 'de', 'de ' || text FROM a WHERE e NOT IN (SELECT e FROM n)
+UNION ALL SELECT 'reused', CAST(doc_id AS VARCHAR), 'de', 'de ' || text FROM d WHERE e IN (SELECT e FROM a)
+UNION ALL SELECT 'count', 'entries_added', '', CAST(count(DISTINCT e) AS VARCHAR) FROM d WHERE (doc_id % 2 = 0 OR doc_id % 5 = 0) AND e NOT IN (SELECT e FROM a)
+UNION ALL SELECT 'count', 'pairs_added', '', CAST((SELECT count(*) FROM f) + (SELECT count(*) FROM n WHERE e NOT IN (SELECT e FROM a)) AS VARCHAR)
+UNION ALL SELECT 'count', 'pairs_changed', '', CAST(count(*) AS VARCHAR) FROM n WHERE e IN (SELECT e FROM a) UNION ALL SELECT 'count', 'pairs_same', '', '0'""")
+def memory_in_buckets(spark, sf_dir):
+    """Documents as strings of a project whose memory is a table: two runs record in it, and between them the next run looks up what it knows."""
+    name, of = f"memory_{uuid.uuid4().hex}", _SIGNATURE
+    memory_table.create(spark, name, digits=1, buckets=8)
+    source = _table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("key"), F.col("doc_id").alias("ord"), F.col("text").alias("value"), F.lit("string").alias("vtype"))
+    made = lambda lang, word, nth: source.where(nth).select(F.lit(lang).alias("lang"), "key", "ord", F.concat(F.lit(word), "value").alias("value"), "vtype")
+    memory_table.recorded(spark, name, source, made("de", "de ", "ord % 3 <> 0"), of)
+    langs = spark.createDataFrame([("de",), ("fr",)], "lang string")
+    known = memory_table.recalled(spark, name, source, langs, of)
+    counts = memory_table.recorded(spark, name, source, made("fr", "fr ", "ord % 2 = 0").unionByName(made("de", "neu ", "ord % 5 = 0")), of)
+    out = memory_table.pairs(spark, name).select(F.lit("pair").alias("what"), F.col("entry_id").alias("id"), "lang", "translated")
+    out = out.unionByName(known.select(F.lit("reused").alias("what"), F.col("key").alias("id"), "lang", "translated"))
+    return out.unionByName(spark.createDataFrame([("count", k, "", str(v)) for k, v in counts.items()], "what string, id string, lang string, translated string"))
+
+
+@query("""WITH t(term) AS (VALUES ('Plate'), ('STEEL'), ('hot r'), ('copper'), ('zz%q')) SELECT term FROM t WHERE NOT EXISTS (SELECT 1 FROM part WHERE contains(lower(p_name), lower(term)))""")
+def glossary_absent(spark, sf_dir):
+    """Terms that no source string holds, so that nothing kept them."""
+    source = _table(spark, sf_dir, "part").select(F.col("p_name").alias("value"), F.lit("string").alias("vtype"))
+    return O.absent_terms(source, ["Plate", " STEEL", "hot r", "copper", "", "zz%q"])
