@@ -136,3 +136,59 @@ def test_absent_terms_and_styles(spark):
     assert terms(source.limit(0), "x", "y") == ["x", "y"]
     texts = spark.createDataFrame([("flat", '{"a.b": "x", "c": [{}]}'), ("nested", '{"a": {"b": "x"}, "c.d": "y"}')], "path string, text string")
     assert {r["path"]: r["flat"] for r in documents.styles(S.flatten(texts), ["path"]).collect()} == {"flat": True, "nested": False}
+
+
+def test_a_memory_that_grows_is_dealt_to_more_buckets(spark, name, monkeypatch):
+    """No bucket outgrows its bound, counts and rows are those of a memory that was never dealt anew, and a stop before the end leaves the memory."""
+    monkeypatch.setattr(T, "BUCKET_BYTES", 800)
+    source, other = source_of(spark, 400), f"{name}_plain"
+    T.create(spark, other, digits=1, buckets=4)
+    runs = [[("de", f"k{i}", f"Text {i}") for i in range(lo, hi)] for lo, hi in ((0, 40), (20, 200), (0, 1))]
+    numbers = []
+    for made in runs:
+        counts = T.recorded(spark, name, source, strings(spark, made), OF)
+        with monkeypatch.context() as m:
+            m.setattr(T, "BUCKET_BYTES", 1 << 30)
+            assert T.recorded(spark, other, source, strings(spark, made), OF) == counts
+        assert rows(T.pairs(spark, name)) == rows(T.pairs(spark, other))
+        numbers.append(int(T._property(spark, name, T._BUCKETS)))
+        in_bucket = T.entries(spark, name).selectExpr(f"pmod(hash(entry_id), {numbers[-1]}) AS b", "length(source) + length(texts['de']) AS n").groupBy("b").sum("n")
+        assert max(r[1] for r in in_bucket.collect()) <= 800
+    assert 4 == numbers[0] < numbers[1] == numbers[2] and T._property(spark, other, T._BUCKETS) == "4"
+    langs = spark.createDataFrame([("de",)], "lang string")
+    assert rows(T.recalled(spark, name, source, langs, OF)) == rows(T.recalled(spark, other, source, langs, OF))
+    before = rows(T.pairs(spark, name))
+    assert T.vacuum(spark, name) > 0 and T.vacuum(spark, name) == 0 and rows(T.pairs(spark, name)) == before
+    real = spark.sql
+
+    def stops(text, *a, **k):
+        if "SET TBLPROPERTIES" in text:
+            raise RuntimeError("stopped")
+        return real(text, *a, **k)
+
+    monkeypatch.setattr(T, "BUCKET_BYTES", 100)
+    monkeypatch.setattr(spark, "sql", stops)
+    with pytest.raises(RuntimeError):
+        T.recorded(spark, name, source, strings(spark, [("fr", "k1", "un")]), OF)
+    monkeypatch.undo()
+    assert rows(T.pairs(spark, name)) == before and len(T._beside(spark, name)) == 2
+    T.vacuum(spark, name)
+    assert rows(T.pairs(spark, name)) == before and len(T._beside(spark, name)) == 1
+    T.drop(spark, other)
+    for table in T._beside(spark, name):
+        spark.sql(f"DROP TABLE {table}")
+
+
+def test_languages_do_not_deal_the_memory(spark, name, monkeypatch):
+    """What is found for a language is not brought to one task for it, also where nothing is broadcast of itself."""
+    source, plans = source_of(spark, 40), []
+    T.recorded(spark, name, source, strings(spark, [("de", f"k{i}", f"T {i}") for i in range(20)]), OF)
+    monkeypatch.setattr(T, "staged", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df, label))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        T.recalled(spark, name, source, spark.createDataFrame([("de",)], "lang string"), OF)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    known = plans[-1]
+    joined = [x for x in known.splitlines() if "Join" in x and "lang#" in x]
+    assert joined and all("BroadcastHashJoin" in x for x in joined), known
