@@ -19,8 +19,9 @@ def _tagged(seq: int, severity: str, detector: str, found: Column) -> Column:
 
 
 def with_icu(pairs: DataFrame) -> DataFrame:
-    """Pairs with the parsed message of both sides; one Python pass, and only texts with an ICU head are sent."""
+    """Pairs with the parsed message of both sides; one Python pass, and only texts with an ICU head are sent. Pairs are dealt to all tasks first: a file of few row groups would leave all checks to as many tasks."""
     ship(pairs.sparkSession)
+    pairs = pairs.repartition(*[c for c in (*group_of(pairs), "key", "ord") if c in pairs.columns])
     return pairs.withColumns({"src_icu": parse_column(F.col("src")), "tgt_icu": parse_column(F.col("tgt"))})
 
 
