@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from . import tables as T
 
-from .text import all_matches, base_language, let, matches, messages, more_in, multiset_minus, no_text, one_if, ones, quoted, strip, tally
+from .text import all_matches, base_language, holds_any, let, matches, messages, more_in, multiset_minus, no_text, one_if, ones, quoted, strip, tally
 
 
 # --- placeholders ---------------------------------------------------------------------------------
@@ -19,7 +19,8 @@ from .text import all_matches, base_language, let, matches, messages, more_in, m
 
 def placeholder_names(text: Column, icu: Column) -> Column:
     """With repetition; icu: the parsed message, null fields for a text without ICU."""
-    return F.coalesce(icu["names"], all_matches(text, T.PLACEHOLDER))
+    marked = holds_any(text, "{", "%", ":")  # every form has one of these
+    return F.coalesce(icu["names"], F.when(marked, all_matches(text, T.PLACEHOLDER)).when(text.isNotNull(), no_text()))
 
 
 def lost_placeholders(src: Column, tgt: Column) -> Column:
@@ -87,21 +88,26 @@ def _identity(span: str) -> str:
     return "{" + span.strip("{}").split(",")[0].strip() + "}"
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _nested_identities(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else _identities(t))
+@F.arrow_udf(ArrayType(StringType()))
+def _nested_identities(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.string())
+    if texts.null_count == len(texts):
+        return pa.nulls(len(texts), kind)
+    return pa.array([None if t is None else _identities(t) for t in texts.to_pylist()], kind)
 
 
 def placeholder_set(text: Column) -> Column:
     """The set of placeholders by the grammar of the key check, sorted; null text has none."""
     text = F.coalesce(text, F.lit(""))
+    marked = holds_any(text, "{", "%")  # every form has one of these
     dollars = all_matches(text, T.DOLLAR)
     masked = F.regexp_replace(text, T.DOLLAR, " ")
     flat = F.transform(all_matches(masked, _FLAT), lambda s: F.concat(F.lit("{"), strip(F.split(F.regexp_replace(s, r"^\{+|\}+$", ""), ",")[0]), F.lit("}")))
     rest = F.regexp_replace(masked, _FLAT, " ")
-    deep = matches(rest, r"\{[^{}]*\}")
+    deep = marked & matches(rest, r"\{[^{}]*\}")
     plain = F.concat(flat, all_matches(rest, T.PERCENT))
-    return F.array_sort(F.array_distinct(F.concat(dollars, F.when(deep, _nested_identities(F.when(deep, masked))).otherwise(plain))))
+    found = F.array_sort(F.array_distinct(F.concat(dollars, F.when(deep, _nested_identities(F.when(deep, masked))).otherwise(plain))))
+    return F.when(marked, found).otherwise(no_text())
 
 
 # --- numbers and money ----------------------------------------------------------------------------
@@ -262,7 +268,8 @@ def _recased(tgt: Column, forms: Column, seen: Column) -> Column:
 def answered(src: Column, tgt: Column) -> Column:
     """Whether the translation is an answer: a short source, and a text no expansion explains."""
     a, b = F.length(strip(src)), F.length(strip(tgt))
-    return F.coalesce((a > 0) & (b > 0) & (a <= 80) & (b >= F.greatest(4 * a, F.lit(120))), F.lit(False))
+    long = F.length(tgt) >= 120  # most texts are told by this alone
+    return F.when(long, F.coalesce((a > 0) & (b > 0) & (a <= 80) & (b >= F.greatest(4 * a, F.lit(120))), F.lit(False))).otherwise(False)
 
 
 def untranslated(src: Column, tgt: Column, lang: Column, glossary: list[str] | None = None) -> Column:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WHITE = r"[\s\x1c-\x1f]+"
+#: The characters that _WHITE stands for in all of Unicode.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def base_language(lang: Column) -> Column:
@@ -17,7 +21,7 @@ def base_language(lang: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(x, f"(?U)^{_WHITE}", ""), f"(?U){_WHITE}$", "")
+    return F.btrim(x, F.lit(_BLANKS))
 
 
 def normalized(x: Column) -> Column:
@@ -29,6 +33,11 @@ def all_matches(x: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
 
 
+def holds_any(x: Column, *parts: str) -> Column:
+    """Whether a text holds one of the parts: tells cheaply that a pattern cannot match."""
+    return reduce(or_, (x.contains(p) for p in parts))
+
+
 def matches(x: Column, pattern: str) -> Column:
     return x.rlike(pattern)
 

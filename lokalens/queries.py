@@ -659,17 +659,17 @@ def _project(spark, sf_dir) -> str:
     name = F.concat(F.lit("/n"), F.col("n").cast("string"), F.lit(".json"))
 
     def of(rows: DataFrame, lang: str, value: Column) -> DataFrame:
-        return rows.select(F.concat(F.lit(f"{folder}/locales/{lang}"), name).alias("target"), F.concat(F.lit("part.p"), F.col("id").cast("string")).alias("key"), F.struct("id").alias("place"), value.alias("value"), F.lit("string").alias("vtype"), F.lit(False).alias("flat"))
+        return rows.select(F.concat(F.lit(f"{folder}/locales/{lang}"), name).alias("target"), F.concat(F.lit("part.p"), F.col("id").cast("string")).alias("key"), F.col("id").alias("place"), value.alias("value"), F.lit("string").alias("vtype"), F.lit(False).alias("flat"))
 
     edited = F.concat(F.lit("x"), "p_name", F.when(F.col("id") % 7 == 0, " v2").otherwise(""))
-    extra = of(part.where("id % 17 = 0"), "de", F.lit("x")).withColumn("key", F.concat("key", F.lit(".old"))).withColumns({"key": F.regexp_replace("key", "^part", "gone"), "place": F.struct((F.col("place.id") + (1 << 40)).alias("id"))})
+    extra = of(part.where("id % 17 = 0"), "de", F.lit("x")).withColumn("key", F.concat("key", F.lit(".old"))).withColumns({"key": F.regexp_replace("key", "^part", "gone"), "place": F.col("place") + (1 << 40)})
     german = of(part.where("id % 11 <> 0"), "de", edited).unionByName(extra)
     sinks.write_locales(of(part, "en", F.col("p_name")).unionByName(german).unionByName(of(part.where("n % 2 = 0"), "fr", F.concat(F.lit("x"), "p_name"))))
     return folder
 
 
 def _file(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 @query(f"""WITH {_FILES}, odd AS (SELECT DISTINCT file FROM s WHERE id % 2 = 1)

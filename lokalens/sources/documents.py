@@ -11,12 +11,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..staging import staged
 
 #: The file in a project's folder that names the files of an unfinished commit.
 MANIFEST = ".lokalens-commit.json"
@@ -31,23 +34,35 @@ def styles(segments: DataFrame, by: list[str]) -> DataFrame:
 
 
 def placed(segments: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, names, place, json) of segments (*by, key, place, value, vtype, flat), place a struct that sorts as leaves came and tells them apart: leaves of a nested document under their branches.
+    """(*by, names, place, json) of segments (*by, key, place, value, vtype, flat), place a number or a struct that sorts as leaves came and tells them apart (numbers are faster): leaves of a nested document under their branches.
 
     A branch stands where its first leaf came. Of a leaf and a branch of one name, what came last stays, at the place of what came first."""
     rows = segments.withColumn("names", F.when(F.col("flat"), F.array("key")).otherwise(F.split("key", r"\.")))
-    heads = F.transform(F.sequence(F.lit(1), F.size("names")), lambda n: F.struct(F.slice("names", 1, n).alias("head"), (n == F.size("names")).alias("leaf")))
-    each = rows.select(*by, "place", F.explode(heads).alias("h")).select(*by, "place", "h.head", "h.leaf")
-    seen = each.groupBy(*by, "head").agg(F.min("place").alias("first"), F.max(F.when(F.col("leaf"), F.col("place"))).alias("last_leaf"), F.max(F.when(~F.col("leaf"), F.col("place"))).alias("last_branch"))
-    met = each.join(seen, [*by, "head"])
-    gone = F.when(F.col("leaf"), F.coalesce(F.col("last_branch") > F.col("place"), F.lit(False))).otherwise(F.coalesce(F.col("last_leaf") > F.col("place"), F.lit(False)))
-    order = met.groupBy(*by, "place").agg(F.max(gone).alias("gone"), F.array_sort(F.collect_list(F.struct(F.size("head").alias("n"), "first"))).alias("order"))
+    rows = rows.withColumn("above", F.slice("names", 1, F.size("names") - 1))
+    # what is said of branches is made from one row for each innermost branch, and leaves meet it in one pass
+    inner = staged(rows.where(F.size("names") > 1).groupBy(*by, "above").agg(F.min("place").alias("first"), F.max("place").alias("last")), "inner")
+    heads = F.transform(F.sequence(F.lit(1), F.size("above")), lambda n: F.slice("above", 1, n))
+    each = inner.select(*by, "above", "first", "last", F.explode(heads).alias("head"))
+    branches = staged(each.groupBy(*by, "head").agg(F.min("first").alias("first_below"), F.max("last").alias("last_below")), "branches")
+    own = branches.withColumnRenamed("head", "names")
+    leaves = rows.join(own, [*by, "names"]).groupBy(*by, F.col("names").alias("head")).agg(F.min("place").alias("first_leaf"), F.max("place").alias("last_leaf"))
+    met = each.select(*by, "above", "head").join(branches.join(leaves, [*by, "head"], "left"), [*by, "head"])
+    first = F.least("first_below", F.coalesce("first_leaf", "first_below"))
+    order = met.groupBy(*by, "above").agg(F.array_sort(F.collect_list(F.struct(F.size("head").alias("n"), first.alias("first")))).alias("order"), F.max("last_leaf").alias("last_above"))
+    order = staged(order.select(*by, "above", F.transform("order", lambda o: o["first"]).alias("order"), "last_above"), "order")
     text = F.when(F.col("vtype") == "string", quoted(F.col("value"))).otherwise(F.col("value"))
-    return rows.join(order.where("NOT gone"), [*by, "place"]).select(*by, "names", F.transform("order", lambda o: o["first"]).alias("place"), text.alias("json"))
+    over = lambda last: F.coalesce(F.col(last) > F.col("place"), F.lit(False))
+    here = F.array(F.least("place", F.coalesce("first_below", "place")))
+    kept = rows.join(order, [*by, "above"], "left").join(own, [*by, "names"], "left").where(~over("last_above") & ~over("last_below"))
+    return kept.select(*by, "names", F.when(F.col("order").isNull(), here).otherwise(F.concat("order", here)).alias("place"), text.alias("json"))
 
 
 # --- rows to lines --------------------------------------------------------------------------------
 
 
+_name = json.JSONEncoder(ensure_ascii=False).encode
+
+
 def _value(text: str, indent: str) -> str:
     """A leaf as the document has it: objects and lists over several lines."""
     if text[:1] not in "[{":
@@ -60,6 +75,11 @@ def lines_of(leaves: Iterator[tuple[list[str], str]]) -> Iterator[str]:
     open_: list[str] = []
     held, opened = "{", True  # opened: the held line opens an object, so no comma follows it
     for names, text in leaves:
+        if names[:-1] == open_:
+            yield held if opened else held + ","
+            indent = "  " * len(names)
+            held, opened = f"{indent}{_name(names[-1])}: {_value(text, indent)}", False
+            continue
         shared = 0
         while shared < min(len(open_), len(names) - 1) and open_[shared] == names[shared]:
             shared += 1
@@ -71,7 +91,7 @@ def lines_of(leaves: Iterator[tuple[list[str], str]]) -> Iterator[str]:
             yield held if opened else held + ","
             indent = "  " * (depth + 1)
             opened = depth < len(names) - 1
-            held = f"{indent}{json.dumps(names[depth], ensure_ascii=False)}: " + ("{" if opened else _value(text, indent))
+            held = f"{indent}{_name(names[depth])}: " + ("{" if opened else _value(text, indent))
         open_ = names[:-1]
     while open_:
         yield held
@@ -89,7 +109,8 @@ def lines(rows: DataFrame) -> DataFrame:
 
         def leaves() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in ("doc", "names", "json")), strict=True)
+                names, at = b.column("names").flatten().to_pylist(), np.cumsum([0, *b.column("names").value_lengths().to_pylist()]).tolist()
+                yield from zip(b.column("doc").to_pylist(), (names[a:z] for a, z in pairwise(at)), b.column("json").to_pylist(), strict=True)
 
         source = leaves()
         ahead = next(source, None)
@@ -182,12 +203,14 @@ class Files:
         return [x for x in found.split("\0") if x]
 
 
-def stage(rows: DataFrame, near: str | None = None) -> list[tuple[str, str]]:
+def stage(rows: DataFrame, near: str | None = None, targets: DataFrame | None = None) -> list[tuple[str, str]]:
     """Writes the documents of leaves (target, names, place, json), each as one file in a staging folder, and returns (file, target) of each.
 
-    near: the folder that holds the staging folder, so that moving files is a rename; else that of the first target."""
+    near: the folder that holds the staging folder, so that moving files is a rename; else that of the first target. targets (target):
+    the documents of the leaves, where that is told with less work than by making the leaves."""
     spark = rows.sparkSession
-    of = dict(enumerate(sorted(r["target"] for r in rows.select("target").distinct().collect())))  # files, not rows: the driver moves each
+    named = (rows if targets is None else targets).select("target").distinct()
+    of = dict(enumerate(sorted(r["target"] for r in named.collect())))  # files, not rows: the driver moves each
     if not of:
         return []
     at = f"{near or of[0].rpartition('/')[0] or '.'}/.lokalens-staged-{uuid.uuid4().hex}"
@@ -198,10 +221,10 @@ def stage(rows: DataFrame, near: str | None = None) -> list[tuple[str, str]]:
     return [(parts[d], t) for d, t in of.items()]
 
 
-def put(rows: DataFrame) -> None:
-    """Writes the documents of leaves one by one, each whole or not at all. The target's folder holds what is staged."""
+def put(rows: DataFrame, targets: DataFrame | None = None) -> None:
+    """Writes the documents of leaves one by one, each whole or not at all. The target's folder holds what is staged. targets: as of stage."""
     files = Files(rows.sparkSession)
-    moves = stage(rows)
+    moves = stage(rows, targets=targets)
     for source, target in moves:
         files.replace(source, target)
     for staging in {source.rsplit("/", 2)[0] for source, _ in moves}:

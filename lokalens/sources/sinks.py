@@ -79,4 +79,4 @@ def locale_leaves(segments: DataFrame) -> DataFrame:
 
 def write_locales(segments: DataFrame) -> None:
     """Writes locale documents (target, key, place, value, vtype, flat) by executors, each whole or not at all."""
-    put(locale_leaves(segments))
+    put(locale_leaves(segments), segments.select("target"))

@@ -190,3 +190,24 @@ def test_paths(spark):
     urls = {"x.y/": "https://x.y", "http://127.0.0.1:80": "http://127.0.0.1:80", "http://127.evil.com": None, "http://[::1]": "http://[::1]", "http://localhost@evil.com": None, "": None, "ftp://localhost": None}
     got = {r["u"]: r["s"]["url"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", A.service_url(F.col("u")).alias("s")).collect()}
     assert got == urls
+
+
+def test_leaves_are_made_once_where_their_documents_are_known(spark, tmp_path):
+    """Naming the documents took a pass of its own over all leaves; an inner branch, a leaf that a branch replaces and one that replaces a branch keep their places."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(x):
+        made.add(1)
+        return x
+
+    at = str(tmp_path / "a.json")
+    rows = [(at, k, i, str(i), "number", False) for i, k in enumerate(["x.a.b", "y", "x.c", "y.d.e", "x.a.f", "z.g", "z"])]
+    segments = spark.createDataFrame(rows, "target string, key string, place long, value string, vtype string, flat boolean")
+    leaves = D.placed(segments, ["target"]).withColumn("json", seen.asNondeterministic()("json"))
+    D.put(leaves, segments.select("target"))
+    assert made.value == 5
+    with open(at) as f:
+        text = f.read()
+    assert json.loads(text) == {"x": {"a": {"b": 0, "f": 4}, "c": 2}, "y": {"d": {"e": 3}}, "z": 6}
+    assert [x.strip()[1] for x in text.splitlines() if '"' in x] == list("xabfcydez")
