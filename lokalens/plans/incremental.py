@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import incremental as I
 from ..operators import keys as K
 from ..operators import memory as M
+from ..staging import staged
 
 
 def judged(source: DataFrame, targets: DataFrame, lock: DataFrame, langs: DataFrame, all_anew: bool | DataFrame = False) -> DataFrame:
@@ -56,7 +57,7 @@ def finished(source: DataFrame, lock: DataFrame, langs: DataFrame, found: DataFr
     every = K.by_language(I.hashed(source), langs).join(old, on, "left").join(skipped.withColumn("skip", F.lit(True)).distinct(), on, "left")
     own = every.select(*on, F.when(F.col("skip").isNull(), F.col("hash")).otherwise(F.col("old")).alias("hash")).where("hash IS NOT NULL")
     others = lock.where("lang IS NOT NULL").join(langs.select("lang"), "lang", "left_anti").select(*on, "hash")
-    by_lang = own.unionByName(others)
+    by_lang = staged(own.unionByName(others), "by-lang")
     shared = I.advanced_global(source, lock.where("lang IS NULL").select(*file, "key", "hash"), by_lang, skipped)
     return by_lang.unionByName(shared.select(*file, F.lit(None).cast("string").alias("lang"), "key", "hash"))
 

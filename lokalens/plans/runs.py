@@ -24,6 +24,9 @@ from . import projects as R
 #: What is put behind a source file's name for its lock.
 LOCK_SUFFIX = ".lock"
 
+# No key of a document stands as far back; of two such numbers the sum is a long.
+_LAST = (1 << 61) - 1
+
 
 @dataclass
 class Run:
@@ -101,13 +104,15 @@ def merged_locales(run: Run, made: DataFrame) -> DataFrame:
     by = ["file", "lang"]
     touched = made.select(*by).distinct()
     old = run.project.target.unionByName(run.project.metadata).join(touched, by, "left_semi")
-    stamp = touched.where(F.lower("file").endswith(".arb")).select(*by, F.lit("@@locale").alias("key"), F.lit(1 << 62).alias("ord"), F.col("lang").alias("value"), F.lit("string").alias("vtype"))
+    stamp = touched.where(F.lower("file").endswith(".arb")).select(*by, F.lit("@@locale").alias("key"), F.lit(_LAST).alias("ord"), F.col("lang").alias("value"), F.lit("string").alias("vtype"))
     fresh = made.select(*by, "key", "ord", "value", F.lit("string").alias("vtype")).unionByName(stamp)
     own = documents.styles(old, by)
     theirs = documents.styles(run.project.source, ["file"]).withColumnRenamed("flat", "of_source")
     style = touched.join(own, by, "left").join(theirs, "file", "left").join(run.project.files.select(*by, F.col("path").alias("target")), by)
     style = style.select(*by, "target", F.coalesce("flat", "of_source", F.lit(True)).alias("flat"))
-    return K.merged(old, fresh, ("file", "lang")).join(style, by).select("target", "key", "place", "value", "vtype", "flat")
+    # one number sorts and is aggregated faster than a struct: new keys come after all old ones
+    place = F.when(F.col("place.new"), F.lit(_LAST + 1)).otherwise(F.lit(0)) + F.col("place.ord")
+    return K.merged(old, fresh, ("file", "lang")).join(style, by).select("target", "key", place.alias("place"), "value", "vtype", "flat")
 
 
 def stage_run(run: Run, translations: DataFrame, failed: DataFrame | None = None, assume_current: bool = False) -> list[tuple[str, str]]:
@@ -122,18 +127,22 @@ def stage_run(run: Run, translations: DataFrame, failed: DataFrame | None = None
     made = translations.select(*on, "value").join(asked.select(*on), on, "left_semi").join(failed, ["file", "lang"], "left_anti").dropDuplicates(on)
     made = staged(made.join(ords, ["file", "key"]).select(*on, "ord", "value"), "made")
     # a string that did not come is not done, whatever came for its language
-    lost = asked.join(made.select(*on), on, "left_anti")
+    lost = staged(asked.join(made.select(*on), on, "left_anti"), "lost")
     lock = P.finished(run.source, run.lock, run.langs, run.found.where("reason = 'unverified'").unionByName(lost), lost.select("file", "lang"), assume_current)
     broken = lost.select("file").distinct().withColumn("broken", F.lit(True))
     now = F.lit(json.dumps(run.settings, ensure_ascii=False, sort_keys=True))
     kept = F.coalesce("changed", F.lit(False)) & F.coalesce("broken", F.lit(False))
     said = run.project.files.select("file").distinct().join(run.recorded, "file", "left").join(broken, "file", "left").select("file", F.when(kept, F.col("settings")).otherwise(now).alias("settings"))
     at = F.concat("file", F.lit(LOCK_SUFFIX))
-    moves = documents.stage(documents.placed(merged_locales(run, made), ["target"]), run.folder)
-    moves += documents.stage(stores.lock_leaves(lock.select(at.alias("path"), "lang", "key", "hash"), said.select(at.alias("path"), "settings")), run.folder)
+    # leaves are made of tables that are written: each is read several times, and the documents' names come from it
+    merged = staged(merged_locales(run, made), "merged")
+    moves = documents.stage(documents.placed(merged, ["target"]), run.folder, merged)
+    lock, said = staged(lock.select(at.alias("path"), "lang", "key", "hash"), "locked"), staged(said.select(at.alias("path"), "settings"), "said")
+    moves += documents.stage(stores.lock_leaves(lock, said), run.folder, said.select(F.col("path").alias("target")))
     memory = staged(M.recorded(run.memory, run.source, made.withColumn("vtype", F.lit("string")), run.settings), "remembered")
     if not memory.where("is_new").isEmpty():
-        moves += documents.stage(stores.memory_leaves(f"{run.folder}/{stores.MEMORY_NAME}", memory.drop("is_new")), run.folder)
+        path = f"{run.folder}/{stores.MEMORY_NAME}"
+        moves += documents.stage(stores.memory_leaves(path, memory.drop("is_new")), run.folder, spark.range(1).select(F.lit(path).alias("target")))
     return moves
 
 

@@ -211,3 +211,23 @@ def test_leaves_are_made_once_where_their_documents_are_known(spark, tmp_path):
         text = f.read()
     assert json.loads(text) == {"x": {"a": {"b": 0, "f": 4}, "c": 2}, "y": {"d": {"e": 3}}, "z": 6}
     assert [x.strip()[1] for x in text.splitlines() if '"' in x] == list("xabfcydez")
+
+
+def test_a_run_names_its_documents_without_making_them(spark, tmp_path, monkeypatch):
+    """Names of locales, locks and the memory come from tables that are there; the leaves, and the joins under them, are made once."""
+    for lang, texts in (("en", {"hi": "Hello", "menu": {"open": "Open"}}), ("de", {"old": "alt"})):
+        (tmp_path / lang).mkdir()
+        (tmp_path / lang / "a.json").write_text(json.dumps(texts))
+    stage, plans = D.stage, []
+
+    def watched(rows, near=None, targets=None):
+        plans.append([x if x is None else x._jdf.queryExecution().executedPlan().toString() for x in (targets, rows.select("target").distinct())])
+        return stage(rows, near, targets)
+
+    monkeypatch.setattr(D, "stage", watched)
+    run = U.open_run(spark, str(tmp_path), str(tmp_path / "en/a.json"), ["de"])
+    U.close_run(run, run.work().select("file", "lang", "key", F.concat(F.lit("de "), "text").alias("value")))
+    assert len(plans) == 3
+    assert all(named and "Join" not in named for named, _ in plans)
+    assert json.loads((tmp_path / "de/a.json").read_text()) == {"old": "alt", "hi": "de Hello", "menu.open": "de Open"}
+    assert list(json.loads((tmp_path / "de/a.json").read_text())) == ["old", "hi", "menu.open"]
