@@ -51,14 +51,19 @@ def _counts(sample: DataFrame) -> DataFrame:
 class LanguageModel:
     """Log frequencies by language of the kept words and n-grams; its size is bounded by the bounds of the fit."""
 
-    def __init__(self, rows: list[tuple[int, str, dict[str, int]]], totals: dict[int, dict[str, int]]):
+    def __init__(self, tables: list[pa.Table], totals: dict[int, dict[str, int]]):
+        """tables: (n, gram, counts), counts by language in order. They stay Arrow, as the driver would hold a row of Python objects for each entry otherwise."""
         self.langs = sorted(totals.get(0, {}))
-        size = Counter(n for n, _, _ in rows)
+        size = Counter(n for t in tables for n in t.column("n").to_numpy().tolist())
+        whole = {n: [c.get(x, 0) + 0.5 * size[n] for x in self.langs] for n, c in totals.items()}
         self.place: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        self.logs = np.zeros((len(rows) + 1, len(self.langs)))  # the last row, of zeros, is for a word of which nothing is known
-        for i, (n, gram, c) in enumerate(rows):
-            self.place[n][gram] = i
-            self.logs[i] = [math.log((c.get(x, 0) + 0.5) / (totals[n].get(x, 0) + 0.5 * size[n])) for x in self.langs]
+        self.logs = np.zeros((sum(size.values()) + 1, len(self.langs)))  # the last row, of zeros, is for a word of which nothing is known
+        i = 0
+        for b in (b for t in tables for b in t.to_batches(max_chunksize=1024)):
+            for n, gram, c in zip(*(b.column(x).to_pylist() for x in ("n", "gram", "counts")), strict=True):
+                self.place[n][gram] = i
+                self.logs[i] = [math.log((x + 0.5) / y) for x, y in zip(c, whole[n], strict=True)]
+                i += 1
 
     def places(self, word: str) -> list[int]:
         """The word's own row if it is known, else at each position that of the longest known n-gram."""
@@ -140,11 +145,14 @@ def fit(train: DataFrame, train_docs: int = TRAIN_DOCS, keep_words: int = KEEP_W
     totals: dict[int, dict[str, int]] = {}
     for r in counts.groupBy("n", "lang").agg(F.sum("c").alias("c")).collect():
         totals.setdefault(r["n"], {})[r["lang"]] = r["c"]
-    rows = []
+    if not totals.get(0):
+        return LanguageModel([], {})
+    of_lang = F.transform(F.array(*[F.lit(x) for x in sorted(totals[0])]), lambda x: F.coalesce(F.col("by")[x], F.lit(0)))
+    tables = []
     for words in (True, False):
         kept = by_gram.where(F.col("n") == 0).where("all >= 2").orderBy(F.desc("all"), "gram").limit(keep_words) if words else by_gram.where(F.col("n") > 0).orderBy(F.desc("all"), "n", "gram").limit(keep_grams * LONGEST)
-        rows += [(r["n"], r["gram"], r["by"]) for r in kept.collect()]
-    return LanguageModel(rows, totals)
+        tables.append(kept.select("n", "gram", of_lang.alias("counts")).toArrow())
+    return LanguageModel(tables, totals)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

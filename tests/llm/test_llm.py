@@ -71,6 +71,31 @@ def test_language_of_odd_texts(spark, odd):
     assert unseen[0]["lang_pred"] == "de" and unseen[1]["score"] == 0.5
 
 
+def test_language_entries_stay_arrow(spark, monkeypatch):
+    """The kept words and n-grams don't become a row of Python objects each on the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, collect = [0], DataFrame.collect
+
+    def counted(df):
+        got = collect(df)
+        rows[0] += len(got)
+        return got
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    model = language.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert len(model.logs) > 2000 and rows[0] < 200
+
+
+def test_language_logs(spark):
+    """Rare entries of a language without them, a language without words and words of one letter, by hand."""
+    docs = [(1, "aa aa b", "x"), (2, "aa c c", "y"), (3, "12 34", "z")]
+    model = language.fit(spark.createDataFrame(docs, DOCS + ", lang string"))
+    assert model.langs == ["x", "y"] and set(model.place[0]) == {"aa", "c"}
+    for word, counts in (("aa", (2, 1)), ("c", (0, 2))):
+        assert model.logs[model.place[0][word]].tolist() == [np.log((c + 0.5) / (3 + 0.5 * 2)) for c in counts]
+
+
 def test_toxicity_held_out(spark):
     rnd = random.Random(1)
     rows, labels = [], []
@@ -666,6 +691,37 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Each round is dozens of jobs, which the driver keeps account of: chains, hubs and copies of them end after few."""
+    from lokalens.llm import components as C
+
+    written, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, label: (written.append(label), write(df, label))[1])
+    chain = [(i, i + 1) for i in range(2000)]
+    random.Random(3).shuffle(chain)
+    hub = [(9_000_000, 10_000 + i) for i in range(500)] + [(10_000 + i, 20_000 + i) for i in range(500)]
+    edges = spark.createDataFrame(chain + hub + hub, "a long, b long").repartition(16)
+    got = {r["node"]: r["label"] for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(2001)} | {x: 10_000 for e in hub for x in e}
+    assert written.count("stars") <= 2
+    written.clear()
+    assert components(edges.limit(0)).count() == 0 and written == ["edges", "contracted"]
+
+
+def test_contraction_by_runs(spark, monkeypatch):
+    """Edges that don't fit a run of a task are contracted by the next rounds."""
+    from lokalens.llm import components as C
+
+    monkeypatch.setattr(C, "RUN_EDGES", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        edges = [(i * 7919 % 300, (i + 1) * 7919 % 300) for i in range(299)] + [(1000, -5), (-5, -(1 << 63)), ((1 << 63) - 1, 1000)]
+        got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: 0 for i in range(300)} | {x: -(1 << 63) for x in (1000, -5, -(1 << 63), (1 << 63) - 1)}
+
+
 # --- 9: substrings --------------------------------------------------------------------------------
 
 
