@@ -74,8 +74,14 @@ def _settled(e: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node that an edge (a, b) of different longs touches; label: the component's smallest node.
 
-    A round is two stars over all edges, then a pass without shuffle in which each task contracts the files that it reads."""
+    Each task contracts the files that it reads, without a shuffle, for as long as what comes out lies in fewer tasks' files (Spark
+    packs them by bytes). What is no star then, as tasks have parts of one component, goes through a round of stars over all edges."""
     e = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), "edges")
-    while not _settled(e := materialize(_contracted(e), "contracted")):
-        e = materialize(_small_star(_large_star(e)), "stars")
+    while True:
+        tasks = e.rdd.getNumPartitions()
+        e = materialize(_contracted(e), "contracted")
+        if e.rdd.getNumPartitions() >= tasks:
+            if _settled(e):
+                break
+            e = materialize(_small_star(_large_star(e)), "stars")
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
